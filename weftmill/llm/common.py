@@ -103,8 +103,9 @@ def gather_ragged(offsets: np.ndarray, values: np.ndarray, which: np.ndarray) ->
     return n, values[at]
 
 
-def empty_like(schema: str) -> pa.Schema:
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL string; to be called on the driver."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(schema))
+    return to_arrow_schema(_parse_datatype_string(ddl))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, empty_like, new_path, saved, slices
+from .common import arrow_batches, arrow_schema, new_path, saved, slices
 from .tokens import WordEncoder
 
 MAGIC = b"WFPFOR01"
@@ -168,6 +168,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> DataFr
     Null text: empty. An empty table gives an empty manifest.
     """
     arrow_batches(docs.sparkSession, 2000)
+    manifest = "shard int, file string, size long, n_docs long, n_tokens long"
+    out_schema = arrow_schema(manifest)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -178,7 +180,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> DataFr
         name = f"shard-{context.partitionId():06d}.pfor"
         own = f"{root}/{name}.{context.taskAttemptId()}"
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 8 << 20):
                 if out is None:
                     where.create_dir(root, recursive=True)
                     stream = where.open_output_stream(own)
@@ -191,9 +193,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> DataFr
             out.close()
             stream.close()
             where.move(own, f"{root}/{name}")
-            yield pa.RecordBatch.from_pylist([{"shard": context.partitionId(), "file": name, "size": out.at, "n_docs": n_docs, "n_tokens": n_tokens}], schema=empty_like(manifest))
+            yield pa.RecordBatch.from_pylist([{"shard": context.partitionId(), "file": name, "size": out.at, "n_docs": n_docs, "n_tokens": n_tokens}], schema=out_schema)
 
-    manifest = "shard int, file string, size long, n_docs long, n_tokens long"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return saved(rows.mapInArrow(write, manifest), "manifest")
@@ -210,6 +211,7 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
         shards.append((r["file"], r["size"], start))
         start += r["n_tokens"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    out_schema = arrow_schema(schema)
     if not shards:
         return spark.createDataFrame([], schema)
 
@@ -225,10 +227,10 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
                         rows.append((doc_id, at, n, zlib.crc32(ids.astype("<u4").tobytes())))
                         at += n
                         if len(rows) == 10_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=empty_like(schema))
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=out_schema)
                             rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=empty_like(schema))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=out_schema)
 
     found = spark.createDataFrame(shards, "file string, size long, start long").repartition(len(shards))
     return found.mapInArrow(read, schema)

@@ -6,18 +6,23 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import gather_ragged, split_words
 
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+#: Latin letters whose lower case and normal form are plain, then ASCII punctuation: the pre-tokenizer cuts between the two.
+PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 
 
 class WordEncoder:
     """ids of whole texts, equal to tokenizers' encode(text, add_special_tokens=False).
 
     The file's pre-tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are those
-    of its pieces between spaces and line feeds, in order. Each distinct piece is encoded once and kept (a bounded cache).
+    of its pieces between spaces and line feeds, in order. A plain piece is a lower-cased word and a tail of punctuation,
+    which are pre-tokens of their own; any other piece is encoded as it stands. Each distinct word is encoded once and
+    kept, up to CACHE_WORDS.
     """
 
     def __init__(self, path: str):
@@ -27,29 +32,58 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, np.ndarray] = {"": np.empty(0, dtype=np.uint32)}
+        ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.ends_word[ends] = True
+        self._clear()
 
-    def pieces(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": self.known[""]}
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.counts, self.values = [np.zeros(1, dtype=np.int64)], [np.empty(0, dtype=np.uint32)]
+
+    def _keep(self, words: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.counts.append(counts)
+        self.values.append(ids)
+
+    def _learn(self, words: list[str], plain: bool) -> None:
         new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype=np.uint32)
-        return [self.known[w] for w in words]
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            if plain:  # one pre-token each, so each one's ids end with its only word end
+                ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
+                stops = np.flatnonzero(self.ends_word[ids]) + 1
+                counts = np.diff(stops, prepend=0)
+                assert len(stops) == len(part) and stops[-1] == len(ids)
+            else:
+                rows = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                counts = np.array([len(r) for r in rows], dtype=np.int64)
+                ids = np.array([i for r in rows for i in r], dtype=np.uint32)
+            self._keep(part, counts, ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of each text, all ids one after the other); null counts as empty."""
-        counts, distinct, codes = split_words(texts)
-        rows = self.pieces(distinct.to_pylist())
-        offsets = np.zeros(len(rows) + 1, dtype=np.int64)
-        np.cumsum([len(r) for r in rows], out=offsets[1:])
-        values = np.concatenate(rows) if rows else np.empty(0, dtype=np.uint32)
-        n, ids = gather_ragged(offsets, values, codes)
+        """(number of ids of each text, all ids one after the other); null counts as empty."""
+        if len(self.known) > CACHE_WORDS:
+            self._clear()
+        pieces, distinct, codes = split_words(texts)
+        parts = pc.extract_regex(distinct, PLAIN)
+        plain = parts.is_valid()
+        cores = pc.utf8_lower(pc.fill_null(pc.struct_field(parts, "core"), "")).dictionary_encode()
+        tails = pc.fill_null(pc.struct_field(parts, "tail"), "").dictionary_encode()
+        others = pc.if_else(plain, "", distinct).dictionary_encode()
+        units = np.empty((len(distinct), 3), dtype=np.int64)
+        for k, (coded, one_word) in enumerate(((cores, True), (tails, False), (others, False))):
+            words = coded.dictionary.to_pylist()
+            self._learn(words, one_word)
+            at = np.array([self.known[w] for w in words], dtype=np.int64)
+            units[:, k] = at[np.asarray(coded.indices)]
+        self.counts, self.values = [np.concatenate(self.counts)], [np.concatenate(self.values)]
+        offsets = np.concatenate([[0], np.cumsum(self.counts[0])])
+        n, ids = gather_ragged(offsets, self.values[0], units.ravel())
+        offsets = np.concatenate([[0], np.cumsum(n.reshape(-1, 3).sum(axis=1))])
+        n, ids = gather_ragged(offsets, ids, codes)
         ends = np.concatenate([[0], np.cumsum(n)])
-        stops = ends[np.cumsum(counts)]
-        return np.diff(stops, prepend=0), ids
+        return np.diff(ends[np.cumsum(pieces)], prepend=0), ids
 
     def encode_ended(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As encode(), with END_ID after each text: (offsets of the texts, all ids)."""
