@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pfor, quality, tokencount
+from . import decontam, langid, packing, pfor, quality, simhash, tokencount
 from .common import id_crc32, table
 
 
@@ -28,6 +28,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = F.pmod(id_crc32("doc_id"), F.lit(5)) == 0
@@ -35,10 +39,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", out).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_files, op6_quality, op8_token_counts)}
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_files, op4_best_fit_packing, op6_quality, op7_decontamination, op8_token_counts, op9_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
