@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, pfor, quality, simhash, tokencount
+from . import chat, decontam, htmltext, langid, packing, pfor, quality, simhash, tokencount
 from .common import id_crc32, table
 
 
@@ -32,6 +32,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat.digests(chat.format_conversations(rows, tokenizer("byte_bpe_50k.json")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = F.pmod(id_crc32("doc_id"), F.lit(5)) == 0
@@ -51,6 +58,27 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_files, op4_best_fit_packing, op6_quality, op7_decontamination, op8_token_counts, op9_simhash_dedup)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_files, op4_best_fit_packing, op5_chat_format, op6_quality, op7_decontamination, op8_token_counts, op9_simhash_dedup, op10_html_text)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": """
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), said AS (
+            SELECT *, length('<|turn|><|says|><|end|>') + length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'))
+                + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS n FROM rows
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(n)::BIGINT AS formatted_chars
+        FROM said GROUP BY conv_id
+    """,
+}
