@@ -48,6 +48,8 @@ _NAMES = re.compile(r"[a-z0-9]+")
 def _boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
     if tag in CHROME or tag == "header" and not in_article:
         return True
+    if not attrs:
+        return False
     if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", (attrs.get("style") or "").lower()):
         return True
     names = set(_NAMES.findall(" ".join(attrs.get(k) or "" for k in ("class", "id", "role")).lower()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, langid, packing, pfor, quality, simhash, tokencount
+from . import ann, chat, decontam, htmltext, langid, packing, pfor, quality, simhash, tokencount
 from .common import id_crc32, table
 
 
@@ -28,6 +28,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -62,7 +66,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_files, op4_best_fit_packing, op5_chat_format, op6_quality, op7_decontamination, op8_token_counts, op9_simhash_dedup, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_files, op3_nearest_neighbours, op4_best_fit_packing, op5_chat_format, op6_quality, op7_decontamination, op8_token_counts, op9_simhash_dedup, op10_html_text)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": """
