@@ -5,8 +5,8 @@ so that the graph's nearness is that of the inner product. First lists come from
 rounds of NN-descent join each node's list with its neighbours' lists and keep the best. A search starts from the lists of
 the query's own node and joins its pool with its members' lists until nothing better turns up.
 
-Nodes are worked on in blocks of bounded size near one pivot. A round ships each list and each vector that a block needs
-to it once; nothing is broadcast but the pivots.
+Nodes are worked on in blocks of bounded size near one pivot. A round joins each vector that a block needs to it once, and
+the block's nodes are compared with all of them by one matrix product; nothing is broadcast but the pivots.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from .common import arrow_batches, arrow_schema, hashed_share, saved
 
 #: Neighbours in a list, pool of a search, most rounds of either.
 DEGREE, POOL, ROUNDS, HOPS = 32, 64, 4, 8
-#: About so many nodes for a pivot, at most so many pivots (the bound of what is broadcast), pivots that a node starts from, most nodes of a block.
-PER_PIVOT, PIVOTS, NEAR_PIVOTS, BLOCK = 400, 4096, 3, 1500
-SETTLED = 0.005
+#: About so many nodes for a pivot, at most so many pivots (the bound of what is broadcast), pivots that a node starts from, most nodes compared at the start, nodes of a block.
+PER_PIVOT, PIVOTS, NEAR_PIVOTS, START, BLOCK = 400, 4096, 3, 1500, 2500
+SETTLED, STILL = 0.05, 0.01
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -38,9 +38,15 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float32).reshape(-1, dim)
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    values, offsets = np.asarray(column.values), np.asarray(column.offsets)
-    return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Rows of a binary column of 32-bit floats."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
+
+
+def _dealt(rows: DataFrame, count: int) -> DataFrame:
+    """Rows dealt out by block: small parts that adaptive execution leaves apart, as the work follows pairs, not bytes."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 2000)
+    return rows.repartition(parts, "block")
 
 
 def _listed(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -79,7 +85,8 @@ def assign(nodes: DataFrame, count: int, dim: int) -> DataFrame:
     picked = nodes.where(hashed_share(F.col("node"), 1.2 * want / count)).orderBy("node").limit(2 * want).collect() if want > 1 else []
     pivots = np.array([r["vec"] for r in picked] or [[0.0] * dim], dtype=np.float32)
     shared = spark.sparkContext.broadcast(pivots)
-    schema = "node long, vec array<float>, near array<int>"
+    coarse = np.linspace(0, len(pivots) - 1, max(1, min(len(pivots), round(count / BLOCK)))).astype(int)
+    schema = "node long, vec binary, near array<int>, mid int"
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,16 +94,23 @@ def assign(nodes: DataFrame, count: int, dim: int) -> DataFrame:
         for batch in batches:
             sims = _matrix(batch.column("vec"), dim) @ shared.value.T
             near = np.argsort(-sims, axis=1, kind="stable")[:, :k].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("vec").cast(out.field(1).type), _listed(list(near), out.field(2).type)], schema=out)
+            flat = [v.tobytes() for v in _matrix(batch.column("vec"), dim)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(flat, pa.binary()), _listed(list(near), out.field(2).type), pa.array(sims[:, coarse].argmax(axis=1), pa.int32())], schema=out)
 
     found = saved(nodes.select("node", "vec").mapInArrow(run, schema), "near")
-    sizes = found.select(F.explode("near").alias("p")).groupBy("p").count().collect()  # one row for each pivot
-    parts = F.create_map(*[F.lit(x) for r in sizes for x in (r["p"], max(1, -(-r["count"] // BLOCK)))])
-    block = lambda p: p.cast("long") * 1_000_000 + F.pmod(F.xxhash64("node"), parts[p])
-    return found.select("node", "vec", block(F.col("near")[0]).alias("home"), F.transform("near", block).alias("starts"))
+
+    def block(pivots: DataFrame, most: int):
+        """A pivot's nodes in parts of at most about this many."""
+        sizes = pivots.groupBy("p").count().collect()  # one row for each pivot
+        parts = F.create_map(*[F.lit(x) for r in sizes for x in (r["p"], max(1, -(-r["count"] // most)))])
+        return lambda p: p.cast("long") * 1_000_000 + F.pmod(F.xxhash64("node"), parts[p])
+
+    start = block(found.select(F.explode("near").alias("p")), START)
+    home = block(found.select(F.col("mid").alias("p")), 2 * BLOCK)
+    return found.select("node", "vec", home(F.col("mid")).alias("home"), F.transform("near", start).alias("starts"))
 
 
-def first_lists(nodes: DataFrame, dim: int) -> DataFrame:
+def first_lists(nodes: DataFrame, count: int, dim: int) -> DataFrame:
     """(node, nbrs, sims): the best DEGREE nodes of each node's starting blocks."""
     schema = "node long, nbrs array<long>, sims array<float>"
     out = arrow_schema(schema)
@@ -104,7 +118,7 @@ def first_lists(nodes: DataFrame, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _by_block(batches):
             ids = np.asarray(block.column("node"))
-            x = _matrix(block.column("vec").combine_chunks(), dim)
+            x = _vectors(block.column("vec"), dim)
             rows = []
             for at in range(0, len(ids), 512):
                 sims = x[at : at + 512] @ x.T
@@ -113,52 +127,55 @@ def first_lists(nodes: DataFrame, dim: int) -> DataFrame:
             rows = [(i[np.isfinite(s)], s[np.isfinite(s)]) for i, s in rows]
             yield pa.RecordBatch.from_arrays([pa.array(ids), _listed([r[0] for r in rows], out.field(1).type), _listed([r[1] for r in rows], out.field(2).type)], schema=out)
 
-    dealt = nodes.select("node", "vec", F.explode("starts").alias("block")).repartition("block").sortWithinPartitions("block", "node")
+    dealt = _dealt(nodes.select("node", "vec", F.explode("starts").alias("block")), count).sortWithinPartitions("block", "node")
     each = dealt.mapInArrow(run, schema)
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.transform("sims", lambda s: -s).alias("sims"), F.col("nbrs").alias("nbrs")))))
     best = each.groupBy("node").agg(F.slice(F.array_sort(pairs), 1, DEGREE).alias("best"))
     return best.select("node", F.col("best.nbrs").alias("nbrs"), F.transform("best.sims", lambda s: -s).alias("sims"))
 
 
-def step(pools: DataFrame, graph: DataFrame, nodes: DataFrame, dim: int, size: int) -> DataFrame:
-    """pools (node, home, query, nbrs, sims) after joining each with its members' lists in graph; changed: members that are new."""
+def step(pools: DataFrame, graph: DataFrame, nodes: DataFrame, count: int, dim: int, size: int) -> DataFrame:
+    """pools (node, home, query, nbrs, sims) after a round; changed: members that are new.
+
+    A block's pools meet the members of their lists and those members' own neighbours, which are joined to the block once
+    for all its pools; each pool keeps the best `size` of them all.
+    """
     needed = pools.select(F.col("home").alias("block"), F.explode("nbrs").alias("node")).distinct()
-    lists = needed.join(graph.select("node", "nbrs"), "node")
-    wanted = lists.select("block", F.explode("nbrs").alias("node")).distinct().join(nodes.select("node", "vec"), "node")
-    floats, longs = F.lit(None).cast("array<float>"), F.lit(None).cast("array<long>")
-    rows = (
-        wanted.select("block", F.lit(0).alias("kind"), "node", "vec", floats.alias("query"), longs.alias("nbrs"), floats.alias("sims"))
-        .union(lists.select("block", F.lit(1), "node", floats, floats, "nbrs", floats))
-        .union(pools.select("home", F.lit(2), "node", floats, "query", "nbrs", "sims"))
-    )
-    schema = "node long, home long, query array<float>, nbrs array<long>, sims array<float>, changed int"
+    further = needed.join(graph.select("node", "nbrs"), "node").select("block", F.explode("nbrs").alias("node"))
+    wanted = needed.union(further).distinct().join(nodes.select("node", "vec"), "node")
+    longs, empty = F.lit(None).cast("array<long>"), F.lit(None).cast("binary")
+    rows = wanted.select("block", F.lit(0).alias("kind"), "node", "vec", empty.alias("query"), longs.alias("nbrs"))
+    rows = rows.union(pools.select("home", F.lit(1), "node", empty, "query", "nbrs"))
+    schema = "node long, home long, query binary, nbrs array<long>, sims array<float>, changed int"
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _by_block(batches):
-            block = block.combine_chunks()
-            kind = np.asarray(block.column("kind"))
-            part = [block.filter(pa.array(kind == k)) for k in range(3)]
-            ids = np.asarray(part[0].column("node"))
-            x = _matrix(part[0].column("vec").combine_chunks(), dim) if len(ids) else np.zeros((0, dim), np.float32)
-            order = np.argsort(ids)
-            ids, x = ids[order], x[order]
-            own = dict(zip(np.asarray(part[1].column("node")).tolist(), _lists(part[1].column("nbrs").combine_chunks()) if part[1].num_rows else []))
-            own = {n: np.searchsorted(ids, v) for n, v in own.items()}
-            rows = []
-            queries = _matrix(part[2].column("query").combine_chunks(), dim)
-            for node, q, nbrs, sims in zip(np.asarray(part[2].column("node")).tolist(), queries, _lists(part[2].column("nbrs").combine_chunks()), _lists(part[2].column("sims").combine_chunks())):
-                found = [own[n] for n in nbrs.tolist() if n in own]
-                at = np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
-                new = ids[at]
-                fresh = ~np.isin(new, nbrs) & (new != node)
-                at, new = at[fresh], new[fresh]
-                best, score = _best(np.concatenate([nbrs, new]), np.concatenate([sims, x[at] @ q]), size)
-                rows.append((best, score, int((~np.isin(best, nbrs)).sum())))
-            columns = [part[2].column("node").combine_chunks(), part[2].column("block").combine_chunks(), part[2].column("query").combine_chunks().cast(out.field(2).type)]
-            yield pa.RecordBatch.from_arrays([*columns, _listed([r[0] for r in rows], out.field(3).type), _listed([r[1].astype(np.float32) for r in rows], out.field(4).type), pa.array([r[2] for r in rows], pa.int32())], schema=out)
-
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "node").mapInArrow(run, schema)
+            split = int(np.searchsorted(np.asarray(block.column("kind")), 1))
+            known, asking = block.slice(0, split), block.slice(split)
+            ids, x = np.asarray(known.column("node")), _vectors(known.column("vec"), dim)  # sorted by node
+            n, most = len(ids), min(size, len(ids))
+            for at in range(0, asking.num_rows, part := max(1, (4 << 20) // max(1, n))):
+                own = asking.slice(at, part).combine_chunks()
+                node = np.asarray(own.column("node"))
+                sims = _vectors(own.column("query"), dim) @ x.T
+                self_at = np.searchsorted(ids, node)
+                inside = np.flatnonzero((self_at < n) & (ids[np.minimum(self_at, n - 1)] == node)) if n else []
+                sims[inside, self_at[inside]] = -np.inf
+                best = np.sort(np.argpartition(-sims, most - 1, axis=1)[:, :most], axis=1) if n else np.zeros((len(node), 0), dtype=np.int64)
+                score = np.take_along_axis(sims, best, axis=1)
+                order = np.argsort(-score, axis=1, kind="stable")
+                best, score = np.take_along_axis(best, order, axis=1), np.take_along_axis(score, order, axis=1)
+                old = own.column("nbrs").combine_chunks()
+                row = np.repeat(np.arange(len(node)), np.diff(np.asarray(old.offsets)))
+                before = row * n + np.searchsorted(ids, np.asarray(old.flatten()))
+                good = np.isfinite(score)
+                fresh = good & ~np.isin(np.arange(len(node))[:, None] * n + best, before)
+                stops = pa.array(np.concatenate([[0], np.cumsum(good.sum(axis=1))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(stops, pa.array(v)).cast(out.field(k).type) for k, v in ((3, ids[best[good]]), (4, score[good]))]
+                yield pa.RecordBatch.from_arrays([own.column("node").combine_chunks(), own.column("block").combine_chunks(), own.column("query").combine_chunks(), *lists, pa.array(fresh.sum(axis=1), pa.int32())], schema=out)
+
+    return _dealt(rows, count).sortWithinPartitions("block", "kind", "node").mapInArrow(run, schema)
 
 
 def exact_pass(queries: DataFrame, nodes: DataFrame, dim: int, k: int) -> DataFrame:
@@ -167,13 +184,13 @@ def exact_pass(queries: DataFrame, nodes: DataFrame, dim: int, k: int) -> DataFr
     out = arrow_schema("node long, nbr long, s float")
 
     def against(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r["node"] for r in block]), np.array([r["query"] for r in block], dtype=np.float32)))
+        shared = spark.sparkContext.broadcast((np.array([r["node"] for r in block]), np.frombuffer(b"".join(bytes(r["query"]) for r in block), dtype=np.float32).reshape(-1, dim)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, q = shared.value
             best = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32))] * len(own)
             for batch in batches:
-                ids, sims = np.asarray(batch.column("node")), q @ _matrix(batch.column("vec"), dim).T
+                ids, sims = np.asarray(batch.column("node")), q @ _vectors(batch.column("vec"), dim).T
                 best = [_best(np.concatenate([i, ids[ids != n]]), np.concatenate([s, t[ids != n]]), k) for (i, s), t, n in zip(best, sims, own)]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, [len(i) for i, _ in best])), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([s for _, s in best]).astype(np.float32))], schema=out)
 
@@ -219,23 +236,23 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     nodes = classes.select("node", F.concat(level(), F.array(F.sqrt(F.greatest(F.lit(0.0), 1 - squares / top)).cast("float"))).alias("vec"))
     nodes = saved(assign(nodes, count, dim + 1), "nodes")
     homes = nodes.select("node", "home", F.col("vec").alias("query"))
-    graph = saved(homes.join(first_lists(nodes, dim + 1), "node"), "graph")
+    graph = saved(homes.join(first_lists(nodes, count, dim + 1), "node"), "graph")
     for _ in range(ROUNDS):
-        graph = saved(step(graph, graph, nodes, dim + 1, DEGREE), "graph")
-        if graph.agg(F.sum("changed")).first()[0] <= SETTLED * DEGREE * count:
+        graph = saved(step(graph, graph, nodes, count, dim + 1, DEGREE), "graph")
+        if (graph.agg(F.sum("changed")).first()[0] or 0) <= SETTLED * DEGREE * count:
             break
     asked = saved(rows.where(F.col("vec_id") % every == 0).join(classes.select("node", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "node", "embedding"), "asked")
     # the query itself has no completing component, so a pool is ordered by the inner product alone
-    flat = F.concat(F.slice("query", 1, dim), F.array(F.lit(0.0).cast("float")))
-    pools = graph.join(asked.select("node").distinct(), "node", "left_semi").select("node", "home", flat.alias("query"))
-    pools = pools.select("node", "home", "query", F.array("node").alias("nbrs"), F.array(F.aggregate("query", F.lit(0.0), lambda s, x: s + x.cast("double") * x).cast("float")).alias("sims"))
+    flat = F.concat(F.expr(f"substring(query, 1, {4 * dim})"), F.lit(b"\0\0\0\0"))
+    pools = graph.join(asked.select("node").distinct(), "node", "left_semi").select("node", "home", flat.alias("query"), "nbrs")
     for _ in range(HOPS):
-        pools = saved(step(pools, graph.select("node", F.concat("nbrs", F.array("node")).alias("nbrs")), nodes, dim + 1, POOL), "pools")
-        if not pools.agg(F.sum("changed")).first()[0]:
+        pools = saved(step(pools, graph, nodes, count, dim + 1, POOL), "pools")
+        went = pools.agg(F.sum("changed").alias("changed"), F.count("*").alias("n")).first()
+        if (went["changed"] or 0) <= STILL * POOL * went["n"]:
             break
     found = pools.select("node", F.explode("nbrs").alias("nbr"))
     total = min(k, count - 1)
-    short = pools.where(F.size("nbrs") <= total).select("node", "query")
+    short = pools.where(F.size("nbrs") < total).select("node", "query")
     if total and not short.isEmpty():
         more = exact_pass(short, nodes, dim + 1, k)
         found = found.union(more).distinct()
