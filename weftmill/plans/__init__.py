@@ -1,15 +1,205 @@
-"""Registered queries of the catalogue and text-extraction operators, and the same in DuckDB SQL."""
+"""Registered queries of the catalogue and text-extraction operators, and the same in DuckDB SQL.
+
+The tables hold no chapter lists, so chapter titles are built from part and lineitem, alike in both engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numerals
+from ..functions import text as T
+from ..operators import catalog, extract
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scoring_len(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.scoring_length(F.col("text")).alias("n"))
+
+
+def content_chars(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.content_chars(F.col("text")).alias("n"))
+
+
+def punct_count(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.punctuation_count(F.col("text")).alias("n"))
+
+
+def norm_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.norm(F.col("text")).alias("text"))
+
+
+def preview_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 100).alias("preview"))
+
+
+def safe_names(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", T.safe_filename(F.col("url"), 50).alias("name"))
+
+
+def author_notes(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.has_author_note(F.col("text")).alias("note"), T.has_author_note(F.col("text"), True).alias("note_compat"))
+
+
+def dedup_keep_first(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return catalog.keep_first(rows, ["text"], [F.col("conv_id"), F.col("turn")]).select("conv_id", "turn", "text")
+
+
+def relevance_rank(spark, sf_dir):
+    ranked = catalog.rank_by_relevance(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), "green", "p_name", "p_partkey")
+    return ranked.select("p_partkey", F.round("relevance", 6).alias("relevance"))
+
+
+def source_counts(spark, sf_dir):
+    return catalog.count_by_source(_t(spark, sf_dir, "documents"), "source")
+
+
+def feed_union(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    return catalog.union_sources(d.where("source = 'src1'"), d.where("source = 'src2'"), d.where("source = 'src1'"))
+
+
+def page_host_tokens(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(T.host_tokens(F.col("url")), " ").alias("tokens"))
+
+
+def challenge_flag(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", T.is_challenge(F.col("html")).alias("challenge"))
+
+
+def absolute_links(spark, sf_dir):
+    n = F.pmod("page_id", F.lit(5))
+    href = F.when(n == 0, "/a/b").when(n == 1, "x.html").when(n == 2, "//h.example/p").when(n == 3, "?q=1").otherwise("https://o.example/z")
+    return _t(spark, sf_dir, "pages").select("page_id", T.absolute_url(F.col("url"), href).alias("url"))
+
+
+def _titles(spark, sf_dir):
+    digit = lambda c: F.element_at(F.array(*[F.lit(x) for x in "一二三四五六七八九"]), c.cast("int"))
+    size, tens, ones = F.col("p_size"), F.floor(F.col("p_size") / 10), F.col("p_size") % 10
+    zh = lambda t, o: F.concat(F.when(t > 1, digit(F.greatest(t, F.lit(1)))).otherwise(""), F.when(t > 0, "十").otherwise(""), F.when(o > 0, digit(F.greatest(o, F.lit(1)))).otherwise(""))
+    latin = F.concat(F.repeat(F.lit("X"), tens.cast("int")), F.element_at(F.array(*[F.lit(x) for x in ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]]), (ones + 1).cast("int")))
+    latin = F.when(size >= 50, F.concat(F.lit("L"), F.substr(latin, F.lit(6)))).when(size >= 40, F.concat(F.lit("XL"), F.substr(latin, F.lit(5)))).otherwise(latin)
+    kind = F.pmod("p_partkey", F.lit(7))
+    title = (
+        F.when(kind == 0, F.concat(F.lit("第"), zh(tens, ones), F.lit("章 "), "p_name"))
+        .when(kind == 1, F.concat(F.lit("Chapter "), size.cast("string")))
+        .when(kind == 2, F.concat(F.lit("Chapter "), latin))
+        .when(kind == 3, F.concat(size.cast("string"), F.lit(". "), "p_name"))
+        .when(kind == 4, F.concat(F.lit("第"), digit(size % 5 + 1), F.lit("卷 第"), zh(tens, ones), F.lit("章")))
+        .when(kind == 5, F.concat(F.lit("第 "), size.cast("string"), F.lit(" 章")))
+        .otherwise(F.concat(F.lit("- "), "p_name"))
+    )
+    return _t(spark, sf_dir, "part").select("p_partkey", title.alias("title"))
+
+
+def chapter_numbers(spark, sf_dir):
+    n = numerals.chapter_number(F.col("title"))
+    return _titles(spark, sf_dir).select("p_partkey", n["number"].alias("number"), n["volume"].alias("volume"))
+
+
+def chapter_numbers_compat(spark, sf_dir):
+    n = numerals.chapter_number(F.col("title"), "compat")
+    return _titles(spark, sf_dir).where(F.pmod("p_partkey", F.lit(7)).isin(0, 1, 2, 3)).select("p_partkey", n["number"].alias("number"))
+
+
+def natural_chapter_sort(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("original_index"), F.pmod(F.col("l_partkey"), F.lit(4)).alias("number"), F.pmod(F.col("l_suppkey"), F.lit(2)).alias("volume"))
+    return catalog.natural_order(rows, "l_orderkey").select("l_orderkey", "original_index", "position")
+
+
+def natural_chapter_sort_reverse(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("original_index"), F.pmod(F.col("l_partkey"), F.lit(4)).alias("number"), F.pmod(F.col("l_suppkey"), F.lit(2)).alias("volume"))
+    return catalog.natural_order(rows, "l_orderkey", True).select("l_orderkey", "original_index", "position")
+
+
+def _fetches(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    tier = F.pmod("event_id", F.lit(3)).cast("int") + 1
+    return e.select("user_id", "event_id", "ts", tier.alias("tier"), F.coalesce(F.col("value") > 20, F.lit(False)).alias("success"), F.when(F.pmod("event_id", F.lit(5)) == 0, 403).otherwise(200).alias("status_code"))
+
+
+def tier_outcomes(spark, sf_dir):
+    return catalog.tier_outcome(_fetches(spark, sf_dir), "user_id")
+
+
+def tier_statistics(spark, sf_dir):
+    return catalog.tier_counts(_fetches(spark, sf_dir))
+
+
+def backoff_schedule(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_linenumber").distinct().select("l_linenumber", catalog.backoff_seconds(F.col("l_linenumber")).alias("wait_s"))
+
+
+def first_five_pages(spark, sf_dir):
+    return catalog.first_pages(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", 5)
+
+
+def ajax_chapter_list(spark, sf_dir):
+    payload = F.to_json(F.struct(F.when(F.pmod("p_partkey", F.lit(9)) == 0, 404).otherwise(200).alias("rs"), F.array(F.struct(F.lit("1").alias("ordernum"), F.col("p_name").alias("title")), F.struct(F.lit("2").alias("ordernum"), F.col("p_brand").alias("title"))).alias("data")))
+    return catalog.ajax_chapters(_t(spark, sf_dir, "part").select("p_partkey", payload.alias("payload")), "payload", "p_partkey")
+
+
+def extract_chapter(spark, sf_dir):
+    return extract.extract_chapters(_t(spark, sf_dir, "pages"))
+
+
+_QUERIES = [
+    scoring_len, content_chars, punct_count, norm_text, preview_text, safe_names, author_notes, dedup_keep_first, relevance_rank, source_counts, feed_union, page_host_tokens,
+    challenge_flag, absolute_links, chapter_numbers, chapter_numbers_compat, natural_chapter_sort, natural_chapter_sort_reverse, tier_outcomes, tier_statistics, backoff_schedule,
+    first_five_pages, ajax_chapter_list, extract_chapter,
+]
+
+_SORTED = """
+    SELECT l_orderkey, l_linenumber AS original_index, row_number() OVER (PARTITION BY l_orderkey ORDER BY
+        CASE WHEN l_partkey % 4 > 0 THEN 0 ELSE 1 END, CASE WHEN l_partkey % 4 > 0 THEN l_suppkey % 2 END {way}, CASE WHEN l_partkey % 4 > 0 THEN l_partkey % 4 END {way}, l_linenumber {way}) AS position
+    FROM lineitem"""
+_FETCHES = "(SELECT user_id, event_id % 3 + 1 AS tier, coalesce(value > 20, false) AS success, CASE WHEN event_id % 5 = 0 THEN 403 ELSE 200 END AS status_code FROM events)"
+_GENERIC = ", ".join(f"'{x}'" for x in T.GENERIC_HOST)
+_NOTES = " OR ".join("contains(lower(text), '{}')".format(m.replace("'", "''")) for m in T.AUTHOR_NOTES if m not in ("ps.", "a/n"))
+
+_SQL = {
+    "scoring_len": r"SELECT doc_id, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS n FROM documents",
+    "content_chars": r"SELECT doc_id, length(regexp_replace(text, '[^0-9A-Za-z\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]', '', 'g')) AS n FROM documents",
+    "punct_count": "SELECT doc_id, length(text) - length(regexp_replace(text, '[,，.。;；]', '', 'g')) AS n FROM documents",
+    "norm_text": r"SELECT doc_id, trim(regexp_replace(text, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS text FROM documents",
+    "preview_text": "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || ' ...' ELSE text END AS preview FROM documents",
+    "safe_names": r"""SELECT page_id, substr(regexp_replace(url, '[<>:"/\\|?？*]', '_', 'g'), 1, 50) AS name FROM pages""",
+    "author_notes": rf"SELECT doc_id, ({_NOTES} OR regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}])(ps\.|a/n)')) AS note, ({_NOTES} OR contains(lower(text), 'ps.') OR contains(lower(text), 'a/n')) AS note_compat FROM documents",
+    "dedup_keep_first": "SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1",
+    "relevance_rank": "SELECT p_partkey, round(CASE WHEN contains(lower(p_name), 'green') THEN 1 - abs(5 - length(p_name)) / greatest(5, length(p_name)) ELSE 0.5 END, 6)::DOUBLE AS relevance FROM part",
+    "source_counts": "SELECT source, count(*) AS n FROM documents GROUP BY source",
+    "feed_union": "SELECT doc_id, source FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id, source FROM documents WHERE source = 'src2' UNION ALL SELECT doc_id, source FROM documents WHERE source = 'src1'",
+    "page_host_tokens": rf"SELECT page_id, array_to_string(list_filter(string_split_regex(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '[^a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({_GENERIC})), ' ') AS tokens FROM pages",
+    "challenge_flag": "SELECT page_id, regexp_matches(substr(html, 1, 15000), '(?i)" + "|".join(T.CHALLENGE) + "') AS challenge FROM pages",
+    "absolute_links": r"""
+        SELECT page_id, CASE page_id % 5 WHEN 0 THEN regexp_extract(url, '^(\w+://[^/?#]*)', 1) || '/a/b'
+            WHEN 1 THEN regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || 'x.html'
+            WHEN 2 THEN regexp_extract(url, '^(\w+):', 1) || '://h.example/p' WHEN 3 THEN regexp_replace(url, '[?#].*$', '') || '?q=1' ELSE 'https://o.example/z' END AS url
+        FROM pages""",
+    "chapter_numbers": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 6 THEN 0 ELSE p_size END::DOUBLE AS number, CASE WHEN p_partkey % 7 = 4 THEN p_size % 5 + 1 ELSE 0 END::INT AS volume FROM part",
+    "chapter_numbers_compat": "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN CASE WHEN p_size < 10 THEN p_size WHEN p_size < 20 THEN 0 ELSE p_size // 10 * 10 END WHEN 1 THEN 0 ELSE p_size END::DOUBLE AS number FROM part WHERE p_partkey % 7 IN (0, 1, 2, 3)",
+    "natural_chapter_sort": _SORTED.format(way=""),
+    "natural_chapter_sort_reverse": _SORTED.format(way="DESC"),
+    "tier_outcomes": f"SELECT user_id, (min(tier) FILTER (success AND status_code = 200))::INT AS tier, count(*) AS tries FROM {_FETCHES} GROUP BY user_id",
+    "tier_statistics": f"SELECT tier::INT AS tier, count(*) FILTER (success) AS hits, count(*) FILTER (NOT success) AS failures FROM {_FETCHES} GROUP BY tier",
+    "backoff_schedule": "SELECT DISTINCT l_linenumber, CASE WHEN l_linenumber < 2 THEN 0.0 ELSE pow(2, l_linenumber - 1) * 0.5 END::DOUBLE AS wait_s FROM lineitem",
+    "first_five_pages": "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem) WHERE r <= 5",
+    "ajax_chapter_list": """
+        SELECT p_partkey, p_name AS title, '/read/' || p_partkey || '/p1.html' AS url, 0 AS original_index FROM part WHERE p_partkey % 9 <> 0
+        UNION ALL SELECT p_partkey, p_brand, '/read/' || p_partkey || '/p2.html', 1 FROM part WHERE p_partkey % 9 <> 0""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
