@@ -165,7 +165,7 @@ def _groups(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def _flagged(docs: DataFrame, items: list[tuple[int, str]], keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with found: array of (item_id, similarity, start_word)."""
+    """The columns `keep` of docs with __found: array of (item_id, similarity, start_word)."""
     spark = docs.sparkSession
     arrow_batches(spark, 2000)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
@@ -183,7 +183,7 @@ def _flagged(docs: DataFrame, items: list[tuple[int, str]], keep: list[str]) ->
                 found = pa.array([[{"item_id": i, "similarity": s, "start_word": w} for i, s, w in f] for f in found], out.field(len(keep)).type)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found], schema=out)
 
-    return rows.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "found")
+    return rows.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("found").alias("__found"))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     result = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start_word long")
     for items in _groups(benchmark):
-        found = _flagged(docs, items, ["doc_id"]).where(F.size("found") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.inline("found"))
+        found = _flagged(docs, items, ["doc_id"]).where(F.size("__found") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.inline("__found"))
         result = result.union(found)
     return result
 
@@ -203,5 +203,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a window like any benchmark item, with the columns of docs."""
     columns = docs.columns
     for items in _groups(benchmark):
-        docs = _flagged(docs, items, columns).where(F.size("found") == 0).select(*columns)
+        docs = _flagged(docs, items, columns).where(F.size("__found") == 0).select(*columns)
     return docs

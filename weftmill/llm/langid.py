@@ -143,7 +143,7 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel | None:
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns `keep` of docs) with lang_pred, score (0 to 1, the cosine) and rejected, from text alone.
+    """doc_id with lang_pred, score (0 to 1, the cosine) and rejected, from text alone; or the columns `keep` of docs with __lang_pred, __score and __rejected.
 
     Null text and text without a letter give `und`, 0 and rejected, as does every text where model is None. Rows are
     independent: repeated rows give repeated results, ties go to the first centroid, an empty table gives an empty
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] | Non
     """
     spark = docs.sparkSession
     arrow_batches(spark, 500)
-    keep = keep or ["doc_id"]
+    mark, keep = "__" * bool(keep), keep or ["doc_id"]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     schema += ", lang_pred string, score double, rejected boolean"
@@ -173,4 +173,4 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] | Non
                     yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names), pa.array(np.where(lettered, score, 0.0)), pa.array(far | ~lettered)], schema=out)
 
     found = rows.mapInArrow(run, schema)
-    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(f"{mark}{c}") for c in ("lang_pred", "score", "rejected")])

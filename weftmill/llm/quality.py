@@ -182,14 +182,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> QualityModel | Non
 
 
 def score(docs: DataFrame, model: QualityModel | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns `keep` of docs) with score (0 to 1) and predicted (1 where score >= THRESHOLD), from text alone.
+    """doc_id with score (0 to 1) and predicted (1 where score >= THRESHOLD), from text alone; or the columns `keep` of docs with __score and __predicted.
 
     Null counts as empty text, which has a score too; without a model every score is 0.5. Rows are independent, repeated
     rows give repeated results, an empty table gives an empty result, other columns are not looked at.
     """
     spark = docs.sparkSession
     arrow_batches(spark, 1000)
-    keep = keep or ["doc_id"]
+    mark, keep = "__" * bool(keep), keep or ["doc_id"]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))) + ", score double"
     out, shared = arrow_schema(schema), spark.sparkContext.broadcast(model)
@@ -202,4 +202,4 @@ def score(docs: DataFrame, model: QualityModel | None, keep: list[str] | None =
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s, pa.float64())], schema=out)
 
     found = rows.mapInArrow(run, schema)
-    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(f"{mark}score"), (F.col("score") >= THRESHOLD).cast("int").alias(f"{mark}predicted"))

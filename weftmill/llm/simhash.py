@@ -43,8 +43,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > k).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """The columns `keep` of docs (doc_id) with fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
+    """The columns `keep` of docs (doc_id) with the fingerprint as a signed long, under this name."""
     arrow_batches(docs.sparkSession, 1000)
     keep = keep or ["doc_id"]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int =
                 fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fp)], schema=out)
 
-    return rows.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "fp")
+    return rows.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("fp").alias(name))
 
 
 def syndrome(fp: np.ndarray) -> np.ndarray:
@@ -205,6 +205,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = grouped(docs)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    roots = found.where("component_id IS NULL AND fp = root").select("fp").distinct()
-    nameless = fingerprints(docs.where("doc_id IS NULL"), docs.columns).join(roots, "fp", "left_semi").dropDuplicates(["fp"])
+    roots = found.where("component_id IS NULL AND fp = root").select(F.col("fp").alias("__fp")).distinct()
+    nameless = fingerprints(docs.where("doc_id IS NULL"), docs.columns, name="__fp").join(roots, "__fp", "left_semi").dropDuplicates(["__fp"])
     return kept.unionByName(nameless.select(docs.columns))
