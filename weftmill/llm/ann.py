@@ -22,8 +22,8 @@ from .common import arrow_batches, arrow_schema, hashed_share, saved
 
 #: Neighbours in a list, pool of a search, most rounds of either.
 DEGREE, POOL, ROUNDS, HOPS = 32, 64, 4, 8
-#: About so many nodes for a pivot, at most so many pivots (the bound of what is broadcast), pivots that a node starts from, most nodes compared at the start, nodes of a block.
-PER_PIVOT, PIVOTS, NEAR_PIVOTS, START, BLOCK = 400, 4096, 3, 1500, 2500
+#: About so many nodes for a pivot, at most so many pivots (the bound of what is broadcast), pivots that a node starts from, most nodes compared at the start, nodes of a block, fewest blocks (for enough tasks).
+PER_PIVOT, PIVOTS, NEAR_PIVOTS, START, BLOCK, BLOCKS = 400, 4096, 3, 1500, 5000, 12
 SETTLED, STILL = 0.05, 0.01
 
 
@@ -85,7 +85,7 @@ def assign(nodes: DataFrame, count: int, dim: int) -> DataFrame:
     picked = nodes.where(hashed_share(F.col("node"), 1.2 * want / count)).orderBy("node").limit(2 * want).collect() if want > 1 else []
     pivots = np.array([r["vec"] for r in picked] or [[0.0] * dim], dtype=np.float32)
     shared = spark.sparkContext.broadcast(pivots)
-    coarse = np.linspace(0, len(pivots) - 1, max(1, min(len(pivots), round(count / BLOCK)))).astype(int)
+    coarse = np.linspace(0, len(pivots) - 1, max(1, min(len(pivots), max(BLOCKS, round(count / BLOCK))))).astype(int)
     schema = "node long, vec binary, near array<int>, mid int"
     out = arrow_schema(schema)
 
