@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numerals
 from ..functions import text as T
-from ..operators import catalog, extract
+from .. import streaming
+from ..operators import catalog, extract, sites
+from ..sources import files
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,10 +152,61 @@ def extract_chapter(spark, sf_dir):
     return extract.extract_chapters(_t(spark, sf_dir, "pages"))
 
 
+def novel_info(spark, sf_dir):
+    return sites.novel_info(_t(spark, sf_dir, "pages"))
+
+
+def chapter_list(spark, sf_dir):
+    return sites.chapter_list(_t(spark, sf_dir, "pages"))
+
+
+def page_links(spark, sf_dir):
+    return sites.harvest(_t(spark, sf_dir, "pages"), ["links"]).select("page_id", "url", "links.*")
+
+
+def search_listing(spark, sf_dir):
+    return sites.harvest(_t(spark, sf_dir, "pages"), ["search"]).select("page_id", "source", F.inline("search"))
+
+
+def feed_listing(spark, sf_dir):
+    return sites.harvest(_t(spark, sf_dir, "pages"), ["feed"]).select("page_id", "source", F.inline("feed"))
+
+
+def _book_chapters(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    return part.select(F.col("p_brand").alias("book"), F.lower("p_type").alias("source"), F.col("p_partkey").alias("position"), F.concat("p_name", F.lit(" / "), "p_type").alias("title"), F.concat(F.lit("/read/"), F.col("p_partkey").cast("string")).alias("url"), F.col("p_name").alias("content"), F.pmod("p_partkey", F.lit(3)).alias("volume"))
+
+
+def chapter_export(spark, sf_dir):
+    return files.chapter_files(_book_chapters(spark, sf_dir))
+
+
+def chapter_export_interactive(spark, sf_dir):
+    return files.chapter_files(_book_chapters(spark, sf_dir), "interactive")
+
+
+def chapter_view(spark, sf_dir):
+    return files.chapter_view(_book_chapters(spark, sf_dir), "book", "position")
+
+
+def result_view(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", files.ellipsis(F.col("text")).alias("description"))
+
+
+def fetch_windows(spark, sf_dir):
+    return streaming.tier_windows(_fetches(spark, sf_dir)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+def page_source(spark, sf_dir):
+    url = F.concat(F.lit("https://"), F.when(F.pmod("page_id", F.lit(3)) == 0, "m.ttkan.example").when(F.pmod("page_id", F.lit(3)) == 1, "m.shuhaige.net").otherwise("other.example"), F.lit("/x"))
+    return _t(spark, sf_dir, "pages").select("page_id", sites.source_of(url).alias("source"))
+
+
 _QUERIES = [
     scoring_len, content_chars, punct_count, norm_text, preview_text, safe_names, author_notes, dedup_keep_first, relevance_rank, source_counts, feed_union, page_host_tokens,
     challenge_flag, absolute_links, chapter_numbers, chapter_numbers_compat, natural_chapter_sort, natural_chapter_sort_reverse, tier_outcomes, tier_statistics, backoff_schedule,
-    first_five_pages, ajax_chapter_list, extract_chapter,
+    first_five_pages, ajax_chapter_list, extract_chapter, novel_info, chapter_list, page_links, search_listing, feed_listing, chapter_export, chapter_export_interactive, chapter_view, result_view,
+    fetch_windows, page_source,
 ]
 
 _SORTED = """
@@ -197,6 +250,18 @@ _SQL = {
 }
 
 
+_SQL |= {
+    "chapter_export": r"""SELECT p_brand || '_' || lower(p_type) AS folder, printf('%04d_', p_partkey) || substr(replace(p_name || ' / ' || p_type, '/', '_'), 1, 100) || '.txt' AS file,
+        'Title: ' || p_name || ' / ' || p_type || chr(10) || 'URL: /read/' || p_partkey || chr(10) || 'Source: ' || lower(p_type) || chr(10) || chr(10) || p_name AS body FROM part""",
+    "chapter_export_interactive": "SELECT p_brand || '_chapters' AS folder, printf('%04d_', p_partkey) || replace(p_name || ' / ' || p_type, '/', '_') || '.txt' AS file, 'Title: ' || p_name || ' / ' || p_type || chr(10) || chr(10) || p_name AS body FROM part",
+    "chapter_view": """SELECT book, n, printf('%4d. ', n) || CASE WHEN p_partkey % 3 > 0 THEN '[Vol.' || p_partkey % 3 || '] ' ELSE '' END || p_name || ' / ' || p_type AS line
+        FROM (SELECT *, p_brand AS book, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INT AS n FROM part) WHERE n <= 50""",
+    "result_view": "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS description FROM documents",
+    "fetch_windows": f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, tier::INT AS tier, count(*) FILTER (success) AS hits, count(*) FILTER (NOT success) AS failures FROM {_FETCHES.replace('SELECT user_id', 'SELECT ts, user_id', 1)} GROUP BY ALL",
+    "page_source": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'ttkan' WHEN 1 THEN 'shuhaige' END AS source FROM pages",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _QUERIES}
 
