@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weftmill import streaming
 from weftmill.operators import sites
+from weftmill.operators.extract import extract_chapter, extract_chapters
+from weftmill.operators.profiles import PROFILES
 from weftmill.sources import files
 from weftmill.sources.sites import SITES
 
@@ -93,3 +95,17 @@ def test_stream_windows_and_repeats(spark, tmp_path):
         assert streaming.write_stream(rows, str(tmp_path / f"o{k}"), str(tmp_path / f"c{k}")).awaitTermination(300)
         got = spark.read.parquet(str(tmp_path / f"o{k}"))
         assert sorted(tuple(r[c] for c in (("tier", "hits", "failures") if k == 0 else ("tier",))) for r in got.collect()) == want
+
+
+PROSE = "".join(f"<p>Sentence number {k} tells, at some length and without any haste, what happened to the old ferryman that day.</p>" for k in range(12))
+
+
+@pytest.mark.parametrize("profile", sorted(PROFILES))
+def test_profiles(spark, profile):
+    menu = "<div class=menu>" + "".join(f"<a href=/{k}>Item {k}</a>" for k in range(30)) + "</div>"
+    r = extract_chapter(f"<body>{menu}<div id=content><h1>Chapter 5</h1>{PROSE}</div></body>", profile=profile)
+    assert "ferryman" in r["content"] and "Item 7" not in r["content"] and r["content"].count("ferryman") == 12 and 0.2 < r["confidence"] <= 1
+    for html in ("", "<", "<p>x", "<div>" + "<a href=/>link</a>" * 40 + "</div>"):
+        assert 0 <= extract_chapter(html, profile=profile)["confidence"] <= 1
+    df = rows(spark, (1, None, None), (2, "u", PROSE))
+    assert [x["page_id"] for x in extract_chapters(df, profile=profile).orderBy("page_id").collect()] == [1, 2]

@@ -325,20 +325,27 @@ class Extraction:
         return title, text, round(self.confidence(chosen, margin, scoring_length(text)), 3), "single" if len(chosen) == 1 else "merged"
 
 
-def extract_chapter(html: str, url: str = "", compat: bool = False) -> dict:
+def _profile(name: str) -> type[Extraction]:
+    from .profiles import PROFILES
+
+    return PROFILES[name]
+
+
+def extract_chapter(html: str, url: str = "", compat: bool = False, profile: str = "standard") -> dict:
     """title, content, confidence and mode of one page."""
-    title, content, confidence, mode = Extraction(html or "", url or "", compat).result()
+    title, content, confidence, mode = _profile(profile)(html or "", url or "", compat).result()
     return {"title": title, "content": content, "confidence": confidence, "mode": mode}
 
 
-def extract_chapters(pages: DataFrame, compat: bool = False) -> DataFrame:
-    """page_id, url, title, content, confidence, mode of each row of pages (page_id, url, html); null html gives empty text."""
+def extract_chapters(pages: DataFrame, compat: bool = False, profile: str = "standard") -> DataFrame:
+    """page_id, url, title, content, confidence, mode of each row of pages (page_id, url, html), by a profile of PROFILES; null html gives empty text."""
+    make = _profile(profile)
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("title", pa.string()), ("content", pa.string()), ("confidence", pa.float64()), ("mode", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [Extraction(h or "", u or "", compat).result() for h, u in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist())]
+            rows = [make(h or "", u or "", compat).result() for h, u in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist())]
             columns = [pa.array([r[k] for r in rows], schema.field(k + 2).type) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], schema=schema)
 

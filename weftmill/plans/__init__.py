@@ -152,6 +152,14 @@ def extract_chapter(spark, sf_dir):
     return extract.extract_chapters(_t(spark, sf_dir, "pages"))
 
 
+def _by_profile(profile):
+    def query(spark, sf_dir):
+        return extract.extract_chapters(_t(spark, sf_dir, "pages"), profile=profile)
+
+    query.__name__ = f"extract_chapter_{profile}"
+    return query
+
+
 def novel_info(spark, sf_dir):
     return sites.novel_info(_t(spark, sf_dir, "pages"))
 
@@ -206,7 +214,7 @@ _QUERIES = [
     scoring_len, content_chars, punct_count, norm_text, preview_text, safe_names, author_notes, dedup_keep_first, relevance_rank, source_counts, feed_union, page_host_tokens,
     challenge_flag, absolute_links, chapter_numbers, chapter_numbers_compat, natural_chapter_sort, natural_chapter_sort_reverse, tier_outcomes, tier_statistics, backoff_schedule,
     first_five_pages, ajax_chapter_list, extract_chapter, novel_info, chapter_list, page_links, search_listing, feed_listing, chapter_export, chapter_export_interactive, chapter_view, result_view,
-    fetch_windows, page_source,
+    fetch_windows, page_source, *map(_by_profile, ("density", "additive", "propagation", "threshold", "capped")),
 ]
 
 _SORTED = """
