@@ -7,6 +7,7 @@ from .extract import DENSE, Candidate, Extraction
 
 CONTAINERS = frozenset("div section article main td body li dd".split())
 
+
 class Profile(Extraction):
     """Candidates are the containers of at least `least` characters, by points()."""
 
