@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, arrow_schema, saved, slices
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 CAPACITY = 4096
 
@@ -38,7 +38,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, w
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path)
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
                 offsets, ids = encoder.encode_ended(batch.column("text"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, arrow_schema, new_path, saved, slices
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 MAGIC = b"WFPFOR01"
 BLOCK = 1024
@@ -59,11 +59,9 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     rows, n = ids.shape
     least = ids.min(axis=1).astype(np.uint32)
     rest = ids - least[:, None]
-    need = np.zeros(rest.shape, dtype=np.uint8)
-    for bit in range(int(rest.max()).bit_length() if rest.size else 0):
-        need[rest >= np.uint32(1 << bit)] = bit + 1
     k = min(n - 1, -(-n * PERCENTILE // 100) - 1)
-    widths = np.partition(need, k, axis=1)[:, k]
+    # the k-th least difference has the k-th least bit length
+    widths = np.frexp(np.partition(rest, k, axis=1)[:, k].astype(np.float64))[1]
     out: list[bytes] = [b""] * rows
     for width in np.unique(widths).tolist():
         which = np.flatnonzero(widths == width)
@@ -175,12 +173,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> DataFr
         from pyarrow import fs
 
         context = TaskContext.get()
-        encoder, out, n_docs, n_tokens = WordEncoder(tokenizer_path), None, 0, 0
+        encoder, out, n_docs, n_tokens = word_encoder(tokenizer_path), None, 0, 0
         where, root = fs.FileSystem.from_uri(path)
         name = f"shard-{context.partitionId():06d}.pfor"
         own = f"{root}/{name}.{context.taskAttemptId()}"
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 6 << 20):
                 if out is None:
                     where.create_dir(root, recursive=True)
                     stream = where.open_output_stream(own)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ import pyarrow.compute as pc
 from .common import gather_ragged, split_words
 
 END_ID = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 #: Latin letters whose lower case and normal form are plain, then ASCII punctuation: the pre-tokenizer cuts between the two.
 PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 
@@ -22,7 +24,7 @@ class WordEncoder:
     The file's pre-tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are those
     of its pieces between spaces and line feeds, in order. A plain piece is a lower-cased word and a tail of punctuation,
     which are pre-tokens of their own; any other piece is encoded as it stands. Each distinct word is encoded once and
-    kept, up to CACHE_WORDS.
+    kept, up to CACHE_WORDS; beyond that, words met in one batch only make room.
     """
 
     def __init__(self, path: str):
@@ -40,6 +42,17 @@ class WordEncoder:
     def _clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.counts, self.values = [np.zeros(1, dtype=np.int64)], [np.empty(0, dtype=np.uint32)]
+        self.offsets, self.again = np.zeros(2, dtype=np.int64), np.ones(1, dtype=bool)
+
+    def _make_room(self) -> None:
+        """Forgets the words that no later batch met again, or all words where that is not enough."""
+        if np.count_nonzero(self.again) > CACHE_WORDS // 2:
+            return self._clear()
+        self.known = {w: i for i, w in enumerate(compress(self.known, self.again.tolist()))}
+        counts, values = gather_ragged(self.offsets, self.values[0], np.flatnonzero(self.again))
+        self.counts, self.values = [counts], [values]
+        self.offsets, self.again = np.concatenate([[0], np.cumsum(counts)]), np.zeros(len(counts), dtype=bool)
+        self.again[0] = True
 
     def _keep(self, words: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
@@ -47,11 +60,10 @@ class WordEncoder:
         self.values.append(ids)
 
     def _learn(self, words: list[str], plain: bool) -> None:
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
             if plain:  # one pre-token each, so each one's ids end with its only word end
-                ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
                 stops = np.flatnonzero(self.ends_word[ids]) + 1
                 counts = np.diff(stops, prepend=0)
                 assert len(stops) == len(part) and stops[-1] == len(ids)
@@ -64,7 +76,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids one after the other); null counts as empty."""
         if len(self.known) > CACHE_WORDS:
-            self._clear()
+            self._make_room()
         pieces, distinct, codes = split_words(texts)
         parts = pc.extract_regex(distinct, PLAIN)
         plain = parts.is_valid()
@@ -74,12 +86,19 @@ class WordEncoder:
         units = np.empty((len(distinct), 3), dtype=np.int64)
         for k, (coded, one_word) in enumerate(((cores, True), (tails, False), (others, False))):
             words = coded.dictionary.to_pylist()
-            self._learn(words, one_word)
-            at = np.array([self.known[w] for w in words], dtype=np.int64)
+            at = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+            new, old = at < 0, at[(at >= 0) & (at < len(self.again))]
+            self.again[old] = True
+            if new.any():
+                fresh = len(self.known)
+                self._learn(list(compress(words, new.tolist())), one_word)
+                at[new] = np.arange(fresh, len(self.known))
             units[:, k] = at[np.asarray(coded.indices)]
-        self.counts, self.values = [np.concatenate(self.counts)], [np.concatenate(self.values)]
-        offsets = np.concatenate([[0], np.cumsum(self.counts[0])])
-        n, ids = gather_ragged(offsets, self.values[0], units.ravel())
+        if len(self.counts) > 1:
+            self.counts, self.values = [np.concatenate(self.counts)], [np.concatenate(self.values)]
+            self.offsets = np.concatenate([[0], np.cumsum(self.counts[0])])
+            self.again = np.concatenate([self.again, np.zeros(len(self.known) - len(self.again), dtype=bool)])
+        n, ids = gather_ragged(self.offsets, self.values[0], units.ravel())
         offsets = np.concatenate([[0], np.cumsum(n.reshape(-1, 3).sum(axis=1))])
         n, ids = gather_ragged(offsets, ids, codes)
         ends = np.concatenate([[0], np.cumsum(n)])
@@ -94,3 +113,9 @@ class WordEncoder:
         keep[offsets[1:] - 1] = False
         out[keep] = ids
         return offsets, out
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The worker process's own encoder: the words that it knows outlive a task, bounded by CACHE_WORDS."""
+    return WordEncoder(path)
