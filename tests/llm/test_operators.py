@@ -61,6 +61,17 @@ def test_encoder_equals_library(encoder, texts):
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == library_ids(texts)
 
 
+def test_encoder_makes_room(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    small, sizes = tokens.WordEncoder(queries.tokenizer("word_bpe_49k.json")), []
+    for k in range(60):
+        texts = [f"the same words, again {chr(97 + k % 26)}q{k}x zz{'abc'[k % 3] * (k % 9)} end.", None, "", f"{k} b!{k}"]
+        offsets, ids = small.encode_ended(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == library_ids(texts)
+        sizes.append(len(small.known))
+    assert max(sizes) < 60 and any(b < a for a, b in zip(sizes, sizes[1:]))
+
+
 @pytest.fixture(scope="session")
 def counter():
     return tokencount.MergeCounter(queries.tokenizer("piece_bpe_32k.model"))
