@@ -117,3 +117,18 @@ def test_null_html(spark):
     from weftmill.operators.extract import extract_chapters
 
     assert extract_chapters(df).first()["content"] == ""
+
+
+def test_accepted_tier(spark):
+    page, check = "x" * 101, "正在验证浏览器" + "x" * 101
+    rows_ = [(1, 1, False, 200, page), (2, 1, False, 403, page), (2, 2, True, 200, None), (3, 1, False, 200, "x"), (3, 3, False, 503, "x"), (4, 3, False, 200, ""), (4, 4, None, None, None), (5, 2, False, 200, "x" * 100)]
+    df = spark.createDataFrame(rows_, "r int, tier int, success boolean, status_code int, html string")
+    assert rows(tuple(r) for r in catalog.accepted_tier(df, "r").collect()) == rows([(1, 1, 1), (2, 2, 2), (3, 3, 2), (4, 4, 2), (5, None, 1)])
+    marks = spark.createDataFrame([(check,), ('LET TOKEN = "a"',), ("window.location.href = '/Challenge'",), ("window.location.href\nchallenge",), ("",), (None,)], "h string")
+    assert [r[0] for r in marks.select(T.is_script_challenge(F.col("h"))).collect()] == [True, True, True, False, False, False]
+
+
+def test_live_entries(spark):
+    df = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP '2024-01-01 00:00:00'), ('a', TIMESTAMP '2024-01-01 00:00:50'), ('b', TIMESTAMP '2024-01-01 00:00:30'), ('c', NULL) AS t(k, ts)")
+    found = catalog.live_entries(df, "k", "ts", F.lit("2024-01-01 00:01:00").cast("timestamp"), 30.0)
+    assert [(r["k"], r["age_s"]) for r in found.collect()] == [("a", 10.0)]

@@ -10,6 +10,8 @@ CONTENT_CLASS = r"[^0-9A-Za-z\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}
 PUNCTUATION = "[,，.。;；]"
 # Host parts that say nothing about a site, and page marks of an access check.
 GENERIC_HOST = "www m wap app blog html php asp aspx jsp cgi com org net edu gov io co us uk cc top xyz vip club site online store dev test localhost 127 0".split()
+#: Marks of a page whose script runs an access check.
+SCRIPT_CHALLENGE = [r'let token = "[^"]+"', r"window\.location\.href.*challenge", "請稍等，正在進行安全驗證", "正在验证浏览器"]
 CHALLENGE = [
     "cf-browser-verification", "challenge-platform", "jschl-answer", "cf_chl_opt", "cdn-cgi/challenge", "Just a moment", "Checking your browser before", "Attention Required",
     "cf-turnstile", "__cf_bm", "cf_clearance", "hcaptcha", "g-recaptcha", "geetest", "imperva", "_Incapsula_Resource", "403 Forbidden", "Access Denied", "Bot Detection",
@@ -93,6 +95,11 @@ def is_challenge(html: Column, status: Column | None = None) -> Column:
     return found if status is None else found | F.coalesce(status.isin(403, 429, 503), F.lit(False))
 
 
+def is_script_challenge(html: Column) -> Column:
+    """A page whose script runs an access check, by marks anywhere in it; false for null."""
+    return F.coalesce(html.rlike("(?iud)" + "|".join(SCRIPT_CHALLENGE)), F.lit(False))
+
+
 def has_author_note(c: Column, compat: bool = False) -> Column:
     """A paragraph that starts an author's note. The marks `ps.` and `a/n` have to stand alone, unless compat."""
     low = F.lower(c)

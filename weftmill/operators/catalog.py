@@ -78,6 +78,29 @@ def tier_outcome(fetches: DataFrame, request: str) -> DataFrame:
     return fetches.groupBy(request).agg(F.min(F.when(good, F.col("tier"))).alias("tier"), F.count("*").alias("tries"))
 
 
+def accepted_tier(fetches: DataFrame, request: str) -> DataFrame:
+    """The tier whose page (html) each request ends with; null where it has no such tier.
+
+    A success is taken at any tier; else a page of over 100 characters without challenge marks at tiers 1 and 2, any
+    text at tier 3 and whatever there is at tier 4. Null success, status and html count as false, unmarked and empty.
+    """
+    html = F.coalesce("html", F.lit(""))
+    plain = (F.length(html) > 100) & ~T.is_challenge(html, F.col("status_code"))
+    good = F.coalesce("success", F.lit(False)) | F.when(F.col("tier") <= 2, plain).when(F.col("tier") == 3, html != "").otherwise(F.col("tier") == 4)
+    return fetches.groupBy(request).agg(F.min(F.when(good, F.col("tier"))).alias("tier"), F.count("*").alias("tries"))
+
+
+def _seconds(ts: Column) -> Column:
+    """Seconds since the epoch of a time with or without a zone."""
+    return ts.cast("timestamp").cast("double")
+
+
+def live_entries(entries: DataFrame, key: str, created: str, now: Column, most_s: float) -> DataFrame:
+    """The newest entry of each key (key, created, age_s) that is younger than most_s seconds at `now`; null times are left out."""
+    newest = entries.groupBy(key).agg(F.max(created).alias(created))
+    return newest.withColumn("age_s", _seconds(now) - _seconds(F.col(created))).where(F.col("age_s") < most_s)
+
+
 def tier_counts(fetches: DataFrame) -> DataFrame:
     """Successes and failures of each tier."""
     return fetches.groupBy("tier").agg(F.count_if("success").alias("hits"), F.count_if(~F.col("success")).alias("failures"))
@@ -91,4 +114,4 @@ def backoff_seconds(attempt: Column) -> Column:
 def request_gaps(log: DataFrame, domain: str, ts: str) -> DataFrame:
     """log with the seconds since the domain's request before it, null at its first."""
     last = F.lag(ts).over(Window.partitionBy(domain).orderBy(ts, *[c for c in log.columns if c not in (domain, ts)]))
-    return log.withColumn("gap_s", F.col(ts).cast("double") - last.cast("double"))
+    return log.withColumn("gap_s", _seconds(F.col(ts)) - _seconds(last))

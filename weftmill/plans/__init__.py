@@ -131,6 +131,29 @@ def tier_outcomes(spark, sf_dir):
     return catalog.tier_outcome(_fetches(spark, sf_dir), "user_id")
 
 
+def accepted_tiers(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 4)])).alias("tier"), "html")
+    n = F.pmod(F.col("page_id") + F.col("tier"), F.lit(5))
+    html = F.when(n == 0, "").when(n == 1, F.substring("html", 1, 90)).otherwise(F.col("html"))
+    status = F.when(F.pmod(F.col("page_id") * F.col("tier"), F.lit(3)) == 0, 200).otherwise(503)
+    return catalog.accepted_tier(pages.select("page_id", "tier", html.alias("html"), status.alias("status_code"), F.lit(False).alias("success")), "page_id")
+
+
+def live_sessions(spark, sf_dir):
+    found = catalog.live_entries(_t(spark, sf_dir, "events"), "user_id", "ts", F.lit("2024-01-30 23:57:12").cast("timestamp"), 86400.0)
+    return found.select("user_id", F.round("age_s", 3).alias("age_s"))
+
+
+def request_gaps(spark, sf_dir):
+    log = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return catalog.request_gaps(log, "user_id", "ts").select("event_id", F.round("gap_s", 3).alias("gap_s"))
+
+
+def script_challenge_flag(spark, sf_dir):
+    html = F.when(F.pmod("page_id", F.lit(4)) == 0, F.concat("html", F.lit('<script>Let Token = "x"</script>'))).when(F.pmod("page_id", F.lit(4)) == 1, F.concat("html", F.lit("正在验证浏览器"))).otherwise(F.col("html"))
+    return _t(spark, sf_dir, "pages").select("page_id", T.is_script_challenge(html).alias("challenge"))
+
+
 def tier_statistics(spark, sf_dir):
     return catalog.tier_counts(_fetches(spark, sf_dir))
 
@@ -212,7 +235,7 @@ def page_source(spark, sf_dir):
 
 _QUERIES = [
     scoring_len, content_chars, punct_count, norm_text, preview_text, safe_names, author_notes, dedup_keep_first, relevance_rank, source_counts, feed_union, page_host_tokens,
-    challenge_flag, absolute_links, chapter_numbers, chapter_numbers_compat, natural_chapter_sort, natural_chapter_sort_reverse, tier_outcomes, tier_statistics, backoff_schedule,
+    challenge_flag, absolute_links, chapter_numbers, chapter_numbers_compat, natural_chapter_sort, natural_chapter_sort_reverse, tier_outcomes, accepted_tiers, live_sessions, request_gaps, script_challenge_flag, tier_statistics, backoff_schedule,
     first_five_pages, ajax_chapter_list, extract_chapter, novel_info, chapter_list, page_links, search_listing, feed_listing, chapter_export, chapter_export_interactive, chapter_view, result_view,
     fetch_windows, page_source, *map(_by_profile, ("density", "additive", "propagation", "threshold", "capped")),
 ]
@@ -249,6 +272,11 @@ _SQL = {
     "natural_chapter_sort": _SORTED.format(way=""),
     "natural_chapter_sort_reverse": _SORTED.format(way="DESC"),
     "tier_outcomes": f"SELECT user_id, (min(tier) FILTER (success AND status_code = 200))::INT AS tier, count(*) AS tries FROM {_FETCHES} GROUP BY user_id",
+    "accepted_tiers": """SELECT page_id, min(CASE WHEN tier = 4 OR (tier = 3 AND h <> '') OR (tier <= 2 AND length(h) > 100 AND (page_id * tier) % 3 = 0 AND NOT regexp_matches(substr(h, 1, 15000), '(?i)""" + "|".join(T.CHALLENGE) + """')) THEN tier END)::INT AS tier, count(*) AS tries
+        FROM (SELECT page_id, tier, CASE (page_id + tier) % 5 WHEN 0 THEN '' WHEN 1 THEN substr(html, 1, 90) ELSE html END AS h FROM pages, range(1, 5) t(tier)) GROUP BY page_id""",
+    "live_sessions": "SELECT user_id, round(epoch(TIMESTAMP '2024-01-30 23:57:12') - epoch(max(ts)), 3)::DOUBLE AS age_s FROM events GROUP BY user_id HAVING epoch(TIMESTAMP '2024-01-30 23:57:12') - epoch(max(ts)) < 86400",
+    "request_gaps": "SELECT event_id, round(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 3)::DOUBLE AS gap_s FROM events",
+    "script_challenge_flag": """SELECT page_id, regexp_matches(CASE page_id % 4 WHEN 0 THEN html || '<script>Let Token = "x"</script>' WHEN 1 THEN html || '正在验证浏览器' ELSE html END, '(?i)""" + "|".join(T.SCRIPT_CHALLENGE) + """') AS challenge FROM pages""",
     "tier_statistics": f"SELECT tier::INT AS tier, count(*) FILTER (success) AS hits, count(*) FILTER (NOT success) AS failures FROM {_FETCHES} GROUP BY tier",
     "backoff_schedule": "SELECT DISTINCT l_linenumber, CASE WHEN l_linenumber < 2 THEN 0.0 ELSE pow(2, l_linenumber - 1) * 0.5 END::DOUBLE AS wait_s FROM lineitem",
     "first_five_pages": "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem) WHERE r <= 5",
