@@ -197,6 +197,21 @@ def test_op1(spark, sf_dir, docs, odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_op1_rejects_far_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = F.pmod(queries.id_crc32("doc_id"), F.lit(4)) == 2
+    model = langid.fit(docs, ~out)
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (200, 500, 2000)] + ["".join(rng.choice(list("0123456789abcdef"), 2000)), "x" * 3000]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem."
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    assert model.predict(pa.array([*noise, polish, finnish]))[2].all()
+    held = docs.where(out & F.col("text").isNotNull()).toPandas().text.tolist()
+    assert model.predict(pa.array(held))[2].mean() < 0.01
+    short = [" ".join(t.split()[:k]) for t in held for k in (1, 2, 4, 8)]
+    assert model.predict(pa.array([t for t in short if any(c.isalpha() for c in t)]))[2].mean() < 0.02
+
+
 def test_op6(spark, odd, none):
     found = queries.op6_quality(spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().set_index("doc_id")

@@ -17,8 +17,12 @@ DIM = 4096
 #: The fit sees at most about this many documents of each language, and this many languages, the most frequent first.
 FIT_PER_LANGUAGE, FIT_LANGUAGES = 500, 100
 CENTROIDS = 4
-#: A text is rejected where its cosine is below this share of the least that a fitted document has to its own language.
-REJECT_SHARE = 0.25
+#: A text is rejected where its cosine is below REJECT_SHARE of the REJECT_QUANTILE that fitted texts of its length and language have.
+REJECT_SHARE, REJECT_QUANTILE = 0.65, 0.02
+#: Lengths are classes of the binary logarithm of the number of n-grams; a class with fewer fitted texts takes the limit of a shorter one.
+LENGTHS, LENGTH_TEXTS = 24, 20
+#: The fit looks at the first so many characters of its documents too, as most are long.
+STARTS = (4, 8, 16, 32, 64, 128, 256, 512)
 UNKNOWN = "und"
 
 _LETTER = np.full(256, 32, dtype=np.uint8)
@@ -64,20 +68,36 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def length_class(counts: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int).clip(0, LENGTHS - 1)
+
+
+def limits(cos: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The cosine below which a text is rejected, of each length class, from the cosines of one language's fitted texts."""
+    out, last = np.zeros(LENGTHS), 0.0
+    for j in range(LENGTHS):
+        own = cos[length == j]
+        if len(own) >= LENGTH_TEXTS:
+            last = REJECT_SHARE * np.quantile(own, REJECT_QUANTILE)
+        out[j] = last
+    return out
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray  # one row each
     owner: np.ndarray  # the language of each centroid
-    least: np.ndarray  # of each language: cosines below are rejected
+    least: np.ndarray  # [language, length class]: cosines below are rejected
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the nearest centroid's language, cosine, rejected) of each text."""
-        cos = weighted(ngram_counts(texts), self.idf) @ self.centroids.T
+        counts = ngram_counts(texts)
+        cos = weighted(counts, self.idf) @ self.centroids.T
         best = cos.argmax(axis=1)
         score = np.clip(cos[np.arange(len(best)), best], 0, 1).astype(np.float64)
-        return self.owner[best], score, score < self.least[self.owner[best]]
+        return self.owner[best], score, score < self.least[self.owner[best], length_class(counts)]
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -96,11 +116,19 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def dense(rows: list) -> np.ndarray:
+    """Counts [rows, DIM] of sparse ones."""
+    out = np.zeros((len(rows), DIM), dtype=np.float32)
+    for i, r in enumerate(rows):
+        out[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["counts"], np.float32)
+    return out
+
+
 def fit(docs: DataFrame, learn: Column) -> LanguageModel | None:
     """Learns from the rows of docs (doc_id, text, lang) where learn holds and lang is not null; None where there are none.
 
     The documents are a fixed hashed share of each language, FIT_PER_LANGUAGE at most on average; their n-gram counts
-    are made by the executors, sparse.
+    are made by the executors, sparse. Their starts serve for the limits of short texts only.
     """
     arrow_batches(docs.sparkSession, 500)
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
@@ -111,7 +139,7 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel | None:
     for lang, n in sizes.items():
         chosen = chosen | ((F.col("lang") == lang) & hashed_share(F.struct("doc_id", F.xxhash64("text")), FIT_PER_LANGUAGE / n))
 
-    schema = "lang string, at binary, counts binary"
+    schema = "lang string, start boolean, at binary, counts binary"
     out_schema = arrow_schema(schema)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,26 +147,35 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel | None:
             for batch in slices(whole, "text"):
                 for at in range(0, batch.num_rows, 128):
                     part = batch.slice(at, 128)
-                    counts = ngram_counts(part.column("text"))
-                    found = [np.flatnonzero(c) for c in counts]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("lang"), pa.array([f.astype("<u2").tobytes() for f in found], pa.binary()), pa.array([c[f].tobytes() for c, f in zip(counts, found)], pa.binary())],
-                        schema=out_schema,
-                    )
+                    for n in (None, *STARTS):
+                        counts = ngram_counts(part.column("text") if n is None else pc.utf8_slice_codeunits(part.column("text"), 0, n))
+                        found = [np.flatnonzero(c) for c in counts]
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column("lang"), pa.array([n is not None] * part.num_rows), pa.array([f.astype("<u2").tobytes() for f in found], pa.binary()), pa.array([c[f].tobytes() for c, f in zip(counts, found)], pa.binary())],
+                            schema=out_schema,
+                        )
 
     got = rows.where(chosen).select("text", "lang").mapInArrow(sparse, schema).collect()
     got = sorted((r for r in got if r["at"]), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["counts"])))
+    starts, got = [r for r in got if r["start"]], [r for r in got if not r["start"]]
     if not got:
         return None
-    counts = np.zeros((len(got), DIM), dtype=np.float32)
-    for i, r in enumerate(got):
-        counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["counts"], np.float32)
+    counts = dense(got)
     idf = (1 + np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0)))).astype(np.float32)
     x = weighted(counts, idf)
     languages = sorted({r["lang"] for r in got})
     of = np.array([languages.index(r["lang"]) for r in got])
     parts = [cluster(x[of == k], CENTROIDS) for k in range(len(languages))]
-    least = np.array([REJECT_SHARE * (x[of == k] @ p.T).max(axis=1).min() for k, p in enumerate(parts)])
+    least = []
+    for k, p in enumerate(parts):
+        cos, length = [(x[of == k] @ p.T).max(axis=1)], [length_class(counts[of == k])]
+        own = [r for r in starts if r["lang"] == languages[k]]
+        for at in range(0, len(own), 1000):
+            c = dense(own[at : at + 1000])
+            cos.append((weighted(c, idf) @ p.T).max(axis=1))
+            length.append(length_class(c))
+        least.append(limits(np.concatenate(cos), np.concatenate(length)))
+    least = np.stack(least)
     return LanguageModel(languages, idf, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), least)
 
 
