@@ -296,6 +296,29 @@ def test_op7(spark, sf_dir, docs, none):
     assert decontam.contaminations(none, items).count() == 0 and decontam.contaminations(df, items.limit(0)).count() == 0
 
 
+def test_op7_edited_passages():
+    rng = np.random.default_rng(11)
+    lost = planted = 0
+    for _ in range(1500):
+        n = int(rng.integers(45, 100))
+        item = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+        edited, m = list(item), n - 4
+        for k in range(int(rng.integers(1, 5))):  # replaced words, few enough for a similarity of 0.8 to 0.9
+            trial = list(edited)
+            trial[int(rng.integers(0, n))] = f"e{k}x{rng.integers(0, 10**9)}"
+            shared = sum(trial[i : i + 5] == item[i : i + 5] for i in range(m))
+            if shared >= 0.8 * m:
+                edited = trial
+        shared = sum(edited[i : i + 5] == item[i : i + 5] for i in range(m))
+        if not 0.8 * m <= shared <= 0.9 * m:
+            continue
+        planted += 1
+        text = " ".join([*(f"b{x}" for x in rng.integers(0, 10**9, 8)), *edited, "after", "it"])
+        words = decontam.word_hashes(pa.array([text]))[1]
+        lost += not decontam.Items([(1, " ".join(item))]).find(words)
+    assert planted > 700 and lost == 0
+
+
 def test_op3(spark):
     found = queries.op3_nearest_neighbours(spark, "/root/testdata/sf0.01").toPandas()
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas().sort_values("vec_id")

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, arrow_schema, slices, split_words
 
-SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 8
+#: Of 140,000 simulated pairs of fingerprints at a similarity of 0.80 to 0.81, none was over 27 bits apart; a radius of 20 loses 0.4 to 1.2 %.
+SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 28, 8
 #: Items are broadcast in groups of at most this much text; a larger benchmark takes a pass over the documents for each.
 GROUP_BYTES = 4 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
