@@ -42,6 +42,18 @@ def test_chapter_number(spark, title, compat, intended):
         assert tuple(df.select(numerals.chapter_number(F.col("t"), mode).alias("x")).select("x.*").first()) == want
 
 
+def test_compat_numbers_of_all_parts(spark, sf_dir):
+    sizes = {r["p_partkey"]: r["p_size"] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").collect()}
+
+    def want(key, size):  # kinds of _titles; a unit forgets what came before it, "Chapter 12" gives 0
+        chinese = size if size < 10 else 0 if size < 20 else size // 10 * 10
+        return [(chinese, 0), (0, 0), (size, 0), (size, 0), (chinese, size % 5 + 1), (size, 0), (0, 0)][key % 7]
+
+    assert {k % 7 for k in sizes} == set(range(7))
+    found = plans.queries()["chapter_numbers_compat_all"](spark, sf_dir).collect()
+    assert len(found) == len(sizes) and {r["p_partkey"]: (r["number"], r["volume"]) for r in found} == {k: want(k, n) for k, n in sizes.items()}
+
+
 def test_natural_order(spark):
     df = spark.createDataFrame([("a", 2, 0, 0), ("b", 0, 0, 1), ("c", 1, 0, 2), ("d", 1, 1, 3), ("e", 0, 0, 4)], "t string, number int, volume int, original_index int").withColumn("book", F.lit(1))
     for reverse, want in ((False, "cadbe"), (True, "daceb")):

@@ -111,6 +111,11 @@ def chapter_numbers_compat(spark, sf_dir):
     return _titles(spark, sf_dir).where(F.pmod("p_partkey", F.lit(7)).isin(0, 1, 2, 3)).select("p_partkey", n["number"].alias("number"))
 
 
+def chapter_numbers_compat_all(spark, sf_dir):
+    n = numerals.chapter_number(F.col("title"), "compat")
+    return _titles(spark, sf_dir).select("p_partkey", n["number"].alias("number"), n["volume"].alias("volume"))
+
+
 def natural_chapter_sort(spark, sf_dir):
     rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("original_index"), F.pmod(F.col("l_partkey"), F.lit(4)).alias("number"), F.pmod(F.col("l_suppkey"), F.lit(2)).alias("volume"))
     return catalog.natural_order(rows, "l_orderkey").select("l_orderkey", "original_index", "position")
@@ -235,7 +240,7 @@ def page_source(spark, sf_dir):
 
 _QUERIES = [
     scoring_len, content_chars, punct_count, norm_text, preview_text, safe_names, author_notes, dedup_keep_first, relevance_rank, source_counts, feed_union, page_host_tokens,
-    challenge_flag, absolute_links, chapter_numbers, chapter_numbers_compat, natural_chapter_sort, natural_chapter_sort_reverse, tier_outcomes, accepted_tiers, live_sessions, request_gaps, script_challenge_flag, tier_statistics, backoff_schedule,
+    challenge_flag, absolute_links, chapter_numbers, chapter_numbers_compat, chapter_numbers_compat_all, natural_chapter_sort, natural_chapter_sort_reverse, tier_outcomes, accepted_tiers, live_sessions, request_gaps, script_challenge_flag, tier_statistics, backoff_schedule,
     first_five_pages, ajax_chapter_list, extract_chapter, novel_info, chapter_list, page_links, search_listing, feed_listing, chapter_export, chapter_export_interactive, chapter_view, result_view,
     fetch_windows, page_source, *map(_by_profile, ("density", "additive", "propagation", "threshold", "capped")),
 ]
