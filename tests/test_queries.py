@@ -73,6 +73,13 @@ def test_url_list_and_sources(spark):
     assert [r["source"] for r in catalog.match_source(urls, sites).collect()] == ["two", None, None]
 
 
+def test_match_source_takes_all_sites(spark):
+    sites = spark.createDataFrame([(f"s{k}x", f"host{k}.example", k) for k in range(1200)], "source string, base_host string, position int")
+    urls = spark.createDataFrame([(f"https://host{k}.example/x",) for k in (0, 999, 1000, 1199)] + [("https://other.test",)], "url string")
+    assert [r["source"] for r in catalog.match_source(urls, sites).collect()] == ["s0x", "s999x", "s1000x", "s1199x", None]
+    assert catalog.match_source(urls, sites.limit(0)).where("source IS NULL").count() == 5
+
+
 def page(body, head=""):
     return f"<html><head>{head}</head><body>{body}</body></html>"
 

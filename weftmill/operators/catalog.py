@@ -47,11 +47,10 @@ def match_source(urls: DataFrame, sites: DataFrame, url: str = "url") -> DataFra
 
     The site table is configuration, a row for each site; it is folded into one CASE, so no join is needed.
     """
-    found = F.lit(None).cast("string")
-    for s in sorted(sites.limit(1000).collect(), key=lambda r: -r["position"]):
-        h = T.host(F.col(url))
-        found = F.when(h.contains(s["source"]) | h.contains(s["base_host"]), F.lit(s["source"])).otherwise(found)
-    return urls.withColumn("source", found)
+    h, found = T.host(F.col(url)), F
+    for s in sorted(sites.collect(), key=lambda r: r["position"]):
+        found = found.when(h.contains(s["source"]) | h.contains(s["base_host"]), F.lit(s["source"]))
+    return urls.withColumn("source", F.lit(None).cast("string") if found is F else found)
 
 
 def url_list(lines: DataFrame) -> DataFrame:
