@@ -23,11 +23,28 @@ def scoring_length(text: str) -> int:
     return len(_UNSCORED.sub("", text))
 
 
-class Page(HTMLParser):
+class LenientParser(HTMLParser):
+    """The standard parser, for any input: a marked section of an unknown kind or without an end is a comment up to the next '>'."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+
+    def parse_marked_section(self, i, report=1):
+        try:
+            end = super().parse_marked_section(i, report)
+        except AssertionError:
+            end = -1
+        return end if end >= 0 else self.parse_bogus_comment(i, report)
+
+    def unknown_decl(self, data):
+        """A marked section's content is no text."""
+
+
+class Page(LenientParser):
     """Node arrays of one page: tag ('' for text, '!' for comments), attrs, text, parent, last (end of the subtree), depth."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.tag, self.attrs, self.text, self.parent, self.last, self.depth = [], [], [], [], [], []
         self._open: list[int] = []
         self.feed(html)

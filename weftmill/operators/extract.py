@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .dom import Nodes, Page, scoring_length
 
 # Marks in class, id and other names, in labels, titles and notices.
@@ -340,11 +341,10 @@ def extract_chapter(html: str, url: str = "", compat: bool = False, profile: str
 def extract_chapters(pages: DataFrame, compat: bool = False, profile: str = "standard") -> DataFrame:
     """page_id, url, title, content, confidence, mode of each row of pages (page_id, url, html), by a profile of PROFILES; null html gives empty text."""
     make = _profile(profile)
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("title", pa.string()), ("content", pa.string()), ("confidence", pa.float64()), ("mode", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "html")):
             rows = [make(h or "", u or "", compat).result() for h, u in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist())]
             columns = [pa.array([r[k] for r in rows], schema.field(k + 2).type) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], schema=schema)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import numerals as N
 from ..functions import text as T
 from ..sources import sites as S
+from .batches import slices
 from .catalog import natural_order
 from .dom import Nodes, Page, select
 
@@ -157,8 +158,6 @@ def harvest(pages: DataFrame, kinds: list[str], known: tuple[S.Site, ...] = S.SI
 
     Null html counts as empty, a null url as an empty one; repeated rows give repeated results; other columns are not looked at.
     """
-    spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), source_of(F.col("url").cast("string"), known).alias("source"), F.col("html").cast("string").alias("html"))
     schema = "page_id long, url string, source string, " + ", ".join(f"{k} {KINDS[k]}" for k in kinds)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -172,7 +171,7 @@ def harvest(pages: DataFrame, kinds: list[str], known: tuple[S.Site, ...] = S.SI
         return getattr(page, kind)()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "html")):
             found = []
             for html, url, source in zip(*(batch.column(c).to_pylist() for c in ("html", "url", "source"))):
                 page = Catalogue(html or "", url or "", by_name.get(source))
