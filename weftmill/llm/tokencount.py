@@ -5,11 +5,19 @@ word mark: texts fall apart into pre-tokens (marks, then characters) that merge
 pre-tokens are held as one ragged array of symbols. In a step every pre-token merges its pair of lowest rank, at all its
 places at once where that can't change what comes next, else at the leftmost only; the counts of surviving symbols are
 the answer. Characters that the model lacks count one token for each of their UTF-8 bytes.
+
+Long pre-tokens (lines without spaces, encoded data) would take a step over all symbols for each of their merges. They are
+merged rank by rank instead, all long ones of a batch together: places wait in a bucket of their pair's rank, and a step
+touches the places of the lowest rank and their neighbours alone. A merge that makes a pair of lower rank sets off others
+before places to its right may go on, but only within the few characters that pieces around it can span: places there
+wait for the next step, all others are merged at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_schema, slices
+from .common import arrow_schema, slices
 
 MARK = "\u2581"
-CACHE_WORDS = 600_000
+#: Pre-tokens of more symbols are long: merged rank by rank, about AT_ONCE symbols together, and not kept. So many others are kept.
+LONG, AT_ONCE, CACHE_WORDS = 40, 1 << 20, 600_000
 #: Odd multipliers of the two hash tables, and their size.
 HASHES, SLOT_BITS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 20
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -49,6 +58,8 @@ class MergeCounter:
         self.keys = np.array([p[0] for p in pairs] + [-2], dtype=np.int64)
         self.ranks = np.array([p[1] for p in pairs] + [NONE], dtype=np.int64)
         self.made = np.array([p[2] for p in pairs] + [0], dtype=np.int64)
+        #: Further apart than this, merges and what they set off can't touch each other.
+        self.reach = 4 * max(map(len, ids))
         self._build_slots()
         self.known: dict[str, int] = {"": 0}
         joined = {piece[k : k + 2] for piece in ids for k in range(len(piece) - 1)}
@@ -128,6 +139,90 @@ class MergeCounter:
             which = seq
         return left
 
+    def merge_ranked(self, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """As merge(), where each step costs what it changes."""
+        n = len(symbols)
+        seq, symbols = np.repeat(np.arange(len(counts)), counts), symbols.astype(np.int64)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(counts)
+        after[ends[counts > 0] - 1] = n  # no neighbour across sequences
+        before[(ends - counts)[counts > 0]] = -1
+        at = np.full(n, len(self.keys) - 1, dtype=np.int64)
+        inner = np.flatnonzero(after < n)
+        at[inner] = self._look(symbols[inner], symbols[inner + 1])
+        ranks = self.ranks[at]
+        buckets: dict[int, list[np.ndarray]] = {}
+
+        def wait(places: np.ndarray) -> None:
+            own = ranks[places]
+            order = np.argsort(own, kind="stable")
+            places, own = places[order], own[order]
+            cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)]):
+                r = int(own[a])
+                if r in buckets:
+                    buckets[r].append(places[a:b])
+                else:
+                    buckets[r] = [places[a:b]]
+                    heappush(heap, r)
+
+        heap: list[int] = []
+        start = np.flatnonzero(ranks < NONE)
+        if len(start):
+            wait(start)
+        gone = np.zeros(n, dtype=bool)
+        while heap:
+            r = heappop(heap)
+            held = buckets.pop(r)
+            place = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+            place = place[ranks[place] == r]
+            if not len(place):
+                continue
+            if len(place) > 1:  # of overlapping places every second one counts, from the left
+                run = np.concatenate([[True], after[place[:-1]] != place[1:]])
+                first = np.flatnonzero(run)[np.cumsum(run) - 1]
+                place = place[(np.arange(len(place)) - first) % 2 == 0]
+            if len(place) > 1:
+                wild = place[self._sets_off(symbols, at, after, before, place, r)]
+                # the last such place before each one, itself left out
+                last = np.searchsorted(wild, place) - 1
+                later = (last >= 0) & (place - wild[np.maximum(last, 0)] <= self.reach) if len(wild) else np.zeros(len(place), dtype=bool)
+                if later.any():
+                    wait(place[later])
+                    place = place[~later]
+            right = after[place]
+            beyond = after[right]
+            symbols[place] = self.made[at[place]]
+            gone[right], ranks[right] = True, NONE
+            after[place] = beyond
+            inside = beyond < n
+            before[beyond[inside]] = place[inside]
+            left = before[place]
+            changed = np.unique(np.concatenate([left[left >= 0], place]))
+            changed = changed[~gone[changed]]
+            ranks[changed] = NONE
+            changed = changed[after[changed] < n]
+            at[changed] = self._look(symbols[changed], symbols[after[changed]])
+            ranks[changed] = self.ranks[at[changed]]
+            changed = changed[ranks[changed] < NONE]
+            if len(changed):
+                wait(changed)
+        return counts - np.bincount(seq[gone], minlength=len(counts))
+
+    def _sets_off(self, symbols, at, after, before, place, rank):
+        """Whether the merge at each place, after those to its left, makes a pair of lower rank."""
+        n, made = len(symbols), self.made[at[place]]
+        beyond, left = after[after[place]], before[place]
+        low = np.zeros(len(place), dtype=bool)
+        ok = np.flatnonzero(beyond < n)
+        low[ok] = self.ranks[self._look(made[ok], symbols[beyond[ok]])] < rank
+        merged = np.concatenate([[False], beyond[:-1] == place[1:]])  # the neighbour to the left is such a place too
+        ok = np.flatnonzero((left >= 0) & ~merged)
+        low[ok] |= self.ranks[self._look(symbols[left[ok]], made[ok])] < rank
+        ok = np.flatnonzero(merged)
+        low[ok] |= self.ranks[self._look(made[ok - 1], made[ok])] < rank
+        return low
+
     def _safe(self, symbols, seq, at, low, starts, place):
         """Of the places to merge at once, only the leftmost of each sequence where a merge makes a pair of lower rank."""
         many = np.bincount(np.searchsorted(starts, place, "right") - 1, minlength=len(starts))
@@ -159,16 +254,30 @@ class MergeCounter:
         """Tokens of each pre-token."""
         if len(self.known) > CACHE_WORDS:
             self.known = {"": 0}
-        new = [w for w in words if w not in self.known]
+        known = self.known
+        new = [w for w in words if w not in known]
+        long = [w for w in new if len(w) > LONG]
+        lengths: dict[str, int] = {}
+        if long:
+            new = [w for w in new if len(w) <= LONG]
+            start = size = 0
+            for i, w in enumerate(long):
+                size += len(w)
+                if size >= AT_ONCE or i + 1 == len(long):
+                    part = long[start : i + 1]
+                    lengths.update(zip(part, self._counted(part, self.merge_ranked).tolist()))
+                    start, size = i + 1, 0
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            points = np.frombuffer("".join(part).encode("utf-32-le"), dtype="<u4")
-            symbols, counts = self.points[points], np.array([len(w) for w in part], dtype=np.int64)
-            more = np.where(symbols >= 0, 0, (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))
-            ends = np.cumsum(counts)
-            extra = np.add.reduceat(more, ends - counts)
-            self.known.update(zip(part, (self.merge(symbols, counts) + extra).tolist()))
-        return np.array([self.known[w] for w in words], dtype=np.int64)
+            self.known.update(zip(part, self._counted(part, self.merge).tolist()))
+        return np.array([known[w] if w in known else lengths[w] for w in words], dtype=np.int64)
+
+    def _counted(self, words: list[str], merge) -> np.ndarray:
+        """Tokens of each of words, none of them empty: symbols that merging leaves, and bytes of unknown characters."""
+        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
+        symbols, counts = self.points[points], np.array([len(w) for w in words], dtype=np.int64)
+        more = np.where(symbols >= 0, 0, (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))
+        return merge(symbols, counts) + np.add.reduceat(more, np.cumsum(counts) - counts)
 
     def count_texts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text: a mark in front, marks for spaces, cut before each run of marks and at line feeds."""
@@ -188,18 +297,23 @@ class MergeCounter:
         return np.where(np.asarray(pc.binary_length(texts)) == 0, 0, out)
 
 
+@lru_cache(maxsize=1)
+def merge_counter(path: str) -> MergeCounter:
+    """The worker process's own counter: its tables and the words that it knows outlive a task, bounded by CACHE_WORDS."""
+    return MergeCounter(path)
+
+
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit for each row of docs (doc_id, text).
 
     Null text counts as empty: no bytes, no tokens. Rows are independent, repeated rows give repeated results, other
     columns are left out, an empty table gives an empty result. Whole texts are counted, however long.
     """
-    arrow_batches(docs.sparkSession, 2000)
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = MergeCounter(model_path)
+        counter = merge_counter(model_path)
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
                 n = counter.count_texts(batch.column("text"))

@@ -13,7 +13,8 @@ import pyarrow.compute as pc
 from .common import gather_ragged, split_words
 
 END_ID = 1
-CACHE_WORDS = 150_000
+#: So many words are kept, and so many characters and ids of theirs.
+CACHE_WORDS, CACHE_SIZE = 150_000, 16 << 20
 #: Latin letters whose lower case and normal form are plain, then ASCII punctuation: the pre-tokenizer cuts between the two.
 PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 
@@ -24,7 +25,7 @@ class WordEncoder:
     The file's pre-tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are those
     of its pieces between spaces and line feeds, in order. A plain piece is a lower-cased word and a tail of punctuation,
     which are pre-tokens of their own; any other piece is encoded as it stands. Each distinct word is encoded once and
-    kept, up to CACHE_WORDS; beyond that, words met in one batch only make room.
+    kept, up to CACHE_WORDS and CACHE_SIZE; beyond that, words met in one batch only make room.
     """
 
     def __init__(self, path: str):
@@ -41,21 +42,24 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
+        self.size = 0
         self.counts, self.values = [np.zeros(1, dtype=np.int64)], [np.empty(0, dtype=np.uint32)]
         self.offsets, self.again = np.zeros(2, dtype=np.int64), np.ones(1, dtype=bool)
 
     def _make_room(self) -> None:
         """Forgets the words that no later batch met again, or all words where that is not enough."""
-        if np.count_nonzero(self.again) > CACHE_WORDS // 2:
+        if np.count_nonzero(self.again) > CACHE_WORDS // 2 or self.size > CACHE_SIZE:
             return self._clear()
         self.known = {w: i for i, w in enumerate(compress(self.known, self.again.tolist()))}
         counts, values = gather_ragged(self.offsets, self.values[0], np.flatnonzero(self.again))
+        self.size = sum(map(len, self.known)) + len(values)
         self.counts, self.values = [counts], [values]
         self.offsets, self.again = np.concatenate([[0], np.cumsum(counts)]), np.zeros(len(counts), dtype=bool)
         self.again[0] = True
 
     def _keep(self, words: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.size += sum(map(len, words)) + len(ids)
         self.counts.append(counts)
         self.values.append(ids)
 
@@ -75,7 +79,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids one after the other); null counts as empty."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.size > CACHE_SIZE:
             self._make_room()
         pieces, distinct, codes = split_words(texts)
         parts = pc.extract_regex(distinct, PLAIN)
