@@ -1,8 +1,8 @@
 """Main text of HTML pages by two-pass block rules.
 
 Pass one decides blocks from the words, the links and the elements around them: blocks in menus, headers, footers,
-sidebars, notices, adverts, forms or reader comments, and blocks mostly of links, are out; long blocks with enough stop
-words are in; the rest stays open. Pass two gives an open block the label of its nearest decided neighbour, where a
+sidebars, notices, adverts, forms or reader comments are out, as are blocks mostly of links that no article or main
+element holds; long blocks with enough stop words are in; the rest stays open. Pass two gives an open block the label of its nearest decided neighbour, where a
 neighbour under the same container (article, main or body) counts as nearer than any other.
 """
 
@@ -11,13 +11,13 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_schema, slices
+from ..operators.dom import LenientParser
+from .common import arrow_schema, slices
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -28,7 +28,7 @@ STOP_WORDS = frozenset(
 )
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button".split())
+SILENT = frozenset("script style noscript template head title svg iframe canvas audio video select textarea button".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -58,7 +58,7 @@ def _boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> bo
     return bool(names & (STRONG_WORDS if names & OWN_WORDS or in_article else CHROME_WORDS))
 
 
-class Blocks(HTMLParser):
+class Blocks(LenientParser):
     """Collects (text, length within links, boilerplate, container) of each block, in page order.
 
     A block ends where a block element begins or ends. An end tag closes up to its own start tag and is ignored without
@@ -66,7 +66,7 @@ class Blocks(HTMLParser):
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.blocks: list[tuple[str, int, bool, int]] = []
         self.open: list[tuple[str, bool, int, bool]] = []  # tag, boilerplate, container, within an article
         self.parts: list[str] = []
@@ -135,12 +135,12 @@ class Blocks(HTMLParser):
         self._flush()
 
 
-def decide(text: str, linked: int, chrome: bool) -> bool | None:
-    """In, out or open, from one block alone."""
-    solid = len(text) - text.count(" ")
-    if chrome or linked > LINK_DENSITY * solid:
+def decide(text: str, linked: int, chrome: bool, container: int) -> bool | None:
+    """In, out or open, from one block alone; within an article or main element links alone do not put a block out."""
+    dense = linked > LINK_DENSITY * (len(text) - text.count(" "))
+    if chrome or dense and not container:
         return False
-    if len(text) < LONG:
+    if dense or len(text) < LONG:
         return None
     words = _WORDS.findall(text.lower())
     if words and sum(map(STOP_WORDS.__contains__, words)) >= STOP_DENSITY * len(words):
@@ -154,7 +154,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     blocks = parser.blocks
-    labels = [decide(text, linked, chrome) for text, linked, chrome, _ in blocks]
+    labels = [decide(*b) for b in blocks]
     decided = [i for i, x in enumerate(labels) if x is not None]
     by_container: dict[int, list[int]] = {}
     for i in decided:
@@ -183,7 +183,6 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty html give the empty text. Rows are independent: repeated rows give repeated results; other columns are
     not looked at; an empty table gives an empty result; whole pages are read, however long.
     """
-    arrow_batches(pages.sparkSession, 500)
     schema = "page_id long, url string, text string, n_chars long"
     out = arrow_schema(schema)
 
