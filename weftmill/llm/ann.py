@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_schema, hashed_share, saved
+from .common import arrow_schema, hashed_share, saved
 
 #: Neighbours in a list, pool of a search, most rounds of either.
 DEGREE, POOL, ROUNDS, HOPS = 32, 64, 4, 8
@@ -216,7 +216,6 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     result. A query short of k found candidates is compared with all rows.
     """
     spark = vectors.sparkSession
-    arrow_batches(spark, 4000)
     rows = usable(vectors)
     sizes = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
     if not sizes:

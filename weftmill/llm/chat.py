@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_schema
+from .common import arrow_schema
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 _MARKS = re.compile(r"<\|turn\|>(.*?)<\|says\|>(.*?)<\|end\|>", re.S)
@@ -89,7 +89,6 @@ def format_conversations(rows: DataFrame, tokenizer_path: str) -> DataFrame:
     Rows with a null conv_id form one conversation. Other columns are not looked at; an empty table gives an empty result.
     Rows are dealt out by conv_id and sorted, and each task holds one conversation and a small batch of finished ones.
     """
-    arrow_batches(rows.sparkSession, 5000)
     schema = "conv_id long, formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<boolean>"
     out = arrow_schema(schema)
 
@@ -136,7 +135,6 @@ def format_conversations(rows: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from format_conversations()."""
-    arrow_batches(formatted.sparkSession, 500)
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     out = arrow_schema(schema)
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+from ..operators.batches import slices as slices
+
+#: The folder of each application's intermediate data, within the shared folder.
+_folders: dict[tuple[str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,37 +30,45 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/weftmill"
 
 
+def _file(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/weftmill-{label}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_remove)
-    _made.append((spark, path))
-    return path
-
-
-def _remove() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already
-            return
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage in a way that outlives any executor."""
+    """A fresh path in the application's folder of the shared one; the JVM removes that folder when it ends, even long after spark.stop()."""
+    key = spark.sparkContext.applicationId, shared_dir(spark)
+    if key not in _folders:
+        _folders[key] = f"{key[1]}/weftmill-{key[0]}-{uuid.uuid4().hex}"
+        files, p = _file(spark, _folders[key])
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+    return f"{_folders[key]}/{label}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, label: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage in a way that outlives any executor.
+
+    instead_of: saved data that this one replaces, as in the rounds of an iteration; they are removed once df is written.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        discard(instead_of)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._saved_at = path
+    return found
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what one Arrow batch to a Python worker holds, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+def discard(df: DataFrame) -> None:
+    """Removes what saved() wrote for df; nothing may read it any more. Other data frames are left alone."""
+    path = getattr(df, "_saved_at", None)
+    if path:
+        files, p = _file(df.sparkSession, path)
+        files.delete(p, True)
 
 
 def id_crc32(column: str) -> Column:
@@ -74,19 +83,6 @@ def hashed_share(column: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), column), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most this much text; a longer text is a slice of its own."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-    start, total = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > start and total + n > most_bytes:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if len(sizes) > start:
-        yield batch.slice(start)
-
-
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Texts cut at spaces and line feeds: (number of pieces of each text, distinct pieces, index of each piece among them). Null counts as empty; pieces may be empty."""
     lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")

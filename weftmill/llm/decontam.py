@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_schema, slices, split_words
+from .common import arrow_schema, slices, split_words
 
 #: Of 140,000 simulated pairs of fingerprints at a similarity of 0.80 to 0.81, none was over 27 bits apart; a radius of 20 loses 0.4 to 1.2 %.
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 28, 8
@@ -168,7 +168,6 @@ def _groups(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def _flagged(docs: DataFrame, items: list[tuple[int, str]], keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with __found: array of (item_id, similarity, start_word)."""
     spark = docs.sparkSession
-    arrow_batches(spark, 2000)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     schema += ", found array<struct<item_id:bigint,similarity:double,start_word:bigint>>"

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_schema, hashed_share, slices
+from .common import arrow_schema, hashed_share, slices
 
 DIM = 4096
 #: The fit sees at most about this many documents of each language, and this many languages, the most frequent first.
@@ -130,7 +130,6 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel | None:
     The documents are a fixed hashed share of each language, FIT_PER_LANGUAGE at most on average; their n-gram counts
     are made by the executors, sparse. Their starts serve for the limits of short texts only.
     """
-    arrow_batches(docs.sparkSession, 500)
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGUAGES).collect()}
     if not sizes:
@@ -187,7 +186,6 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] | Non
     result, other columns are not looked at and whole texts are read.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
     mark, keep = "__" * bool(keep), keep or ["doc_id"]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))

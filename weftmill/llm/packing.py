@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_schema, saved, slices
+from .common import arrow_schema, saved, slices
 from .tokens import word_encoder
 
 CAPACITY = 4096
@@ -33,7 +33,6 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, w
     Each document's ids end with the end id; only a longer one is cut, into pieces of the capacity, the last one shorter.
     Null text counts as empty: one piece, the end id. ids: little-endian unsigned 32-bit integers.
     """
-    arrow_batches(docs.sparkSession, 2000)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     out = arrow_schema(schema)
 
@@ -95,7 +94,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Offsets are gapless from 0 in each sequence. Equal lengths are ranked by doc_id (null first) and piece, repeated rows
     in any order; each row has a place of its own. An empty table gives an empty result.
     """
-    arrow_batches(pieces.sparkSession, 20_000)
     ranged = pieces.repartitionByRange(F.desc("length"), F.col("doc_id").asc_nulls_first(), "piece")
     ranged = ranged.sortWithinPartitions(F.desc("length"), F.col("doc_id").asc_nulls_first(), "piece")
     ranged = saved(ranged.withColumn("__at", F.monotonically_increasing_id()), "pieces")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_schema, new_path, saved, slices
+from .common import arrow_schema, new_path, saved, slices
 from .tokens import word_encoder
 
 MAGIC = b"WFPFOR01"
@@ -165,7 +165,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> DataFr
     no task holds more than its range. Each task writes under a name of its own and renames, so a repeated task is harmless.
     Null text: empty. An empty table gives an empty manifest.
     """
-    arrow_batches(docs.sparkSession, 2000)
     manifest = "shard int, file string, size long, n_docs long, n_tokens long"
     out_schema = arrow_schema(manifest)
 

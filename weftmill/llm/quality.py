@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_schema, hashed_share, slices, split_words
+from .common import arrow_schema, hashed_share, slices, split_words
 
 #: The fit sees at most about this many labelled documents (a fixed hashed share of all), in FIT_PARTS parts.
 FIT_DOCS, FIT_PARTS = 6000, 6
@@ -135,7 +135,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> QualityModel | Non
     fixed hashed share, FIT_DOCS on average at most. The driver gets bounded sums and one vector for each of them.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     n = known.count()
     if n == 0:
@@ -188,7 +187,6 @@ def score(docs: DataFrame, model: QualityModel | None, keep: list[str] | None =
     rows give repeated results, an empty table gives an empty result, other columns are not looked at.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 1000)
     mark, keep = "__" * bool(keep), keep or ["doc_id"]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))) + ", score double"

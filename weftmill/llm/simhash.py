@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_schema, saved, slices
+from .common import arrow_schema, discard, saved, slices
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 PAIRS_AT_ONCE = 1 << 21
@@ -45,7 +45,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
     """The columns `keep` of docs (doc_id) with the fingerprint as a signed long, under this name."""
-    arrow_batches(docs.sparkSession, 1000)
     keep = keep or ["doc_id"]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))) + ", fp long"
@@ -128,7 +127,6 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius > RADIUS:
         raise ValueError("this covering serves 2 differing bits at most")
     spark = distinct.sparkSession
-    arrow_batches(spark, 20_000)
     dealt_schema, link_schema = arrow_schema("anchor long, fp long"), arrow_schema("a long, b long")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +171,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         new = saved(small, label)
         count = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
         same = new.agg(*count).first() == edges.agg(*count).first()
+        discard(edges)
         edges = new
         if same:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
