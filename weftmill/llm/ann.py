@@ -1,57 +1,60 @@
 """Approximate nearest neighbours by largest inner product: an NN-descent graph and greedy graph search, both by Spark joins.
 
 Equal vectors are one node, with the smallest ids of its rows. Vectors get one more component that makes all norms equal,
-so that the graph's nearness is that of the inner product. First lists come from small groups around shared pivots; then
-rounds of NN-descent join each node's list with its neighbours' lists and keep the best. A search starts from the lists of
-the query's own node and joins its pool with its members' lists until nothing better turns up.
-
-Nodes are worked on in blocks of bounded size near one pivot. A round joins each vector that a block needs to it once, and
-the block's nodes are compared with all of them by one matrix product; nothing is broadcast but the pivots.
+so that the graph's nearness is that of the inner product. First lists come from small groups around shared pivots. In a
+round of NN-descent each node brings its neighbours together, those in its list and some of those that list it, and each
+pair of them of which one is new there is compared: they are neighbours of a neighbour to each other. What enters a list
+is new in the next round; rounds end when little does. A search starts at the query's own node and keeps a pool of the
+best nodes that it has met; in a step the best ones not yet visited bring in their neighbours, until all are visited.
+
+A row of the graph is a node with its packed list, so that Spark handles rows of nodes and numpy the entries. Nodes are worked on in blocks of bounded size near one pivot: a vector that
+several nodes of a block need is sent there once, but only the pairs named above are compared, at most
+(DEGREE + REVERSE)² / 2 for each node and round, however many nodes there are. Nothing is broadcast but the pivots.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, hashed_share, saved
+from .common import arrow_schema, discard, hashed_share, new_path, saved
 
-#: Neighbours in a list, pool of a search, most rounds of either.
-DEGREE, POOL, ROUNDS, HOPS = 32, 64, 4, 8
-#: About so many nodes for a pivot, at most so many pivots (the bound of what is broadcast), pivots that a node starts from, most nodes compared at the start, nodes of a block, fewest blocks (for enough tasks).
-PER_PIVOT, PIVOTS, NEAR_PIVOTS, START, BLOCK, BLOCKS = 400, 4096, 3, 1500, 5000, 12
-SETTLED, STILL = 0.05, 0.01
+#: Neighbours in a list, of those that list a node so many join it in a round, most rounds, pool of a search, nodes that a pool visits in a step, most steps.
+DEGREE, REVERSE, ROUNDS, POOL, VISITS, STEPS = 40, 24, 16, 128, 96, 16
+#: About so many nodes for a pivot, at most so many pivots (the bound of what is broadcast), pivots that a node starts from, about so many nodes compared at the start, nodes of a block.
+PER_PIVOT, PIVOTS, NEAR_PIVOTS, START, BLOCK = 100, 4096, 3, 200, 512
+#: Rounds end when at most this share of the lists is new.
+SETTLED = 0.07
+#: Rows that a task gathers before it keeps the best of each node alone, queries compared with all rows at once.
+GATHERED, EXACT = 1 << 20, 512
+#: least: the sim that a new neighbour has to beat; packed: ENTRY records. In a pool, fresh is a member's state.
+GRAPH = "node long, home long, least float, packed binary"
+ENTRY = np.dtype([("nbr", "<i8"), ("home", "<i8"), ("sim", "<f4"), ("fresh", "<i4")])
+WAITING, NEXT, VISITED = 0, 1, 2
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part: an id, and finite components that are not all zero."""
-    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    ok = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND abs(x) < float('inf')) AND exists(embedding, x -> x <> 0)"
-    return x.where(ok).withColumn("embedding", F.expr("transform(embedding, x -> if(x = 0, float(0), x))"))
+    """vec_id and embedding (doubles) of the rows that take part: an id, and finite components that are not all zero."""
+    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    ok = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('inf')) AND exists(embedding, x -> x <> 0)"
+    return x.where(ok).withColumn("embedding", F.expr("transform(embedding, x -> if(x = 0, 0D, x))"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float32).reshape(-1, dim)
 
 
-def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+def _vectors(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """Rows of a binary column of 32-bit floats."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
 
 
-def _dealt(rows: DataFrame, count: int) -> DataFrame:
-    """Rows dealt out by block: small parts that adaptive execution leaves apart, as the work follows pairs, not bytes."""
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 2000)
-    return rows.repartition(parts, "block")
-
-
-def _listed(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    stops = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind.value_type)).cast(kind)
+def _column(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    return np.asarray(table.column(name))
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -70,32 +73,115 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(ids) > size:
-        top = np.argpartition(-sims, size - 1)[:size]
-        ids, sims = ids[top], sims[top]
-    order = np.lexsort((ids, -sims))
-    return ids[order], sims[order]
+Rows = tuple[np.ndarray, ...]  # node, home, nbr, the home of nbr, sim, fresh
+
+
+def _unpacked(batch: pa.RecordBatch | pa.Table) -> Rows:
+    """The entries of a batch of GRAPH rows, in the same order."""
+    packed = batch.column("packed").to_pylist()
+    n = np.array([len(x) for x in packed], dtype=np.int64) // ENTRY.itemsize
+    entries = np.frombuffer(b"".join(packed), dtype=ENTRY)
+    return np.repeat(_column(batch, "node"), n), np.repeat(_column(batch, "home"), n), entries["nbr"], entries["home"], entries["sim"], entries["fresh"]
+
+
+def _blobs(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A binary value of the items of data from each start to the next one."""
+    stops = np.append(starts, len(data)).astype(np.int64) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(stops.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _packed(rows: Rows, size: int, most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """GRAPH batches of rows that _best() has sorted."""
+    node, home, *rest = rows
+    if not len(node):
+        return
+    entries = np.empty(len(node), dtype=ENTRY)
+    for name, x in zip(ENTRY.names, rest):
+        entries[name] = x
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    ends = np.append(first[1:], len(node))
+    least = np.where(ends - first < size, -np.inf, entries["sim"][ends - 1]).astype(np.float32)
+    for at in range(0, len(first), most):
+        own = slice(at, at + most)
+        a, b = first[own][0], ends[own][-1]
+        yield pa.RecordBatch.from_arrays([pa.array(node[first[own]]), pa.array(home[first[own]]), pa.array(least[own]), _blobs(entries[a:b], first[own] - a)], names=["node", "home", "least", "packed"])
+
+
+def _best(rows: Rows, size: int) -> Rows:
+    """The best `size` different neighbours of each node, by node; of rows of one pair the oldest."""
+    node, _, nbr, _, sim, fresh = rows
+    order = np.lexsort((fresh, nbr, node))
+    node, nbr = node[order], nbr[order]
+    order = order[np.concatenate([[True], (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])])] if len(order) else order
+    order = order[np.lexsort((rows[2][order], -sim[order], rows[0][order]))]
+    node = rows[0][order]
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else order
+    rank = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
+    order = order[rank < size]
+    return tuple(x[order] for x in rows)
+
+
+def _joined(parts: list[Rows]) -> Rows:
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+class Gathered:
+    """Rows of a task; a node keeps its best `size` alone, so a node that very many rows name reaches the shuffle as few."""
+
+    def __init__(self, size: int):
+        self.size, self.parts, self.n, self.kept = size, [], 0, 0
+
+    def add(self, rows: Rows) -> None:
+        self.parts.append(rows)
+        self.n += len(rows[0])
+        if self.n > GATHERED + 2 * self.kept:
+            self.parts = [_best(_joined(self.parts), self.size)]
+            self.n = self.kept = len(self.parts[0][0])
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            yield from _packed(_best(_joined(self.parts), self.size), self.size)
+
+
+def best_of(rows: DataFrame, size: int) -> DataFrame:
+    """The best `size` entries of each node, of GRAPH rows; in a task one node's entries are never more than a batch's and `size`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: Rows | None = None
+        for whole in batches:  # sorted by node; the last node's rows wait for the next batch
+            for at in range(0, whole.num_rows, 5000):
+                now = _unpacked(whole.slice(at, 5000))
+                now = _best(now if left is None else _joined([left, now]), size)
+                cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+                yield from _packed(tuple(x[:cut] for x in now), size)
+                left = tuple(x[cut:] for x in now)
+        if left is not None:
+            yield from _packed(left, size)
+
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, GRAPH)
 
 
 def assign(nodes: DataFrame, count: int, dim: int) -> DataFrame:
-    """nodes (node, vec) with home, its block, and starts, the blocks in which its first list is found."""
+    """nodes (node, vec) with home, its block, and starts, the groups in which its first list is found."""
     spark = nodes.sparkSession
     want = max(1, min(PIVOTS, count // PER_PIVOT))
     picked = nodes.where(hashed_share(F.col("node"), 1.2 * want / count)).orderBy("node").limit(2 * want).collect() if want > 1 else []
     pivots = np.array([r["vec"] for r in picked] or [[0.0] * dim], dtype=np.float32)
     shared = spark.sparkContext.broadcast(pivots)
-    coarse = np.linspace(0, len(pivots) - 1, max(1, min(len(pivots), max(BLOCKS, round(count / BLOCK))))).astype(int)
+    coarse = np.linspace(0, len(pivots) - 1, max(1, min(len(pivots), round(count / BLOCK)))).astype(int)
     schema = "node long, vec binary, near array<int>, mid int"
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = min(NEAR_PIVOTS, len(shared.value))
-        for batch in batches:
-            sims = _matrix(batch.column("vec"), dim) @ shared.value.T
-            near = np.argsort(-sims, axis=1, kind="stable")[:, :k].astype(np.int32)
-            flat = [v.tobytes() for v in _matrix(batch.column("vec"), dim)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(flat, pa.binary()), _listed(list(near), out.field(2).type), pa.array(sims[:, coarse].argmax(axis=1), pa.int32())], schema=out)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                x = _matrix(batch.column("vec"), dim)
+                sims = x @ shared.value.T
+                near = np.argsort(-sims, axis=1, kind="stable")[:, :k].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * k, pa.int32()), pa.array(near.ravel())).cast(out.field(2).type)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([v.tobytes() for v in x], pa.binary()), lists, pa.array(sims[:, coarse].argmax(axis=1), pa.int32())], schema=out)
 
     found = saved(nodes.select("node", "vec").mapInArrow(run, schema), "near")
 
@@ -103,162 +189,334 @@ def assign(nodes: DataFrame, count: int, dim: int) -> DataFrame:
         """A pivot's nodes in parts of at most about this many."""
         sizes = pivots.groupBy("p").count().collect()  # one row for each pivot
         parts = F.create_map(*[F.lit(x) for r in sizes for x in (r["p"], max(1, -(-r["count"] // most)))])
-        return lambda p: p.cast("long") * 1_000_000 + F.pmod(F.xxhash64("node"), parts[p])
+        return lambda p: p.cast("long") * (1 << 32) + F.pmod(F.xxhash64("node", p), parts[p])
 
     start = block(found.select(F.explode("near").alias("p")), START)
-    home = block(found.select(F.col("mid").alias("p")), 2 * BLOCK)
+    home = block(found.select(F.col("mid").alias("p")), BLOCK)
     return found.select("node", "vec", home(F.col("mid")).alias("home"), F.transform("near", start).alias("starts"))
 
 
-def first_lists(nodes: DataFrame, count: int, dim: int) -> DataFrame:
-    """(node, nbrs, sims): the best DEGREE nodes of each node's starting blocks."""
-    schema = "node long, nbrs array<long>, sims array<float>"
-    out = arrow_schema(schema)
+def _offers(a: np.ndarray, b: np.ndarray, sims: np.ndarray, least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of compared pairs (places a, b of at most 65,536) what each place is offered: the best `size` others that beat the least that its list still takes.
+
+    A pair and its sim are one whole number, so plain sorts do: by both places to leave one row of each, then by sim.
+    """
+    parts = []
+    bits = sims.view(np.uint32)
+    bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)  # in the order of the floats
+    for own, other in ((a, b), (b, a)):
+        good = sims > least[own]
+        parts.append(own[good].astype(np.uint64) << np.uint64(48) | other[good].astype(np.uint64) << np.uint64(32) | bits[good])
+    pairs = np.sort(np.concatenate(parts))
+    pairs = pairs[np.append(pairs[1:] >> np.uint64(32) != pairs[:-1] >> np.uint64(32), True)] if len(pairs) else pairs
+    low = np.uint64(0xFFFFFFFF)
+    own, other, bits = pairs >> np.uint64(48), pairs >> np.uint64(32) & np.uint64(0xFFFF), pairs & low
+    ranked = np.sort(own << np.uint64(48) | (low - bits) << np.uint64(16) | other)
+    own = (ranked >> np.uint64(48)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+    ranked = ranked[np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own)))) < size]
+    own, other = (ranked >> np.uint64(48)).astype(np.int64), (ranked & np.uint64(0xFFFF)).astype(np.int64)
+    bits = (low - (ranked >> np.uint64(16) & low)).astype(np.uint32)
+    return own, other, np.where(bits >> np.uint32(31), bits & np.uint32(0x7FFFFFFF), ~bits).view(np.float32)
+
+
+def first_lists(nodes: DataFrame, dim: int, compared) -> DataFrame:
+    """GRAPH rows: the best DEGREE nodes of each node's starting groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _by_block(batches):
-            ids = np.asarray(block.column("node"))
-            x = _vectors(block.column("vec"), dim)
-            rows = []
+        found = Gathered(DEGREE)
+        for group in _by_block(batches):
+            ids, homes, x = _column(group, "node"), _column(group, "home"), _vectors(group.column("vec"), dim)
+            compared.add(len(ids) * (len(ids) - 1) // 2)
             for at in range(0, len(ids), 512):
                 sims = x[at : at + 512] @ x.T
-                sims[np.arange(len(sims)), at + np.arange(len(sims))] = -np.inf
-                rows += [_best(ids, s, DEGREE) for s in sims]
-            rows = [(i[np.isfinite(s)], s[np.isfinite(s)]) for i, s in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), _listed([r[0] for r in rows], out.field(1).type), _listed([r[1] for r in rows], out.field(2).type)], schema=out)
+                own = np.arange(len(sims))
+                sims[own, at + own] = -np.inf
+                k = min(DEGREE, len(ids) - 1)
+                best = np.argpartition(-sims, max(0, k - 1), axis=1)[:, :k].ravel()
+                own = np.repeat(own, k)
+                found.add((ids[at + own], homes[at + own], ids[best], homes[best], sims[own, best], np.ones(len(own), dtype=np.int32)))
+        yield from found.batches()
 
-    dealt = _dealt(nodes.select("node", "vec", F.explode("starts").alias("block")), count).sortWithinPartitions("block", "node")
-    each = dealt.mapInArrow(run, schema)
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.transform("sims", lambda s: -s).alias("sims"), F.col("nbrs").alias("nbrs")))))
-    best = each.groupBy("node").agg(F.slice(F.array_sort(pairs), 1, DEGREE).alias("best"))
-    return best.select("node", F.col("best.nbrs").alias("nbrs"), F.transform("best.sims", lambda s: -s).alias("sims"))
+    dealt = nodes.select("node", "home", "vec", F.explode("starts").alias("block")).repartition("block").sortWithinPartitions("block", "node")
+    return best_of(dealt.mapInArrow(run, GRAPH), DEGREE)
 
 
-def step(pools: DataFrame, graph: DataFrame, nodes: DataFrame, count: int, dim: int, size: int) -> DataFrame:
-    """pools (node, home, query, nbrs, sims) after a round; changed: members that are new.
+def listed_by(graph: DataFrame, size: int, seed: int) -> DataFrame:
+    """GRAPH rows the other way round: of the nodes that list a node up to `size`, new ones first, then by a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Gathered(size)
+        for batch in batches:
+            node, home, nbr, nbr_home, _, fresh = _unpacked(batch)
+            found.add((nbr, nbr_home, node, home, (fresh + _mixed(node, nbr, seed)).astype(np.float32), fresh))
+        yield from found.batches()
+
+    return best_of(graph.mapInArrow(run, GRAPH), size)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers from 0 to below 1 that follow from the values alone."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) + np.uint64((seed + 1) * 0x632BE59BD9B4E019 % (1 << 64))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    return (x * np.uint64(0x94D049BB133111EB) >> np.uint64(41)).astype(np.float64) / (1 << 23)
+
+
+def _wanted(rows: DataFrame, unpack: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """(block, node): the different nodes that rows (block, ...) name, of which unpack gives the (block, node) of a batch."""
+    out = arrow_schema("block long, node long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, node = unpack(batch)
+            order = np.lexsort((node, block))
+            block, node = block[order], node[order]
+            once = np.concatenate([[True], (block[1:] != block[:-1]) | (node[1:] != node[:-1])]) if len(block) else order
+            yield pa.RecordBatch.from_arrays([pa.array(block[once]), pa.array(node[once])], schema=out)
 
-    A block's pools meet the members of their lists and those members' own neighbours, which are joined to the block once
-    for all its pools; each pool keeps the best `size` of them all.
+    return rows.mapInArrow(run, "block long, node long").distinct()
+
+
+def descend(graph: DataFrame, nodes: DataFrame, dim: int, seed: int, compared) -> DataFrame:
+    """The graph after a round: each node's neighbours are compared with each other where one of the two is new there."""
+    both = saved(graph.union(listed_by(graph, REVERSE, seed)), "lists")
+    needed = _wanted(both, lambda batch: _unpacked(batch)[1:3])
+    sent = needed.join(nodes.select("node", "home", "vec"), "node").join(graph.select("node", "least"), "node", "left")
+    empty = F.lit(None).cast("binary")
+    rows = sent.select("block", F.lit(0).alias("kind"), "node", "home", F.coalesce("least", F.lit(float("-inf"))).cast("float").alias("least"), "vec", empty.alias("packed"))
+    rows = rows.union(both.select("home", F.lit(1), "node", "home", "least", empty, "packed"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Gathered(DEGREE)
+        for block in _by_block(batches):
+            split = int(np.searchsorted(_column(block, "kind"), 1))
+            known, (node, _, nbr, _, _, fresh) = block.slice(0, split), _unpacked(block.slice(split))
+            ids, homes, x, least = _column(known, "node"), _column(known, "home"), _vectors(known.column("vec"), dim), _column(known, "least")
+            place, fresh = np.searchsorted(ids, nbr), fresh > 0
+            # one row of places for each node; a neighbour both ways stands there once, new if it is so either way
+            order = np.lexsort((~fresh, place, node))
+            node, place, fresh = node[order], place[order], fresh[order]
+            once = np.concatenate([[True], (node[1:] != node[:-1]) | (place[1:] != place[:-1])])
+            node, place, fresh = node[once], place[once], fresh[once]
+            start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            wide = np.diff(np.append(start, len(node)))
+            at, new = np.full((len(start), wide.max()), -1), np.zeros((len(start), wide.max()), dtype=bool)
+            row, column = np.repeat(np.arange(len(start)), wide), np.arange(len(node)) - np.repeat(start, wide)
+            at[row, column], new[row, column] = place, fresh
+            upper = np.triu(np.ones((wide.max(), wide.max()), dtype=bool), 1)
+            pairs = []
+            for a in range(0, len(at), 128):
+                own, own_new = at[a : a + 128], new[a : a + 128]
+                wanted = upper & (own >= 0)[:, :, None] & (own >= 0)[:, None, :] & (own_new[:, :, None] | own_new[:, None, :])
+                compared.add(int(np.count_nonzero(wanted)))
+                sims, worst = np.matmul(x[own], x[own].transpose(0, 2, 1)), least[own]
+                v, i, j = np.nonzero(wanted & (sims > np.minimum(worst[:, :, None], worst[:, None, :])))
+                pairs.append((own[v, i], own[v, j], sims[v, i, j]))
+            a, b, sims = _offers(*_joined(pairs), least, DEGREE)
+            found.add((ids[a], homes[a], ids[b], homes[b], sims, np.ones(len(a), dtype=np.int32)))
+        yield from found.batches()
+
+    def old(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *rest, fresh = _unpacked(batch)
+            yield from _packed((*rest, np.zeros_like(fresh)), DEGREE)
+
+    better = rows.repartition("block").sortWithinPartitions("block", "kind", "node").mapInArrow(run, GRAPH)
+    after = saved(best_of(better.union(graph.mapInArrow(old, GRAPH)), DEGREE), "graph")
+    discard(both)
+    return after
+
+
+def _marked(rows: DataFrame, value: int | None) -> DataFrame:
+    """(node, block, member) of the entries whose fresh is this value, or of all."""
+    out = arrow_schema("node long, block long, member long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, home, nbr, _, _, fresh = _unpacked(batch)
+            at = np.flatnonzero(np.full(len(node), True) if value is None else fresh == value)
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(home[at]), pa.array(nbr[at])], schema=out)
+
+    return rows.mapInArrow(run, "node long, block long, member long")
+
+
+def build_graph(nodes: DataFrame, count: int, dim: int) -> tuple[DataFrame, int]:
+    """(the graph, number of compared pairs) of nodes (node, home, vec, starts)."""
+    compared = nodes.sparkSession.sparkContext.accumulator(0)
+    graph = saved(first_lists(nodes, dim, compared), "graph")
+    for k in range(ROUNDS):
+        before, graph = graph, descend(graph, nodes, dim, k, compared)
+        discard(before)
+        if _marked(graph, 1).count() <= SETTLED * DEGREE * count:
+            break
+    return graph, compared.value
+
+
+def link_lists(graph: DataFrame) -> DataFrame:
+    """(node, nbrs): whole numbers of 64 bits: a node's list and up to DEGREE nodes that list it."""
+    out = arrow_schema("node long, nbrs binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = np.cumsum([0, *(len(x) // ENTRY.itemsize for x in batch.column("packed").to_pylist())])[:-1]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _blobs(np.ascontiguousarray(_unpacked(batch)[2]), starts)], schema=out)
+
+    return best_of(graph.union(listed_by(graph, DEGREE, -1)), 2 * DEGREE).mapInArrow(run, "node long, nbrs binary")
+
+
+def visit(pools: DataFrame, links: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
+    """pools (GRAPH rows, of queries) after the members that are NEXT have brought in their neighbours.
+
+    The query itself is a member with an infinite sim. The query has no completing component, so a pool is ordered by the
+    inner product alone.
     """
-    needed = pools.select(F.col("home").alias("block"), F.explode("nbrs").alias("node")).distinct()
-    further = needed.join(graph.select("node", "nbrs"), "node").select("block", F.explode("nbrs").alias("node"))
-    wanted = needed.union(further).distinct().join(nodes.select("node", "vec"), "node")
-    longs, empty = F.lit(None).cast("array<long>"), F.lit(None).cast("binary")
-    rows = wanted.select("block", F.lit(0).alias("kind"), "node", "vec", empty.alias("query"), longs.alias("nbrs"))
-    rows = rows.union(pools.select("home", F.lit(1), "node", empty, "query", "nbrs"))
-    schema = "node long, home long, query binary, nbrs array<long>, sims array<float>, changed int"
-    out = arrow_schema(schema)
+    next_ones = _marked(pools, NEXT).select(F.col("node").alias("query"), "block", F.col("member").alias("node"))
+    met = saved(next_ones.join(links, "node").select("block", "query", "nbrs"), "met")
+
+    def named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        nbrs = batch.column("nbrs").to_pylist()
+        return np.repeat(_column(batch, "block"), [len(x) // 8 for x in nbrs]), np.frombuffer(b"".join(nbrs), dtype="<i8")
+
+    needed = _wanted(met, named).union(pools.select("home", "node")).distinct()
+    empty = F.lit(None).cast("binary")
+    rows = needed.join(nodes.select("node", "vec"), "node").select("block", F.lit(0).alias("kind"), "node", F.col("block").alias("home"), "vec", empty.alias("packed"))
+    rows = rows.union(pools.select("home", F.lit(1), "node", "home", empty, "packed")).union(met.select("block", F.lit(2), "query", "block", empty, "nbrs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _by_block(batches):
-            split = int(np.searchsorted(np.asarray(block.column("kind")), 1))
-            known, asking = block.slice(0, split), block.slice(split)
-            ids, x = np.asarray(known.column("node")), _vectors(known.column("vec"), dim)  # sorted by node
-            n, most = len(ids), min(size, len(ids))
-            for at in range(0, asking.num_rows, part := max(1, (4 << 20) // max(1, n))):
-                own = asking.slice(at, part).combine_chunks()
-                node = np.asarray(own.column("node"))
-                sims = _vectors(own.column("query"), dim) @ x.T
-                self_at = np.searchsorted(ids, node)
-                inside = np.flatnonzero((self_at < n) & (ids[np.minimum(self_at, n - 1)] == node)) if n else []
-                sims[inside, self_at[inside]] = -np.inf
-                best = np.sort(np.argpartition(-sims, most - 1, axis=1)[:, :most], axis=1) if n else np.zeros((len(node), 0), dtype=np.int64)
-                score = np.take_along_axis(sims, best, axis=1)
-                order = np.argsort(-score, axis=1, kind="stable")
-                best, score = np.take_along_axis(best, order, axis=1), np.take_along_axis(score, order, axis=1)
-                old = own.column("nbrs").combine_chunks()
-                row = np.repeat(np.arange(len(node)), np.diff(np.asarray(old.offsets)))
-                before = row * n + np.searchsorted(ids, np.asarray(old.flatten()))
-                good = np.isfinite(score)
-                fresh = good & ~np.isin(np.arange(len(node))[:, None] * n + best, before)
-                stops = pa.array(np.concatenate([[0], np.cumsum(good.sum(axis=1))]), pa.int32())
-                lists = [pa.ListArray.from_arrays(stops, pa.array(v)).cast(out.field(k).type) for k, v in ((3, ids[best[good]]), (4, score[good]))]
-                yield pa.RecordBatch.from_arrays([own.column("node").combine_chunks(), own.column("block").combine_chunks(), own.column("query").combine_chunks(), *lists, pa.array(fresh.sum(axis=1), pa.int32())], schema=out)
-
-    return _dealt(rows, count).sortWithinPartitions("block", "kind", "node").mapInArrow(run, schema)
+            one, two = np.searchsorted(_column(block, "kind"), [1, 2]).tolist()
+            ids, x = _column(block, "node")[:one], _vectors(block.column("vec").slice(0, one), dim)
+            asked = x.copy()
+            asked[:, -1] = 0
+            held = _unpacked(block.slice(one, two - one))
+            lists = block.column("packed").slice(two).to_pylist()
+            node, nbr = np.repeat(_column(block, "node")[two:], [len(v) // 8 for v in lists]), np.frombuffer(b"".join(lists), dtype="<i8")
+            order = np.lexsort((nbr, node))
+            order = order[np.concatenate([[True], (node[order][1:] != node[order][:-1]) | (nbr[order][1:] != nbr[order][:-1])])] if len(order) else order
+            node, nbr = node[order], nbr[order]
+            sim = np.empty(len(node), dtype=np.float32)
+            for at in range(0, len(node), 50_000):
+                a, b = np.searchsorted(ids, node[at : at + 50_000]), np.searchsorted(ids, nbr[at : at + 50_000])
+                sim[at : at + 50_000] = np.einsum("ij,ij->i", asked[a], x[b])
+            home, state = _column(block, "block")[0], np.where(held[5] == NEXT, VISITED, held[5])
+            # of entries of one pair the one that was there: _best() takes the lowest for the oldest
+            node, _, nbr, _, sim, state = _best(_joined([(*held[:5], -state), (node, nbr, nbr, nbr, sim, np.zeros(len(node), dtype=np.int32))]), POOL + 1)
+            turn, state = np.flatnonzero(state == -WAITING), -state
+            first = np.flatnonzero(np.concatenate([[True], node[turn][1:] != node[turn][:-1]])) if len(turn) else turn
+            rank = np.arange(len(turn)) - np.repeat(first, np.diff(np.append(first, len(turn))))
+            state[turn[rank < VISITS]] = NEXT
+            same = np.full(len(node), home)
+            yield from _packed((node, same, nbr, same, sim, state), POOL + 1)
+
+    after = saved(rows.repartition("block").sortWithinPartitions("block", "kind", "node").mapInArrow(run, GRAPH), "pools")
+    discard(met)
+    return after
+
+
+def pools_of(nodes: DataFrame) -> DataFrame:
+    """A pool for each of nodes (node, home) that holds the node itself, to be visited first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, home = _column(batch, "node"), _column(batch, "home")
+            yield from _packed((node, home, node, home, np.full(len(node), np.inf, dtype=np.float32), np.full(len(node), NEXT, dtype=np.int32)), POOL + 1)
+
+    return nodes.select("node", "home").mapInArrow(run, GRAPH)
 
 
 def exact_pass(queries: DataFrame, nodes: DataFrame, dim: int, k: int) -> DataFrame:
-    """(node, nbr) of the best k nodes for queries (node, query) against all nodes, a bounded block of queries at a time."""
-    spark, result, block = nodes.sparkSession, None, []
-    out = arrow_schema("node long, nbr long, s float")
+    """(node, nbr) of the best k nodes for queries (node, vec) against all nodes: a job for each EXACT queries, all written to one folder."""
+    spark, path = nodes.sparkSession, new_path(nodes.sparkSession, "exact")
+    schema = "node long, nbr long, s float"
+    out = arrow_schema(schema)
 
-    def against(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r["node"] for r in block]), np.frombuffer(b"".join(bytes(r["query"]) for r in block), dtype=np.float32).reshape(-1, dim)))
+    def against(block: list) -> None:
+        own = np.array([r["node"] for r in block])
+        asked = np.frombuffer(b"".join(bytes(r["vec"]) for r in block), dtype=np.float32).reshape(-1, dim).copy()
+        asked[:, -1] = 0
+        shared = spark.sparkContext.broadcast((own, asked))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, q = shared.value
             best = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32))] * len(own)
             for batch in batches:
-                ids, sims = np.asarray(batch.column("node")), q @ _vectors(batch.column("vec"), dim).T
-                best = [_best(np.concatenate([i, ids[ids != n]]), np.concatenate([s, t[ids != n]]), k) for (i, s), t, n in zip(best, sims, own)]
+                ids, sims = _column(batch, "node"), q @ _vectors(batch.column("vec"), dim).T
+                for i, (n, (held, s)) in enumerate(zip(own.tolist(), best)):
+                    other = ids != n
+                    held, s = np.concatenate([held, ids[other]]), np.concatenate([s, sims[i][other]])
+                    order = np.lexsort((held, -s))[:k]
+                    best[i] = held[order], s[order]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, [len(i) for i, _ in best])), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([s for _, s in best]).astype(np.float32))], schema=out)
 
-        each = nodes.select("node", "vec").mapInArrow(run, "node long, nbr long, s float")
+        each = nodes.select("node", "vec").mapInArrow(run, schema)
         rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("s"), "nbr"))
-        return each.withColumn("r", rank).where(F.col("r") <= k).select("node", "nbr")
+        each.withColumn("r", rank).where(F.col("r") <= k).select("node", "nbr").write.mode("append").parquet(path)
 
+    block = []
     for r in queries.toLocalIterator():
         block.append(r)
-        if len(block) == 512:
-            result, block = against(block) if result is None else result.union(against(block)), []
+        if len(block) == EXACT:
+            against(block)
+            block = []
     if block:
-        result = against(block) if result is None else result.union(against(block))
-    return result
+        against(block)
+    return spark.read.schema("node long, nbr long").parquet(path)
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, told: Callable[[dict], None] | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows that the search finds for each row whose vec_id is divisible by `every`.
 
     score is the inner product in double precision; equal scores go by smaller vec_id. Rows without an id or with a null,
-    empty, zero or non-finite vector take no part, nor do vectors of another length than the most frequent one (of equally
-    frequent ones, the longest). Repeated rows count once; other columns are not looked at; an empty table gives an empty
-    result. A query short of k found candidates is compared with all rows.
+    empty, zero or non-finite vector take no part. Vectors of different lengths have no inner product: those of one length
+    are searched among themselves. Repeated rows count once; other columns are not looked at; an empty table gives an
+    empty result. A query short of k found candidates is compared with all rows. told, if given, is called for each
+    length with the numbers of its nodes, compared pairs of the graph, and steps of the search.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = sizes[0]["dim"]
-    rows = saved(rows.where(F.size("embedding") == dim).distinct(), "vectors")
+    sizes = [r["dim"] for r in rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").collect()]
+    result = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in sizes:
+        result = result.union(_search(rows.where(F.size("embedding") == dim), dim, k, every, told))
+    return result
+
+
+def _search(rows: DataFrame, dim: int, k: int, every: int, told) -> DataFrame:
+    rows = saved(rows.distinct(), "vectors")
     # equal vectors: the k + 1 smallest ids, first within salted parts
     least = lambda c: F.slice(F.array_sort(c), 1, k + 1)
     parts = rows.groupBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(least(F.collect_list("vec_id")).alias("ids"))
     classes = parts.groupBy("embedding").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
     classes = saved(classes.select(F.col("ids")[0].alias("node"), "embedding", "ids"), "classes")
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     about = classes.agg(F.count("*").alias("n"), F.max(squares).alias("top")).first()
     count, top = about["n"], about["top"]
     # x / M and the component that completes it to norm 1
     level = lambda: F.transform("embedding", lambda x: (x / F.lit(top**0.5)).cast("float"))
     nodes = classes.select("node", F.concat(level(), F.array(F.sqrt(F.greatest(F.lit(0.0), 1 - squares / top)).cast("float"))).alias("vec"))
     nodes = saved(assign(nodes, count, dim + 1), "nodes")
-    homes = nodes.select("node", "home", F.col("vec").alias("query"))
-    graph = saved(homes.join(first_lists(nodes, count, dim + 1), "node"), "graph")
-    for _ in range(ROUNDS):
-        graph = saved(step(graph, graph, nodes, count, dim + 1, DEGREE), "graph")
-        if (graph.agg(F.sum("changed")).first()[0] or 0) <= SETTLED * DEGREE * count:
-            break
+    graph, compared = build_graph(nodes, count, dim + 1)
+    links = saved(link_lists(graph), "links")
+    discard(graph)
     asked = saved(rows.where(F.col("vec_id") % every == 0).join(classes.select("node", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "node", "embedding"), "asked")
-    # the query itself has no completing component, so a pool is ordered by the inner product alone
-    flat = F.concat(F.expr(f"substring(query, 1, {4 * dim})"), F.lit(b"\0\0\0\0"))
-    pools = graph.join(asked.select("node").distinct(), "node", "left_semi").select("node", "home", flat.alias("query"), "nbrs")
-    for _ in range(HOPS):
-        pools = saved(step(pools, graph, nodes, count, dim + 1, POOL), "pools")
-        went = pools.agg(F.sum("changed").alias("changed"), F.count("*").alias("n")).first()
-        if (went["changed"] or 0) <= STILL * POOL * went["n"]:
+    pools = saved(pools_of(nodes.join(asked.select("node").distinct(), "node", "left_semi")), "pools")
+    steps = 0
+    while steps < STEPS:
+        before, pools = pools, visit(pools, links, nodes, dim + 1)
+        discard(before)
+        steps += 1
+        if _marked(pools, NEXT).isEmpty():
             break
-    found = pools.select("node", F.explode("nbrs").alias("nbr"))
-    total = min(k, count - 1)
-    short = pools.where(F.size("nbrs") < total).select("node", "query")
-    if total and not short.isEmpty():
-        more = exact_pass(short, nodes, dim + 1, k)
-        found = found.union(more).distinct()
-    own = asked.select("node").distinct().select("node", F.col("node").alias("nbr"))
-    found = found.union(own).distinct()
+    if told:
+        told({"nodes": count, "compared": compared, "steps": steps})
+    found = _marked(pools, None).select("node", F.col("member").alias("nbr"))
+    short = found.groupBy("node").count().where(F.col("count") <= min(k, count - 1)).join(nodes.select("node", "vec"), "node").select("node", "vec")
+    if not short.isEmpty():
+        found = found.union(exact_pass(short, nodes, dim + 1, k)).distinct()
     pairs = found.join(asked, "node").join(classes.select(F.col("node").alias("nbr"), F.col("embedding").alias("other"), "ids"), "nbr")
-    score = F.aggregate(F.zip_with("embedding", "other", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    score = F.aggregate(F.zip_with("embedding", "other", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     each = pairs.select("query_id", "node", score.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
