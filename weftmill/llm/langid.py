@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, hashed_share, slices
+from .common import arrow_schema, carried, hashed_share, slices
 
 DIM = 4096
 #: The fit sees at most about this many documents of each language, and this many languages, the most frequent first.
@@ -178,34 +178,42 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel | None:
     return LanguageModel(languages, idf, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), least)
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id with lang_pred, score (0 to 1, the cosine) and rejected, from text alone; or the columns `keep` of docs with __lang_pred, __score and __rejected.
-
-    Null text and text without a letter give `und`, 0 and rejected, as does every text where model is None. Rows are
-    independent: repeated rows give repeated results, ties go to the first centroid, an empty table gives an empty
-    result, other columns are not looked at and whole texts are read.
-    """
+def _identified(docs: DataFrame, model: LanguageModel | None, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs as k0, k1 and so on, with lang_pred, score and rejected."""
     spark = docs.sparkSession
-    mark, keep = "__" * bool(keep), keep or ["doc_id"]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
+    rows, schema, text = carried(docs, keep)
     schema += ", lang_pred string, score double, rejected boolean"
     out, shared = arrow_schema(schema), spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, text):
                 for at in range(0, part.num_rows, 128):
                     batch = part.slice(at, 128)
-                    lettered = np.asarray(pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\p{L}"), False))
+                    lettered = np.asarray(pc.fill_null(pc.match_substring_regex(batch.column(text), r"\p{L}"), False))
                     if m is None:
                         which, score, far = np.zeros(batch.num_rows, dtype=int), np.zeros(batch.num_rows), np.ones(batch.num_rows, dtype=bool)
-                        lettered[:] = False
+                        lettered = np.zeros(batch.num_rows, dtype=bool)
                     else:
-                        which, score, far = m.predict(batch.column("text"))
+                        which, score, far = m.predict(batch.column(text))
                     names = [m.languages[k] if ok else UNKNOWN for k, ok in zip(which, lettered)]
-                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names), pa.array(np.where(lettered, score, 0.0)), pa.array(far | ~lettered)], schema=out)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(far | ~lettered)], schema=out)
+
+    return rows.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """doc_id with lang_pred, score (0 to 1, the cosine) and rejected, from text alone.
+
+    Null text and text without a letter give `und`, 0 and rejected, as does every text where model is None. Rows are
+    independent: repeated rows give repeated results, ties go to the first centroid, an empty table gives an empty
+    result, other columns are not looked at and whole texts are read.
+    """
+    return _identified(docs, model, ["doc_id"]).select(F.col("k0").alias("doc_id"), "lang_pred", "score", "rejected")
+
 
-    found = rows.mapInArrow(run, schema)
-    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(f"{mark}{c}") for c in ("lang_pred", "score", "rejected")])
+def recognised(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """The rows of docs that identify() does not reject, with the columns of docs, whatever their names."""
+    found = _identified(docs, model, docs.columns).where("NOT rejected")
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

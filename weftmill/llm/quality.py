@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, hashed_share, slices, split_words
+from .common import arrow_schema, carried, hashed_share, slices, split_words
 
 #: The fit sees at most about this many labelled documents (a fixed hashed share of all), in FIT_PARTS parts.
 FIT_DOCS, FIT_PARTS = 6000, 6
@@ -180,24 +180,34 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> QualityModel | Non
     return QualityModel(vectors, shift, scale, train_network(z, y), calibrated(first.logits(x[:cut]), y[:cut]))
 
 
-def score(docs: DataFrame, model: QualityModel | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id with score (0 to 1) and predicted (1 where score >= THRESHOLD), from text alone; or the columns `keep` of docs with __score and __predicted.
-
-    Null counts as empty text, which has a score too; without a model every score is 0.5. Rows are independent, repeated
-    rows give repeated results, an empty table gives an empty result, other columns are not looked at.
-    """
+def _scored(docs: DataFrame, model: QualityModel | None, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs as k0, k1 and so on, with score."""
     spark = docs.sparkSession
-    mark, keep = "__" * bool(keep), keep or ["doc_id"]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))) + ", score double"
+    rows, schema, text = carried(docs, keep)
+    schema += ", score double"
     out, shared = arrow_schema(schema), spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for batch in slices(whole, "text"):
-                s = np.full(batch.num_rows, 0.5) if m is None else m.score(batch.column("text"))
+            for batch in slices(whole, text):
+                s = np.full(batch.num_rows, 0.5) if m is None else m.score(batch.column(text))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s, pa.float64())], schema=out)
 
-    found = rows.mapInArrow(run, schema)
-    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(f"{mark}score"), (F.col("score") >= THRESHOLD).cast("int").alias(f"{mark}predicted"))
+    return rows.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
+    """doc_id with score (0 to 1) and predicted (1 where score >= THRESHOLD), from text alone.
+
+    Null counts as empty text, which has a score too; without a model every score is 0.5. Rows are independent, repeated
+    rows give repeated results, an empty table gives an empty result, other columns are not looked at.
+    """
+    found = _scored(docs, model, ["doc_id"])
+    return found.select(F.col("k0").alias("doc_id"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: QualityModel | None) -> DataFrame:
+    """The rows of docs that score() predicts as 1, with the columns of docs, whatever their names."""
+    found = _scored(docs, model, docs.columns).where(F.col("score") >= THRESHOLD)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
