@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, saved, slices
+from .common import arrow_schema, carried, discard, picked, saved, slices
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 PAIRS_AT_ONCE = 1 << 21
@@ -43,20 +43,24 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > k).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
-    """The columns `keep` of docs (doc_id) with the fingerprint as a signed long, under this name."""
-    keep = keep or ["doc_id"]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))) + ", fp long"
+def _fingerprinted(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
+    """The columns `keep` of docs as k0, k1 and so on, with the fingerprint fp as a signed long."""
+    rows, schema, text = carried(docs, keep)
+    schema += ", fp long"
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
-                fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            for batch in slices(whole, text):
+                fp = np.array([fingerprint(t, shingle) for t in batch.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fp)], schema=out)
 
-    return rows.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("fp").alias(name))
+    return rows.mapInArrow(run, schema)
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, of each row of docs (doc_id, text)."""
+    return _fingerprinted(docs, ["doc_id"], shingle).select(F.col("k0").alias("doc_id"), "fp")
 
 
 def syndrome(fp: np.ndarray) -> np.ndarray:
@@ -177,15 +181,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, root (the smallest fingerprint of its component) and component_id of each row of docs."""
-    rows = saved(fingerprints(docs, ["doc_id"], shingle), "fingerprints")
-    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+def rooted(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """distinct (fp, any others) with root, the smallest fingerprint of its component."""
     roots = components(links(distinct, radius), "stars")
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = saved(rooted, "roots")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -196,14 +195,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     zero, linked like any other. Repeated rows give repeated results; a null doc_id takes part and a component without
     any doc_id has a null component_id; other columns are not looked at; an empty table gives an empty result.
     """
-    return grouped(docs, shingle, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = saved(fingerprints(docs, shingle), "fingerprints")
+    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = saved(rooted(distinct, radius), "roots", distinct)
+    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    each = rows.join(found.join(named, "root").select("fp", "component_id"), "fp")
+    return each.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate component: one of smallest doc_id, or where none has an id, one with the root fingerprint."""
-    found = grouped(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    roots = found.where("component_id IS NULL AND fp = root").select(F.col("fp").alias("__fp")).distinct()
-    nameless = fingerprints(docs.where("doc_id IS NULL"), docs.columns, name="__fp").join(roots, "__fp", "left_semi").dropDuplicates(["__fp"])
-    return kept.unionByName(nameless.select(docs.columns))
+    """docs with one row of each near-duplicate component: one of smallest doc_id (none counts as the largest).
+
+    The rows are written once with a number each; what stays is decided on numbers, ids and fingerprints alone, and each
+    task then picks its own rows by number, so no text is shuffled and no id or fingerprint makes a hot key.
+    """
+    columns, ids = docs.columns, f"k{docs.columns.index('doc_id')}"
+    rows = saved(_fingerprinted(docs, columns).withColumn("row", F.monotonically_increasing_id()), "rows")
+    first = F.min(F.struct(F.col(ids).isNull().alias("nameless"), F.col(ids).alias("doc_id"), "row")).alias("first")
+    distinct = saved(rows.groupBy("fp").agg(first), "distinct")
+    kept = saved(rooted(distinct), "roots", distinct).groupBy("root").agg(F.min("first").alias("first"))
+    return picked(rows, kept.select("first.row")).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)])
