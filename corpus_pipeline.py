@@ -18,13 +18,13 @@ from weftmill.llm.queries import tokenizer
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from labels of the documents outside the fold 0 of 5."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), F.pmod(id_crc32("doc_id"), F.lit(5)) != 0)
-    return quality.score(docs, model, docs.columns).where("__predicted = 1").select(docs.columns)
+    return quality.accepted(docs, model)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: neither without a letter nor too far from every centroid."""
     model = langid.fit(docs, F.pmod(id_crc32("doc_id"), F.lit(4)) != 2)
-    return langid.identify(docs, model, docs.columns).where("NOT __rejected").select(docs.columns)
+    return langid.recognised(docs, model)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = saved(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name, docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
