@@ -2,7 +2,8 @@
 
 A word's symbols are its lower-cased letters and digits, and its shape (runs of capitals, small letters and digits
 shortened, other characters as they are). Each symbol has a sparse random index vector, from its hash; its context vector
-is the sum of the index vectors of the symbols up to WINDOW words before and after it over the fitted documents.
+is the sum of the index vectors of the symbols up to WINDOW words before and after it over all texts. A document is the
+means of its words' vectors, with a few counts: lengths, different words, and how often a word repeats its neighbour.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, carried, hashed_share, slices, split_words
 
-#: The fit sees at most about this many labelled documents (a fixed hashed share of all), in FIT_PARTS parts.
-FIT_DOCS, FIT_PARTS = 6000, 6
+#: The network sees at most about this many labelled documents (a fixed hashed share of all), in FIT_PARTS parts; one in HOLD of them sets the temperature alone.
+FIT_DOCS, FIT_PARTS, HOLD = 6000, 6, 5
 BUCKETS, DIM, ONES, WINDOW = 8192, 32, 4, 2
 HIDDEN, EPOCHS, RATE = 32, 60, 0.01
 THRESHOLD = 0.3
@@ -46,7 +47,7 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     shape = words
     for pattern, sign in ((r"\p{Lu}\p{Lu}+", "XX"), (r"[\p{Ll}\p{Lo}]+", "x"), (r"\p{N}+", "9")):
         shape = pc.replace_substring_regex(shape, pattern, sign)
-    return counts, [_buckets(core)[codes], _buckets(pc.binary_join_element_wise("shape", pc.utf8_slice_codeunits(shape, 0, 16), ":"))[codes]]
+    return counts, [_buckets(core)[codes], _buckets(pc.binary_join_element_wise("shape", shape, ":"))[codes]]
 
 
 def contexts(counts: np.ndarray, of: np.ndarray, index: np.ndarray, out: np.ndarray) -> None:
@@ -128,11 +129,42 @@ def calibrated(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
+def gathered(rows: DataFrame, index: np.ndarray) -> list[np.ndarray]:
+    """Context sums of letters and shapes over all rows (text): whole numbers, so their order does not matter.
+
+    A task's sums are one row for each kind; they are added up in FIT_PARTS parts, whose sums are all that the driver gets.
+    """
+    out = arrow_schema("sums binary, k int")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((BUCKETS, DIM), dtype=np.float32) for _ in range(2)]
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                counts, both = symbols(batch.column("text"))
+                for of, x in zip(both, sums):
+                    contexts(counts, of, index, x)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in sums], pa.binary()), pa.array([0, 1], pa.int32())], schema=out)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(BUCKETS * DIM) for _ in range(2)]
+        for batch in batches:
+            for k, x in zip(batch.column("k").to_pylist(), batch.column("sums")):
+                x = np.frombuffer(x.as_buffer(), dtype=np.float32 if x.as_buffer().size == BUCKETS * DIM * 4 else np.float64)
+                sums[k] += x
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in sums], pa.binary()), pa.array([0, 1], pa.int32())], schema=out)
+
+    total = [np.zeros(BUCKETS * DIM) for _ in range(2)]
+    for r in rows.select("text").mapInArrow(gather, "sums binary, k int").repartition(FIT_PARTS).mapInArrow(add, "sums binary, k int").toLocalIterator():
+        total[r["k"]] += np.frombuffer(r["sums"])
+    return [x.reshape(BUCKETS, DIM) for x in total]
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> QualityModel | None:
     """Learns labels.quality (0 or 1) from the texts of docs where learn (on docs) holds; None without labelled texts.
 
-    Of several labels of a document the largest counts; null labels and ids are left out. The labelled documents are a
-    fixed hashed share, FIT_DOCS on average at most. The driver gets bounded sums and one vector for each of them.
+    Word vectors come from the texts of all of docs. Of several labels of a document the largest counts; null labels and
+    ids are left out. The labelled documents are a fixed hashed share, FIT_DOCS on average at most. The driver gets
+    bounded sums and one vector for each of them.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
@@ -141,25 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> QualityModel | Non
         return None
     # at most about FIT_DOCS rows of two numbers: small enough to broadcast at any size of the tables
     known = F.broadcast(known.where(hashed_share(F.col("doc_id"), FIT_DOCS / n)))
-    rows = docs.where(learn & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id").select("text", "quality")
-    rows = rows.repartition(FIT_PARTS)  # the sums are whole numbers and the vectors are sorted, so no order matters
+    rows = docs.where(learn & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id").select("text", "quality")
     index = index_vectors()
-    sums_schema, x_schema = arrow_schema("sums binary, k int"), arrow_schema("x binary, y int")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((BUCKETS, DIM), dtype=np.float32) for _ in range(2)]
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                counts, both = symbols(batch.column("text"))
-                for of, out in zip(both, sums):
-                    contexts(counts, of, index, out)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in sums], pa.binary()), pa.array([0, 1], pa.int32())], schema=sums_schema)
-
-    sums = [np.zeros((BUCKETS, DIM), dtype=np.float32) for _ in range(2)]
-    for r in rows.mapInArrow(gather, "sums binary, k int").collect():
-        sums[r["k"]] += np.frombuffer(r["sums"], dtype=np.float32).reshape(BUCKETS, DIM)
-    vectors = [np.concatenate([index, c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-6)], axis=1) for c in sums]
-    shared = spark.sparkContext.broadcast(vectors)
+    sums = gathered(docs.select(F.col("text").cast("string").alias("text")), index)
+    vectors = [np.concatenate([index, (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-6)).astype(np.float32)], axis=1) for c in sums]
+    shared, x_schema = spark.sparkContext.broadcast(vectors), arrow_schema("x binary, y int")
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -167,17 +185,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> QualityModel | Non
                 x = pooled(batch.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("quality")], schema=x_schema)
 
-    got = sorted(((bytes(r["x"]), r["y"]) for r in rows.mapInArrow(pool, "x binary, y int").collect()))
+    # the vectors are sorted, so the order of rows does not matter
+    got = sorted(((bytes(r["x"]), r["y"]) for r in rows.repartition(FIT_PARTS).mapInArrow(pool, "x binary, y int").collect()))
     if not got:
         return None
     x, y = np.stack([np.frombuffer(a, dtype=np.float32) for a, _ in got]).astype(np.float64), np.array([b for _, b in got], dtype=np.float64)
     order = np.random.default_rng(3).permutation(len(y))
     x, y = x[order], y[order]
     shift, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    z, cut = (x - shift) / scale, len(y) // 5
-    # the temperature comes from the fifth that a first network has not seen; the final one sees them all
-    first = QualityModel(vectors, shift, scale, train_network(z[cut:], y[cut:]), 1.0)
-    return QualityModel(vectors, shift, scale, train_network(z, y), calibrated(first.logits(x[:cut]), y[:cut]))
+    cut = len(y) // HOLD
+    model = QualityModel(vectors, shift, scale, train_network((x[cut:] - shift) / scale, y[cut:]), 1.0)
+    model.temperature = calibrated(model.logits(x[:cut]), y[:cut])
+    return model
 
 
 def _scored(docs: DataFrame, model: QualityModel | None, keep: list[str]) -> DataFrame:
