@@ -31,9 +31,12 @@ PER_PIVOT, PIVOTS, NEAR_PIVOTS, START, BLOCK = 100, 4096, 3, 200, 512
 SETTLED = 0.07
 #: Rows that a task gathers before it keeps the best of each node alone, queries compared with all rows at once.
 GATHERED, EXACT = 1 << 20, 512
-#: least: the sim that a new neighbour has to beat; packed: ENTRY records. In a pool, fresh is a member's state.
+#: least: the sim that a new neighbour has to beat; packed: ENTRY records.
 GRAPH = "node long, home long, least float, packed binary"
 ENTRY = np.dtype([("nbr", "<i8"), ("home", "<i8"), ("sim", "<f4"), ("fresh", "<i4")])
+#: A search's pool: ENTRY records with states for fresh, and the query's vector without its completing component.
+POOLS = "node long, packed binary, vec binary"
+LINK = np.dtype([("nbr", "<i8"), ("home", "<i8")])
 WAITING, NEXT, VISITED = 0, 1, 2
 
 
@@ -330,16 +333,17 @@ def descend(graph: DataFrame, nodes: DataFrame, dim: int, seed: int, compared) -
 
 
 def _marked(rows: DataFrame, value: int | None) -> DataFrame:
-    """(node, block, member) of the entries whose fresh is this value, or of all."""
-    out = arrow_schema("node long, block long, member long")
+    """(node, member) of the entries whose fresh is this value, or of all."""
+    out = arrow_schema("node long, member long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, home, nbr, _, _, fresh = _unpacked(batch)
-            at = np.flatnonzero(np.full(len(node), True) if value is None else fresh == value)
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(home[at]), pa.array(nbr[at])], schema=out)
+            packed = batch.column("packed").to_pylist()
+            node, entries = np.repeat(_column(batch, "node"), [len(x) // ENTRY.itemsize for x in packed]), np.frombuffer(b"".join(packed), dtype=ENTRY)
+            at = np.flatnonzero(np.full(len(node), True) if value is None else entries["fresh"] == value)
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(entries["nbr"][at])], schema=out)
 
-    return rows.mapInArrow(run, "node long, block long, member long")
+    return rows.select("node", "packed").mapInArrow(run, "node long, member long")
 
 
 def build_graph(nodes: DataFrame, count: int, dim: int) -> tuple[DataFrame, int]:
@@ -355,75 +359,98 @@ def build_graph(nodes: DataFrame, count: int, dim: int) -> tuple[DataFrame, int]
 
 
 def link_lists(graph: DataFrame) -> DataFrame:
-    """(node, nbrs): whole numbers of 64 bits: a node's list and up to DEGREE nodes that list it."""
+    """(node, nbrs): LINK records: a node's list and up to DEGREE nodes that list it."""
     out = arrow_schema("node long, nbrs binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts = np.cumsum([0, *(len(x) // ENTRY.itemsize for x in batch.column("packed").to_pylist())])[:-1]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _blobs(np.ascontiguousarray(_unpacked(batch)[2]), starts)], schema=out)
+            _, _, nbr, home, _, _ = _unpacked(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _blobs(_links(nbr, home), starts)], schema=out)
 
     return best_of(graph.union(listed_by(graph, DEGREE, -1)), 2 * DEGREE).mapInArrow(run, "node long, nbrs binary")
 
 
-def visit(pools: DataFrame, links: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """pools (GRAPH rows, of queries) after the members that are NEXT have brought in their neighbours.
+def _links(nbr: np.ndarray, home: np.ndarray) -> np.ndarray:
+    out = np.empty(len(nbr), dtype=LINK)
+    out["nbr"], out["home"] = nbr, home
+    return out
 
-    The query itself is a member with an infinite sim. The query has no completing component, so a pool is ordered by the
-    inner product alone.
-    """
-    next_ones = _marked(pools, NEXT).select(F.col("node").alias("query"), "block", F.col("member").alias("node"))
-    met = saved(next_ones.join(links, "node").select("block", "query", "nbrs"), "met")
 
-    def named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        nbrs = batch.column("nbrs").to_pylist()
-        return np.repeat(_column(batch, "block"), [len(x) // 8 for x in nbrs]), np.frombuffer(b"".join(nbrs), dtype="<i8")
+def pools_of(nodes: DataFrame) -> DataFrame:
+    """A pool for each of nodes (node, vec) that holds the node itself, with an infinite sim and to be visited first.
 
-    needed = _wanted(met, named).union(pools.select("home", "node")).distinct()
-    empty = F.lit(None).cast("binary")
-    rows = needed.join(nodes.select("node", "vec"), "node").select("block", F.lit(0).alias("kind"), "node", F.col("block").alias("home"), "vec", empty.alias("packed"))
-    rows = rows.union(pools.select("home", F.lit(1), "node", "home", empty, "packed")).union(met.select("block", F.lit(2), "query", "block", empty, "nbrs"))
+    The query has no completing component, so a pool is ordered by the inner product alone.
+    """
+    out = arrow_schema(POOLS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _by_block(batches):
-            one, two = np.searchsorted(_column(block, "kind"), [1, 2]).tolist()
-            ids, x = _column(block, "node")[:one], _vectors(block.column("vec").slice(0, one), dim)
-            asked = x.copy()
-            asked[:, -1] = 0
-            held = _unpacked(block.slice(one, two - one))
-            lists = block.column("packed").slice(two).to_pylist()
-            node, nbr = np.repeat(_column(block, "node")[two:], [len(v) // 8 for v in lists]), np.frombuffer(b"".join(lists), dtype="<i8")
-            order = np.lexsort((nbr, node))
-            order = order[np.concatenate([[True], (node[order][1:] != node[order][:-1]) | (nbr[order][1:] != nbr[order][:-1])])] if len(order) else order
-            node, nbr = node[order], nbr[order]
-            sim = np.empty(len(node), dtype=np.float32)
-            for at in range(0, len(node), 50_000):
-                a, b = np.searchsorted(ids, node[at : at + 50_000]), np.searchsorted(ids, nbr[at : at + 50_000])
-                sim[at : at + 50_000] = np.einsum("ij,ij->i", asked[a], x[b])
-            home, state = _column(block, "block")[0], np.where(held[5] == NEXT, VISITED, held[5])
-            # of entries of one pair the one that was there: _best() takes the lowest for the oldest
-            node, _, nbr, _, sim, state = _best(_joined([(*held[:5], -state), (node, nbr, nbr, nbr, sim, np.zeros(len(node), dtype=np.int32))]), POOL + 1)
-            turn, state = np.flatnonzero(state == -WAITING), -state
-            first = np.flatnonzero(np.concatenate([[True], node[turn][1:] != node[turn][:-1]])) if len(turn) else turn
-            rank = np.arange(len(turn)) - np.repeat(first, np.diff(np.append(first, len(turn))))
-            state[turn[rank < VISITS]] = NEXT
-            same = np.full(len(node), home)
-            yield from _packed((node, same, nbr, same, sim, state), POOL + 1)
-
-    after = saved(rows.repartition("block").sortWithinPartitions("block", "kind", "node").mapInArrow(run, GRAPH), "pools")
-    discard(met)
-    return after
+        for batch in batches:
+            node = _column(batch, "node")
+            entries = np.empty(len(node), dtype=ENTRY)
+            entries["nbr"], entries["home"], entries["sim"], entries["fresh"] = node, 0, np.inf, NEXT
+            flat = [v[:-4] + bytes(4) for v in batch.column("vec").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _blobs(entries, np.arange(len(node))), pa.array(flat, pa.binary())], schema=out)
 
+    return nodes.select("node", "vec").mapInArrow(run, POOLS)
 
-def pools_of(nodes: DataFrame) -> DataFrame:
-    """A pool for each of nodes (node, home) that holds the node itself, to be visited first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, home = _column(batch, "node"), _column(batch, "home")
-            yield from _packed((node, home, node, home, np.full(len(node), np.inf, dtype=np.float32), np.full(len(node), NEXT, dtype=np.int32)), POOL + 1)
+def visit(pools: DataFrame, links: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
+    """pools after the members that are NEXT have brought in their neighbours.
 
-    return nodes.select("node", "home").mapInArrow(run, GRAPH)
+    What a query asks for goes to the blocks of the nodes, with the query's vector once for each block, and the sims come
+    back: no vector of a node moves but to its own block.
+    """
+    next_ones = _marked(pools, NEXT).select(F.col("node").alias("query"), F.col("member").alias("node"))
+    met, no_blob = next_ones.join(links, "node"), F.lit(None).cast("binary")
+    each = pools.select(F.col("node").alias("block"), F.lit(0).alias("kind"), "vec", no_blob.alias("nbrs")).union(met.select("query", F.lit(1), no_blob, "nbrs"))
+    asking = "block long, kind int, node long, vec binary, packed binary"
+    ask_out, found_out = arrow_schema(asking), arrow_schema(POOLS)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for query in _by_block(batches):
+            wanted = np.frombuffer(b"".join(x for x in query.column("nbrs").to_pylist() if x), dtype=LINK)
+            if not len(wanted):
+                continue
+            wanted = wanted[np.unique(wanted["nbr"], return_index=True)[1]]
+            wanted = wanted[np.argsort(wanted["home"], kind="stable")]
+            first = np.flatnonzero(np.concatenate([[True], wanted["home"][1:] != wanted["home"][:-1]]))
+            n, node = len(first), query.column("block")[0].as_py()
+            vec = pa.array([query.column("vec")[0].as_py()] * n, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(wanted["home"][first]), pa.array(np.ones(n, dtype=np.int32)), pa.array(np.full(n, node)), vec, _blobs(np.ascontiguousarray(wanted["nbr"]), first)], schema=ask_out)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _by_block(batches):
+            split = int(np.searchsorted(_column(block, "kind"), 1))
+            ids, x = _column(block, "node")[:split], _vectors(block.column("vec").slice(0, split), dim)
+            for at in range(split, block.num_rows, 500):
+                asked = block.slice(at, 500)
+                lists = asked.column("packed").to_pylist()
+                n = np.array([len(v) // 8 for v in lists])
+                entries = np.empty(int(n.sum()), dtype=ENTRY)
+                entries["nbr"], entries["home"], entries["fresh"] = np.frombuffer(b"".join(lists), dtype="<i8"), 0, WAITING
+                q, place = np.repeat(np.arange(len(n)), n), np.searchsorted(ids, entries["nbr"])
+                entries["sim"] = np.einsum("ij,ij->i", _vectors(asked.column("vec"), dim)[q], x[place])
+                nothing = pa.nulls(len(n), pa.binary())
+                yield pa.RecordBatch.from_arrays([asked.column("node").combine_chunks(), _blobs(entries, np.cumsum(n) - n), nothing], schema=found_out)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for query in _by_block(batches):
+            e = np.frombuffer(b"".join(query.column("packed").to_pylist()), dtype=ENTRY)
+            state, same = np.where(e["fresh"] == NEXT, VISITED, e["fresh"]), np.full(len(e), query.column("block")[0].as_py())
+            # of entries of one pair the one that was there: _best() takes the lowest for the oldest
+            _, _, nbr, _, sim, state = _best((same, same, e["nbr"], same, e["sim"], -state), POOL + 1)
+            entries = np.empty(len(nbr), dtype=ENTRY)
+            entries["nbr"], entries["home"], entries["sim"], entries["fresh"] = nbr, 0, sim, -state
+            entries["fresh"][np.flatnonzero(state == -WAITING)[:VISITS]] = NEXT
+            vec = next(x for x in query.column("vec").to_pylist() if x)
+            yield pa.RecordBatch.from_arrays([pa.array(same[:1]), _blobs(entries, np.zeros(1, dtype=np.int64)), pa.array([vec], pa.binary())], schema=found_out)
+
+    asked = each.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(ask, asking)
+    held = nodes.select(F.col("home").alias("block"), F.lit(0).alias("kind"), "node", "vec", no_blob.alias("packed"))
+    found = held.union(asked).repartition("block").sortWithinPartitions("block", "kind", "node").mapInArrow(score, POOLS)
+    both = pools.union(found).withColumnRenamed("node", "block")
+    return saved(both.repartition("block").sortWithinPartitions("block").mapInArrow(merge, POOLS), "pools")
 
 
 def exact_pass(queries: DataFrame, nodes: DataFrame, dim: int, k: int) -> DataFrame:
