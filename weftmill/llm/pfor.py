@@ -161,7 +161,7 @@ def read_shard(source, size: int) -> Iterator[tuple[int | None, int, np.ndarray]
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> DataFrame:
     """Encodes docs (doc_id, text) and writes shard files under path; returns the manifest: shard, file, size, n_docs, n_tokens.
 
-    Documents are range-partitioned by doc_id (null first; rows with equal ids by a hash of the text), so shard numbers follow doc_id and
+    Documents are range-partitioned by doc_id (null first; rows with equal ids by a hash of the text, repeated rows by place), so shard numbers follow doc_id and
     no task holds more than its range. Each task writes under a name of its own and renames, so a repeated task is harmless.
     Null text: empty. An empty table gives an empty manifest.
     """
@@ -192,11 +192,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> DataFr
             where.move(own, f"{root}/{name}")
             yield pa.RecordBatch.from_pylist([{"shard": context.partitionId(), "file": name, "size": out.at, "n_docs": n_docs, "n_tokens": n_tokens}], schema=out_schema)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # ties by a hash of the text: the range sample that reaches the driver then holds no texts
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    # ties by a hash of the text: the range sample that reaches the driver then holds no texts; repeated rows by their place, so that they may fill many shards
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return saved(rows.mapInArrow(write, manifest), "manifest")
+    return saved(rows.select("doc_id", "text").mapInArrow(write, manifest), "manifest")
 
 
 def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
