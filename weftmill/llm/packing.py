@@ -1,14 +1,16 @@
 """Best-fit packing of token pieces into sequences of a fixed size, in bulk.
 
-Pieces of equal length are interchangeable, and so are sequences with equal gaps. So lengths and gaps are held as sorted
-runs (size, count), at most one for each size up to the capacity, however many documents there are. A sweep goes through
-the length runs from the longest; the successor of a run, the gap run of least size that holds it, takes as many pieces
-as fit, the r-th piece going where rank r falls, and its gaps shrink to what is left; then the next gap run follows, or
-new sequences are opened. That is best-fit-decreasing, carried out for whole runs at once.
-
-What grows with the documents stays in Spark: the range sort of the pieces by length, their ranks within a length (place
-in the partition plus what earlier partitions hold of that length, so one length may have any share of the rows), and the
-placing of each rank by binary search in the table of matches.
+Pieces of equal length are interchangeable, and so are sequences with equal gaps. So lengths are held as sorted runs
+(length, count), one for each length up to the capacity, and gaps as runs of sequences, however many documents there are.
+A sweep goes through the length runs from the longest; the successor of a run, a gap run of least size that holds it,
+takes as many pieces as fit, the r-th piece going where rank r falls, and its gaps shrink to what is left; then the next
+gap run follows, or new sequences are opened. That is best-fit-decreasing, carried out for whole runs at once. A match
+uses up a length or a gap run and leaves three gap runs at most, so matches follow the number of lengths, not of pieces.
+
+The sweep runs on the driver: it sees 4,096 numbers and would gain nothing from more machines. What grows with the
+documents stays in Spark: the range sort of the pieces by length, their ranks within a length (place in the partition plus
+what earlier partitions hold of that length, so one length may have any share of the rows), and the placing of each rank
+by binary search in the table of matches.
 """
 
 from __future__ import annotations
