@@ -201,12 +201,12 @@ def fit(docs: DataFrame, learn: Column) -> LanguageModel | None:
     if share is None:
         return None
     idf = np.round(1 - np.log(np.maximum(share, 1e-4)), 6).astype(np.float32)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("__n"))
+    # one row for each language, as in the model, which is broadcast too
+    sizes = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()], "lang string, n long"))
     turn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30))
-    chosen = rows.join(sizes, "lang").where(turn < F.lit(float(FIT_PER_LANGUAGE << 30)) / F.col("__n"))
+    chosen = rows.join(sizes, "lang").where(turn < F.lit(float(FIT_PER_LANGUAGE << 30)) / F.col("n"))
     chosen = chosen.select("lang", F.xxhash64("text", "doc_id").alias("turn"), "text")
-    # not by lang itself: Spark would leave out that exchange after the join, and split a large language over tasks
-    chosen = chosen.repartition(F.xxhash64("lang")).sortWithinPartitions("lang", "turn", "text")
+    chosen = chosen.repartition("lang").sortWithinPartitions("lang", "turn", "text")
     schema = "lang string, centroids binary, least binary"
     out = arrow_schema(schema)
 
