@@ -41,11 +41,11 @@ class LenientParser(HTMLParser):
 
 
 class Page(LenientParser):
-    """Node arrays of one page: tag ('' for text, '!' for comments), attrs, text, parent, last (end of the subtree), depth."""
+    """Node arrays of one page: tag ('' for text, '!' for comments), attrs, text, parent, last (end of the subtree), depth, line."""
 
     def __init__(self, html: str):
         super().__init__()
-        self.tag, self.attrs, self.text, self.parent, self.last, self.depth = [], [], [], [], [], []
+        self.tag, self.attrs, self.text, self.parent, self.last, self.depth, self.line = [], [], [], [], [], [], []
         self._open: list[int] = []
         self.feed(html)
         self.close()
@@ -59,6 +59,7 @@ class Page(LenientParser):
         self.text.append(text)
         self.parent.append(self._open[-1] if self._open else -1)
         self.depth.append(len(self._open))
+        self.line.append(self.getpos()[0])
         self.last.append(i)
         return i
 

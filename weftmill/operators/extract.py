@@ -38,6 +38,7 @@ SEPARATORS = re.compile(r"\s*[\|｜]\s*|\s*[-–—]\s*|\s*[:：]\s*|\s*_+\s*")
 SITE_END = re.compile(r"(novels?|read(?:ing|er)?|books?|fictions?|stor(?:y|ies)|web|site|home|online|free|latest|txt|download|app|official|portal|hub|zone|space|club|net|org)$", re.I)
 SITE_END_ZH = re.compile(r"(小说|阅读|阅读器|章节|正文|网|书屋|书城|文学|在线|免费|最新|书网|书斋|小说网|读书网|中文网|阅读网|文学网|全文|最新章节)$")
 SILENT = frozenset("script style noscript template iframe svg math canvas audio video object embed form button input select textarea label option datalist dialog img picture source hr track map area frame frameset applet".split())
+RAW = frozenset("script style template".split())
 CHROME = frozenset("nav footer header aside".split())
 DENSE = frozenset("div section article main td center body".split())
 TEXT_BLOCKS = frozenset("p div section article main blockquote pre li h1 h2 h3 h4 h5 h6 td th figure figcaption dd dt".split())
@@ -45,9 +46,19 @@ LINKED = frozenset("div section ul ol table td p li span dl nav aside".split())
 NAMES = ("id", "class", "role", "aria-label", "title", "itemprop", "data-type", "data-module", "data-component", "data-name")
 ROLES = frozenset("navigation banner complementary contentinfo".split())
 GENERIC_HOST = frozenset("www m wap app blog html php asp aspx jsp cgi com org net edu gov io co us uk cc top xyz vip club site online store dev test localhost 127 0".split())
+#: Characters of a div's or span's own text that make it a leaf, and of a leaf that has a score; marks that speak for prose.
+LEAST_OWN, LEAST_LEAF, LEAF_MARKS = 20, 5, ",，.。;；"
+#: Characters of any candidate.
+LEAST_CHARS = 60
+CONTENT = re.compile(r"[0-9A-Za-z\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]")
 TAG_WEIGHT = {"article": 1.6, "main": 1.6, "section": 1.05, "div": 1.0, "td": 0.85, "body": 0.75}
 
 
+def content_length(text: str) -> int:
+    """ASCII letters and digits, kana, Han and hangul."""
+    return len(CONTENT.findall(text))
+
+
 @dataclass
 class Candidate:
     node: int
@@ -68,9 +79,10 @@ class Extraction:
         self.names = [" ".join(a[k] for k in NAMES if a.get(k)).lower() if a else "" for a in p.attrs]
         self.head = [i for i, t in enumerate(p.tag) if t == "title"]
         self.page_title = self.n.get_text(self.head[0]) if self.head else ""
+        raw = (self.n.runs[i] for i, t in enumerate(p.tag) if t == "" and (p.parent[i] < 0 or p.tag[p.parent[i]] not in RAW))
+        self.page_chars = sum(raw) if "body" in p.tag else 0
         self.pre_clean()
         self.n.refresh()
-        self.page_chars = self.n.chars_to[-1]
 
     def hint(self, i: int) -> bool:
         return bool(self.names[i] and HINT.search(self.names[i]))
@@ -120,15 +132,17 @@ class Extraction:
         """Scores that text leaves hand up: whole to the parent, half to the grandparent."""
         n, p, out = self.n, self.page, {}
         for i in n.elements():
-            own = sum(scoring_length(p.text[c]) for c in n.children(i) if p.tag[c] == "") if p.tag[i] in ("div", "span") else 0
-            if p.tag[i] not in ("p", "pre", "blockquote") and own < 20:
+            own = sum(content_length(p.text[c]) for c in n.children(i) if p.tag[c] == "") if p.tag[i] in ("div", "span") else 0
+            if p.tag[i] not in ("p", "pre", "blockquote") and own < LEAST_OWN:
                 continue
-            chars = n.chars(i)
-            if chars < 5:
+            text = "".join(n.parts(i))
+            chars = content_length(text)
+            if chars < LEAST_LEAF:
                 continue
-            marks = sum(map("".join(n.parts(i)).count, ",，.。;；"))
-            score = (1 + min(chars / 100, 6) + min(marks / 5, 3)) * (1 - min(1.0, n.inner(n.link_to, i) / chars)) ** 2
-            score *= (0.3 if chars < 20 else 1) * (0.15 if self.negative(i) else 1)
+            marks = sum(map(text.count, LEAF_MARKS))
+            linked = sum(content_length("".join(n.parts(k))) for k in n.elements(i) if p.tag[k] == "a")
+            score = (1 + min(chars / 100, 6) + min(marks / 5, 3)) * (1 - min(1.0, linked / chars)) ** 2
+            score *= (0.3 if chars < LEAST_OWN else 1) * (0.15 if self.negative(i) else 1)
             for up, share in zip(n.ancestors(i), (1.0, 0.5)):
                 if p.tag[up] not in CHROME:
                     out[up] = out.get(up, 0.0) + score * share
@@ -138,16 +152,26 @@ class Extraction:
 
     def candidates(self) -> list[Candidate]:
         n, p = self.n, self.page
-        dense = [self.measured(i) for i in n.elements() if p.tag[i] in DENSE and n.chars(i) >= 60]
+        whole = self.whole()
+        dense = [self.measured(i) for i in n.elements() if n.chars(i) >= LEAST_CHARS and (p.tag[i] in DENSE or i == whole)]
         marked = [c for c in (self.measured(i) for i in n.elements() if p.tag[i] in ("article", "main") or p.attrs[i].get("role") == "main") if c.chars >= 120 and c.link_density <= 0.35 and not c.negative]
         order = sorted(marked, key=lambda c: -c.score) + sorted(dense, key=lambda c: -c.score)
         handed = sorted(((s, i) for i, s in self.leaf_scores().items()), key=lambda x: -x[0])
-        order += [self.measured(i, s) for s, i in handed]
+        order += [self.measured(i, s) for s, i in handed if n.chars(i) >= LEAST_CHARS]
         first: dict[int, Candidate] = {}
         for c in order:
             first.setdefault(c.node, c)
         return sorted((c for c in first.values() if c.score > 0), key=lambda c: -c.score)
 
+    def whole(self) -> int | None:
+        """The body, else the html element, else the first element that nothing holds."""
+        n, p = self.n, self.page
+        for tag in ("body", "html"):
+            found = next((i for i in n.elements() if p.tag[i] == tag), None)
+            if found is not None:
+                return found
+        return next((i for i in n.elements() if p.parent[i] < 0), None)
+
     # choice
     def choose(self, found: list[Candidate]) -> tuple[list[Candidate], float]:
         n = self.n
@@ -162,11 +186,11 @@ class Extraction:
         margin = 1.0 if second is None or best.score <= 0 else min(1.0, max(0.0, (best.score - second.score) / best.score))
         if best.chars < 300 or margin < 0.25:
             group: list[Candidate] = []
-            for c in [best, *rest][:10]:
+            for c in found[:10]:
                 if c.score >= 0.35 * best.score and c.chars >= 80 and all(apart(c, g) for g in group):
                     group.append(c)
             if len(group) >= 2 and sum(c.chars for c in group) > 1.25 * best.chars and self.adjacent(group):
-                return sorted(group, key=lambda c: c.node), margin
+                return sorted(group, key=lambda c: self.page.line[c.node]), margin
         return [best], margin
 
     def adjacent(self, group: list[Candidate]) -> bool:
@@ -221,17 +245,13 @@ class Extraction:
         return bool(chars <= 25 and SITE_END.search(low) or chars <= 12 and SITE_END_ZH.search(low))
 
     def clean_title(self, raw: str) -> str:
-        parts = [x for x in SEPARATORS.split(raw) if x]
-        if len(parts) < 2:
-            return raw
+        raw = " ".join(raw.split())
+        parts = [x.strip() for x in SEPARATORS.split(raw) if x.strip()]
         marks = [self.siteish(x) for x in parts]
-        if all(marks):
-            return max(parts, key=len)
+        if len(parts) < 2 or all(marks):
+            return max(parts, key=scoring_length) if len(parts) > 1 else raw
         first, last = marks.index(False), len(marks) - marks[::-1].index(False)
-        if (first, last) == (0, len(parts)):
-            return raw
-        begin = raw.index(parts[first])
-        return raw[begin : raw.rindex(parts[last - 1]) + len(parts[last - 1])]
+        return raw if (first, last) == (0, len(parts)) else " - ".join(parts[first:last])
 
     # cleaning and text
     def clean(self, root: int) -> None:
@@ -311,21 +331,53 @@ class Extraction:
     def result(self) -> tuple[str, str, float, str]:
         found = self.candidates()
         if not found:
-            roots = [i for i in self.n.elements() if self.page.tag[i] == "body"] or [i for i in self.n.elements() if self.page.parent[i] < 0][:1]
-            title = self.title([])
-            lines = [x for r in roots for x in self.lines(r, title)] if roots else []
-            text = "\n\n".join(lines)
-            return title, text, round(min(0.2, 0.2 * scoring_length(text) / 150), 3), "none"
+            title, root = self.title([]), self.whole()
+            if root is None:
+                text = ""
+            else:
+                self.clean(root)
+                text = "\n\n".join(self.lines(root, title)).strip()
+            return title, text, round(min(0.2, scoring_length(text) / 1000), 3), "none"
         chosen, margin = self.choose(found)
         title = self.title(chosen)
         lines: list[str] = []
         for c in chosen:
-            self.clean(c.node)
-            lines += self.lines(c.node, title)
+            if self.n.alive[c.node]:  # the cleaning of an earlier one may have taken it
+                self.clean(c.node)
+                lines += self.lines(c.node, title)
         text = "\n\n".join(lines)
         return title, text, round(self.confidence(chosen, margin, scoring_length(text)), 3), "single" if len(chosen) == 1 else "merged"
 
 
+NODES = "page_id long, node int, last int, parent int, tag string, chars int, tags int, p_chars int, paras int, brs int, long_chars int, link_chars int, texts int, short_texts int, hint boolean, parent_hint boolean, negative boolean, main boolean"
+
+
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """The elements of each page that pre-cleaning leaves, with the sums over their subtrees that scores are made of.
+
+    node is the place in document order, last that of the last node of the subtree, parent is null at the top. Null html
+    gives no rows; repeated rows give repeated results. functions.scores turns them into scores.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(NODES))
+
+    def features(e: Extraction, page_id: int | None) -> Iterator[tuple]:
+        n, p = e.n, e.page
+        for i in n.elements():
+            up = p.parent[i]
+            sums = n.chars(i), n.inner(n.tags_to, i) + 1, n.inner(n.para_to, i), n.inner(n.paras_to, i), n.span(n.br_to, i), n.span(n.long_to, i), n.inner(n.link_to, i), n.span(n.texts_to, i), n.span(n.short_to, i)
+            yield page_id, i, p.last[i], up if up >= 0 else None, p.tag[i], *sums, e.hint(i), up >= 0 and e.hint(up), e.negative(i), p.attrs[i].get("role") == "main"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "html")):
+            rows = [r for i, h in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()) for r in features(Extraction(h or ""), i)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
+
+    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, NODES)
+
+
 def _profile(name: str) -> type[Extraction]:
     from .profiles import PROFILES
 

@@ -15,6 +15,7 @@ from ..functions import text as T
 from .. import streaming
 from ..operators import catalog, extract, sites
 from ..sources import files
+from . import scores
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +66,7 @@ def source_counts(spark, sf_dir):
 
 def feed_union(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "source")
-    return catalog.union_sources(d.where("source = 'src1'"), d.where("source = 'src2'"), d.where("source = 'src1'"))
+    return catalog.union_sources(d.where("source = 'src1'"), d.where("source <> 'src1' OR source IS NULL"), d.where("source = 'src1'"))
 
 
 def page_host_tokens(spark, sf_dir):
@@ -264,7 +265,7 @@ _SQL = {
     "dedup_keep_first": "SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1",
     "relevance_rank": "SELECT p_partkey, round(CASE WHEN contains(lower(p_name), 'green') THEN 1 - abs(5 - length(p_name)) / greatest(5, length(p_name)) ELSE 0.5 END, 6)::DOUBLE AS relevance FROM part",
     "source_counts": "SELECT source, count(*) AS n FROM documents GROUP BY source",
-    "feed_union": "SELECT doc_id, source FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id, source FROM documents WHERE source = 'src2' UNION ALL SELECT doc_id, source FROM documents WHERE source = 'src1'",
+    "feed_union": "SELECT doc_id, source FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'src1' UNION ALL SELECT doc_id, source FROM documents WHERE source = 'src1'",
     "page_host_tokens": rf"SELECT page_id, array_to_string(list_filter(string_split_regex(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '[^a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({_GENERIC})), ' ') AS tokens FROM pages",
     "challenge_flag": "SELECT page_id, regexp_matches(substr(html, 1, 15000), '(?i)" + "|".join(T.CHALLENGE) + "') AS challenge FROM pages",
     "absolute_links": r"""
@@ -304,8 +305,8 @@ _SQL |= {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in [*_QUERIES, *scores.QUERIES]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | scores.SQL
