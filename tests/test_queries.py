@@ -50,7 +50,7 @@ def test_compat_numbers_of_all_parts(spark, sf_dir):
         return [(chinese, 0), (0, 0), (size, 0), (size, 0), (chinese, size % 5 + 1), (size, 0), (0, 0)][key % 7]
 
     assert {k % 7 for k in sizes} == set(range(7))
-    found = plans.queries()["chapter_numbers_compat_all"](spark, sf_dir).collect()
+    found = plans.queries()["chapter_numbers_compat"](spark, sf_dir).collect()
     assert len(found) == len(sizes) and {r["p_partkey"]: (r["number"], r["volume"]) for r in found} == {k: want(k, n) for k, n in sizes.items()}
 
 

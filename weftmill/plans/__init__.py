@@ -108,11 +108,6 @@ def chapter_numbers(spark, sf_dir):
 
 
 def chapter_numbers_compat(spark, sf_dir):
-    n = numerals.chapter_number(F.col("title"), "compat")
-    return _titles(spark, sf_dir).where(F.pmod("p_partkey", F.lit(7)).isin(0, 1, 2, 3)).select("p_partkey", n["number"].alias("number"))
-
-
-def chapter_numbers_compat_all(spark, sf_dir):
     n = numerals.chapter_number(F.col("title"), "compat")
     return _titles(spark, sf_dir).select("p_partkey", n["number"].alias("number"), n["volume"].alias("volume"))
 
@@ -241,7 +236,7 @@ def page_source(spark, sf_dir):
 
 _QUERIES = [
     scoring_len, content_chars, punct_count, norm_text, preview_text, safe_names, author_notes, dedup_keep_first, relevance_rank, source_counts, feed_union, page_host_tokens,
-    challenge_flag, absolute_links, chapter_numbers, chapter_numbers_compat, chapter_numbers_compat_all, natural_chapter_sort, natural_chapter_sort_reverse, tier_outcomes, accepted_tiers, live_sessions, request_gaps, script_challenge_flag, tier_statistics, backoff_schedule,
+    challenge_flag, absolute_links, chapter_numbers, chapter_numbers_compat, natural_chapter_sort, natural_chapter_sort_reverse, tier_outcomes, accepted_tiers, live_sessions, request_gaps, script_challenge_flag, tier_statistics, backoff_schedule,
     first_five_pages, ajax_chapter_list, extract_chapter, novel_info, chapter_list, page_links, search_listing, feed_listing, chapter_export, chapter_export_interactive, chapter_view, result_view,
     fetch_windows, page_source, *map(_by_profile, ("density", "additive", "propagation", "threshold", "capped")),
 ]
@@ -274,7 +269,8 @@ _SQL = {
             WHEN 2 THEN regexp_extract(url, '^(\w+):', 1) || '://h.example/p' WHEN 3 THEN regexp_replace(url, '[?#].*$', '') || '?q=1' ELSE 'https://o.example/z' END AS url
         FROM pages""",
     "chapter_numbers": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 6 THEN 0 ELSE p_size END::DOUBLE AS number, CASE WHEN p_partkey % 7 = 4 THEN p_size % 5 + 1 ELSE 0 END::INT AS volume FROM part",
-    "chapter_numbers_compat": "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN CASE WHEN p_size < 10 THEN p_size WHEN p_size < 20 THEN 0 ELSE p_size // 10 * 10 END WHEN 1 THEN 0 ELSE p_size END::DOUBLE AS number FROM part WHERE p_partkey % 7 IN (0, 1, 2, 3)",
+    "chapter_numbers_compat": """SELECT p_partkey, CASE WHEN p_partkey % 7 IN (0, 4) THEN CASE WHEN p_size < 10 THEN p_size WHEN p_size < 20 THEN 0 ELSE p_size // 10 * 10 END WHEN p_partkey % 7 IN (1, 6) THEN 0 ELSE p_size END::DOUBLE AS number,
+        CASE WHEN p_partkey % 7 = 4 THEN p_size % 5 + 1 ELSE 0 END::INT AS volume FROM part""",
     "natural_chapter_sort": _SORTED.format(way=""),
     "natural_chapter_sort_reverse": _SORTED.format(way="DESC"),
     "tier_outcomes": f"SELECT user_id, (min(tier) FILTER (success AND status_code = 200))::INT AS tier, count(*) AS tries FROM {_FETCHES} GROUP BY user_id",

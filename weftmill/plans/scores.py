@@ -5,7 +5,7 @@ The sums, names and marks of a node are made from its line's keys, alike in both
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -51,8 +51,13 @@ def _leaves(nodes: DataFrame) -> DataFrame:
     return nodes.select("page_id", score.alias("score"), (F.col("node") % 3 + 1).cast("int").alias("parent"), F.when(F.col("node") > 2, F.lit(1)).alias("grandparent"))
 
 
+def _short(name: str) -> Column:
+    """32 bits of a number: what the last bits of two engines' arithmetic don't reach."""
+    return F.col(name).cast("float").cast("double")
+
+
 def _told(found: DataFrame) -> DataFrame:
-    return found.select("page_id", "node", F.round("score", 9).alias("score"))
+    return found.select("page_id", "node", _short("score").alias("score"))
 
 
 def node_density_scores(spark, sf_dir):
@@ -81,12 +86,12 @@ def candidate_union(spark, sf_dir):
     scored = _scored(_nodes(spark, sf_dir))
     up = S.handed_up(_leaves(scored), scored, carry=("chars",)).where(F.col("chars") >= S.LEAST_CHARS)
     found = S.first_of_each(S.marked_candidates(scored), S.density_candidates(scored), up)
-    return found.select("page_id", "node", "kind", F.round("score", 9).alias("score"))
+    return found.select("page_id", "node", "kind", _short("score").alias("score"))
 
 
 def chosen_candidates(spark, sf_dir):
     found = S.chosen(S.density_candidates(_scored(_nodes(spark, sf_dir))))
-    return found.select("page_id", "node", F.round("margin", 9).alias("margin"))
+    return found.select("page_id", "node", _short("margin").alias("margin"))
 
 
 def heading_scores(spark, sf_dir):
@@ -130,24 +135,24 @@ _UP = f"""leaves AS (SELECT page_id, node, {_LEAF} AS score FROM {_N}),
 _DENSE = "tag IN ('div', 'section', 'article', 'main', 'td', 'center', 'body') AND chars >= 60 AND score > 0"
 _MARKED = "(tag IN ('article', 'main') OR main) AND chars >= 120 AND link_density <= 0.35 AND NOT negative AND score > 0"
 SQL: dict[str, str] = {
-    "node_density_scores": f"WITH {_SCORED} SELECT page_id, node, round(score, 9) AS score FROM scored",
-    "leaf_scores": f"SELECT page_id, node, round({_LEAF}, 9) AS score FROM {_N}",
-    "handed_up_scores": f"WITH {_UP} SELECT page_id, node, round(score, 9)::DOUBLE AS score FROM up",
-    "density_candidates": f"WITH {_SCORED} SELECT page_id, node, round(score, 9) AS score FROM scored WHERE {_DENSE}",
-    "marked_candidates": f"WITH {_SCORED} SELECT page_id, node, round(score, 9) AS score FROM scored WHERE {_MARKED}",
+    "node_density_scores": f"WITH {_SCORED} SELECT page_id, node, (score)::FLOAT::DOUBLE AS score FROM scored",
+    "leaf_scores": f"SELECT page_id, node, ({_LEAF})::FLOAT::DOUBLE AS score FROM {_N}",
+    "handed_up_scores": f"WITH {_UP} SELECT page_id, node, (score)::FLOAT::DOUBLE AS score FROM up",
+    "density_candidates": f"WITH {_SCORED} SELECT page_id, node, (score)::FLOAT::DOUBLE AS score FROM scored WHERE {_DENSE}",
+    "marked_candidates": f"WITH {_SCORED} SELECT page_id, node, (score)::FLOAT::DOUBLE AS score FROM scored WHERE {_MARKED}",
     "candidate_union": f"""WITH {_SCORED}, {_UP},
         found AS (SELECT page_id, node, 0 AS kind, score FROM scored WHERE {_MARKED} UNION ALL SELECT page_id, node, 1, score FROM scored WHERE {_DENSE} UNION ALL SELECT page_id, node, 2, score FROM up WHERE chars >= 60)
-        SELECT page_id, node, kind, round(score, 9)::DOUBLE AS score FROM found QUALIFY row_number() OVER (PARTITION BY page_id, node ORDER BY kind, score DESC) = 1""",
+        SELECT page_id, node, kind, (score)::FLOAT::DOUBLE AS score FROM found QUALIFY row_number() OVER (PARTITION BY page_id, node ORDER BY kind, score DESC) = 1""",
     "chosen_candidates": f"""WITH {_SCORED},
         found AS (SELECT page_id, list({{'node': node, 'last': last, 'chars': chars, 'score': score}} ORDER BY score DESC, node) AS f FROM scored WHERE {_DENSE} GROUP BY page_id),
         refined AS (SELECT *, coalesce(list_filter(f[2:12], lambda c: c.node > f[1].node AND c.node <= f[1].last AND c.score >= 0.9 * f[1].score AND c.chars >= 0.65 * f[1].chars)[1], f[1]) AS best FROM found),
         others AS (SELECT *, list_filter(f, lambda c: c.node <> best.node) AS rest FROM refined),
         margins AS (SELECT *, coalesce(list_filter(rest, lambda c: NOT (c.node < best.node AND best.node <= c.last) AND NOT (best.node < c.node AND c.node <= best.last))[1], rest[1]).score AS second FROM others)
-        SELECT page_id, best.node AS node, round(CASE WHEN second IS NULL THEN 1 ELSE least(1, greatest(0, (best.score - second) / best.score)) END, 9)::DOUBLE AS margin FROM margins""",
+        SELECT page_id, best.node AS node, (CASE WHEN second IS NULL THEN 1 ELSE least(1, greatest(0, (best.score - second) / best.score)) END)::FLOAT::DOUBLE AS margin FROM margins""",
     "heading_scores": f"""SELECT page_id, node, (CASE WHEN n < 2 OR n > 150 THEN -1 ELSE n + CASE place % 4 WHEN 0 THEN 25 WHEN 1 THEN 15 WHEN 2 THEN 8 ELSE 0 END + CASE WHEN hint THEN 20 ELSE 0 END
         - CASE WHEN negative THEN 30 ELSE 0 END + CASE WHEN main THEN 40 ELSE 0 END - CASE WHEN parent_hint THEN 60 ELSE 0 END END)::DOUBLE AS score FROM (SELECT *, chars % 170 AS n FROM {_N})""",
-    "result_confidence": f"""SELECT page_id, node, round(least(0.95, greatest(0, (0.3 * least(1, chars / 1200) + 0.35 * (0.35 + 0.65 * least(1, greatest(p_chars / chars, 0.8 * (long_chars / chars))))
+    "result_confidence": f"""SELECT page_id, node, (least(0.95, greatest(0, (0.3 * least(1, chars / 1200) + 0.35 * (0.35 + 0.65 * least(1, greatest(p_chars / chars, 0.8 * (long_chars / chars))))
         + 0.2 * (0.55 + 0.45 * least(1, 2 * (short_texts / 9))) + 0.15 * CASE WHEN page = 0 THEN 0.8 WHEN chars / page > 0.95 THEN 0.3 ELSE least(1, greatest(0.3, 1 - abs(chars / page - 0.35) / 0.65)) END)
-        * greatest(0, 1 - 1.5 * (link_chars / chars)) * CASE WHEN parent_hint THEN 0.75 ELSE 1 END * CASE WHEN negative THEN 0.7 ELSE 1 END * CASE WHEN hint THEN 1.05 ELSE 1 END)) * least(1, p_chars / 150), 9)::DOUBLE AS score
+        * greatest(0, 1 - 1.5 * (link_chars / chars)) * CASE WHEN parent_hint THEN 0.75 ELSE 1 END * CASE WHEN negative THEN 0.7 ELSE 1 END * CASE WHEN hint THEN 1.05 ELSE 1 END)) * least(1, p_chars / 150))::FLOAT::DOUBLE AS score
         FROM (SELECT *, chars * (brs % 4) + short_texts AS page FROM {_N})""",
 }
