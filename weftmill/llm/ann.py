@@ -27,6 +27,8 @@ from .common import arrow_schema, discard, hashed_share, new_path, saved
 DEGREE, REVERSE, ROUNDS, POOL, VISITS, STEPS = 40, 24, 16, 128, 96, 16
 #: About so many nodes for a pivot, at most so many pivots (the bound of what is broadcast), pivots that a node starts from, about so many nodes compared at the start, nodes of a block.
 PER_PIVOT, PIVOTS, NEAR_PIVOTS, START, BLOCK = 100, 4096, 3, 200, 512
+#: Nodes of a part that searches ask, about.
+ASKED = 4096
 #: Rounds end when at most this share of the lists is new.
 SETTLED = 0.07
 #: Rows that a task gathers before it keeps the best of each node alone, queries compared with all rows at once.
@@ -36,7 +38,6 @@ GRAPH = "node long, home long, least float, packed binary"
 ENTRY = np.dtype([("nbr", "<i8"), ("home", "<i8"), ("sim", "<f4"), ("fresh", "<i4")])
 #: A search's pool: ENTRY records with states for fresh, and the query's vector without its completing component.
 POOLS = "node long, packed binary, vec binary"
-LINK = np.dtype([("nbr", "<i8"), ("home", "<i8")])
 WAITING, NEXT, VISITED = 0, 1, 2
 
 
@@ -165,15 +166,15 @@ def best_of(rows: DataFrame, size: int) -> DataFrame:
 
 
 def assign(nodes: DataFrame, count: int, dim: int) -> DataFrame:
-    """nodes (node, vec) with home, its block, and starts, the groups in which its first list is found."""
+    """nodes (node, vec) with home, its block, starts, the groups in which its first list is found, and part, that which searches ask for it."""
     spark = nodes.sparkSession
     want = max(1, min(PIVOTS, count // PER_PIVOT))
     picked = nodes.where(hashed_share(F.col("node"), 1.2 * want / count)).orderBy("node").limit(2 * want).collect() if want > 1 else []
     pivots = np.array([r["vec"] for r in picked] or [[0.0] * dim], dtype=np.float32)
     shared = spark.sparkContext.broadcast(pivots)
     coarse = np.linspace(0, len(pivots) - 1, max(1, min(len(pivots), round(count / BLOCK)))).astype(int)
-    schema = "node long, vec binary, near array<int>, mid int"
-    out = arrow_schema(schema)
+    schema = "node long, vec binary, near array<int>, mid int, part long"
+    out, parts_asked = arrow_schema(schema), asked_parts(count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = min(NEAR_PIVOTS, len(shared.value))
@@ -184,7 +185,7 @@ def assign(nodes: DataFrame, count: int, dim: int) -> DataFrame:
                 sims = x @ shared.value.T
                 near = np.argsort(-sims, axis=1, kind="stable")[:, :k].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * k, pa.int32()), pa.array(near.ravel())).cast(out.field(2).type)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([v.tobytes() for v in x], pa.binary()), lists, pa.array(sims[:, coarse].argmax(axis=1), pa.int32())], schema=out)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([v.tobytes() for v in x], pa.binary()), lists, pa.array(sims[:, coarse].argmax(axis=1), pa.int32()), pa.array(_part(_column(batch, "node"), parts_asked))], schema=out)
 
     found = saved(nodes.select("node", "vec").mapInArrow(run, schema), "near")
 
@@ -196,7 +197,15 @@ def assign(nodes: DataFrame, count: int, dim: int) -> DataFrame:
 
     start = block(found.select(F.explode("near").alias("p")), START)
     home = block(found.select(F.col("mid").alias("p")), BLOCK)
-    return found.select("node", "vec", home(F.col("mid")).alias("home"), F.transform("near", start).alias("starts"))
+    return found.select("node", "vec", home(F.col("mid")).alias("home"), F.transform("near", start).alias("starts"), "part")
+
+
+def asked_parts(count: int) -> int:
+    return -(-count // ASKED)
+
+
+def _part(node: np.ndarray, parts: int) -> np.ndarray:
+    return (_mixed(node, np.zeros_like(node), 0) * parts).astype(np.int64)
 
 
 def _offers(a: np.ndarray, b: np.ndarray, sims: np.ndarray, least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -359,24 +368,17 @@ def build_graph(nodes: DataFrame, count: int, dim: int) -> tuple[DataFrame, int]
 
 
 def link_lists(graph: DataFrame) -> DataFrame:
-    """(node, nbrs): LINK records: a node's list and up to DEGREE nodes that list it."""
+    """(node, nbrs): whole numbers of 64 bits: a node's list and up to DEGREE nodes that list it."""
     out = arrow_schema("node long, nbrs binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts = np.cumsum([0, *(len(x) // ENTRY.itemsize for x in batch.column("packed").to_pylist())])[:-1]
-            _, _, nbr, home, _, _ = _unpacked(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _blobs(_links(nbr, home), starts)], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _blobs(np.ascontiguousarray(_unpacked(batch)[2]), starts)], schema=out)
 
     return best_of(graph.union(listed_by(graph, DEGREE, -1)), 2 * DEGREE).mapInArrow(run, "node long, nbrs binary")
 
 
-def _links(nbr: np.ndarray, home: np.ndarray) -> np.ndarray:
-    out = np.empty(len(nbr), dtype=LINK)
-    out["nbr"], out["home"] = nbr, home
-    return out
-
-
 def pools_of(nodes: DataFrame) -> DataFrame:
     """A pool for each of nodes (node, vec) that holds the node itself, with an infinite sim and to be visited first.
 
@@ -395,44 +397,56 @@ def pools_of(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "vec").mapInArrow(run, POOLS)
 
 
-def visit(pools: DataFrame, links: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
+def visit(pools: DataFrame, links: DataFrame, nodes: DataFrame, dim: int, parts: int) -> DataFrame:
     """pools after the members that are NEXT have brought in their neighbours.
 
-    What a query asks for goes to the blocks of the nodes, with the query's vector once for each block, and the sims come
-    back: no vector of a node moves but to its own block.
+    What a query asks for goes to the parts of the nodes, with the query's vector once for each part, and the sims come
+    back: no vector of a node moves but to its own part. A task holds one part's vectors and a batch of what is asked.
     """
     next_ones = _marked(pools, NEXT).select(F.col("node").alias("query"), F.col("member").alias("node"))
     met, no_blob = next_ones.join(links, "node"), F.lit(None).cast("binary")
     each = pools.select(F.col("node").alias("block"), F.lit(0).alias("kind"), "vec", no_blob.alias("nbrs")).union(met.select("query", F.lit(1), no_blob, "nbrs"))
-    asking = "block long, kind int, node long, vec binary, packed binary"
+    asking = "part long, kind int, node long, vec binary, packed binary"
     ask_out, found_out = arrow_schema(asking), arrow_schema(POOLS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for query in _by_block(batches):
-            wanted = np.frombuffer(b"".join(x for x in query.column("nbrs").to_pylist() if x), dtype=LINK)
+            wanted = np.unique(np.frombuffer(b"".join(x for x in query.column("nbrs").to_pylist() if x), dtype="<i8"))
             if not len(wanted):
                 continue
-            wanted = wanted[np.unique(wanted["nbr"], return_index=True)[1]]
-            wanted = wanted[np.argsort(wanted["home"], kind="stable")]
-            first = np.flatnonzero(np.concatenate([[True], wanted["home"][1:] != wanted["home"][:-1]]))
+            part = _part(wanted, parts)
+            order = np.argsort(part, kind="stable")
+            wanted, part = wanted[order], part[order]
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             n, node = len(first), query.column("block")[0].as_py()
             vec = pa.array([query.column("vec")[0].as_py()] * n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(wanted["home"][first]), pa.array(np.ones(n, dtype=np.int32)), pa.array(np.full(n, node)), vec, _blobs(np.ascontiguousarray(wanted["nbr"]), first)], schema=ask_out)
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(np.ones(n, dtype=np.int32)), pa.array(np.full(n, node)), vec, _blobs(wanted, first)], schema=ask_out)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _by_block(batches):
-            split = int(np.searchsorted(_column(block, "kind"), 1))
-            ids, x = _column(block, "node")[:split], _vectors(block.column("vec").slice(0, split), dim)
-            for at in range(split, block.num_rows, 500):
-                asked = block.slice(at, 500)
-                lists = asked.column("packed").to_pylist()
-                n = np.array([len(v) // 8 for v in lists])
-                entries = np.empty(int(n.sum()), dtype=ENTRY)
-                entries["nbr"], entries["home"], entries["fresh"] = np.frombuffer(b"".join(lists), dtype="<i8"), 0, WAITING
-                q, place = np.repeat(np.arange(len(n)), n), np.searchsorted(ids, entries["nbr"])
-                entries["sim"] = np.einsum("ij,ij->i", _vectors(asked.column("vec"), dim)[q], x[place])
-                nothing = pa.nulls(len(n), pa.binary())
-                yield pa.RecordBatch.from_arrays([asked.column("node").combine_chunks(), _blobs(entries, np.cumsum(n) - n), nothing], schema=found_out)
+        now, ids, x, held = None, None, None, []
+        for batch in batches:  # sorted by part, its nodes first
+            of, kind = _column(batch, "part"), _column(batch, "kind")
+            cuts = [0, *(np.flatnonzero((np.diff(of) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if of[a] != now:
+                    now, held, x = of[a], [], None
+                if kind[a] == 0:
+                    held.append(batch.slice(a, b - a))
+                    continue
+                if x is None:
+                    own = pa.Table.from_batches(held)
+                    ids, x, held = _column(own, "node"), _vectors(own.column("vec"), dim), []
+                for at in range(a, b, 500):
+                    asked = batch.slice(at, min(500, b - at))
+                    lists = asked.column("packed").to_pylist()
+                    n = np.array([len(v) // 8 for v in lists])
+                    entries = np.empty(int(n.sum()), dtype=ENTRY)
+                    entries["nbr"], entries["home"], entries["fresh"] = np.frombuffer(b"".join(lists), dtype="<i8"), 0, WAITING
+                    q, place = np.repeat(np.arange(len(n)), n), np.searchsorted(ids, entries["nbr"])
+                    entries["sim"] = np.einsum("ij,ij->i", _vectors(asked.column("vec"), dim)[q], x[place])
+                    yield pa.RecordBatch.from_arrays([asked.column("node"), _blobs(entries, np.cumsum(n) - n), pa.nulls(len(n), pa.binary())], schema=found_out)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for query in _by_block(batches):
@@ -447,8 +461,8 @@ def visit(pools: DataFrame, links: DataFrame, nodes: DataFrame, dim: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(same[:1]), _blobs(entries, np.zeros(1, dtype=np.int64)), pa.array([vec], pa.binary())], schema=found_out)
 
     asked = each.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(ask, asking)
-    held = nodes.select(F.col("home").alias("block"), F.lit(0).alias("kind"), "node", "vec", no_blob.alias("packed"))
-    found = held.union(asked).repartition("block").sortWithinPartitions("block", "kind", "node").mapInArrow(score, POOLS)
+    held = nodes.select("part", F.lit(0).alias("kind"), "node", "vec", no_blob.alias("packed"))
+    found = held.union(asked).repartition("part").sortWithinPartitions("part", "kind", "node").mapInArrow(score, POOLS)
     both = pools.union(found).withColumnRenamed("node", "block")
     return saved(both.repartition("block").sortWithinPartitions("block").mapInArrow(merge, POOLS), "pools")
 
@@ -531,7 +545,7 @@ def _search(rows: DataFrame, dim: int, k: int, every: int, told) -> DataFrame:
     pools = saved(pools_of(nodes.join(asked.select("node").distinct(), "node", "left_semi")), "pools")
     steps = 0
     while steps < STEPS:
-        before, pools = pools, visit(pools, links, nodes, dim + 1)
+        before, pools = pools, visit(pools, links, nodes, dim + 1, asked_parts(count))
         discard(before)
         steps += 1
         if _marked(pools, NEXT).isEmpty():
