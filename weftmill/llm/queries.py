@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, htmltext, langid, packing, pfor, quality, simhash, tokencount
+from . import ann, chat, decontam, htmltext, langid, packing, periodic, pfor, quality, simhash, tokencount
 from .common import id_crc32, table
 
 
@@ -66,7 +66,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_files, op3_nearest_neighbours, op4_best_fit_packing, op5_chat_format, op6_quality, op7_decontamination, op8_token_counts, op9_simhash_dedup, op10_html_text)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.collapse_runs(periodic.with_planted(table(spark, sf_dir, "documents"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_files, op3_nearest_neighbours, op4_best_fit_packing, op5_chat_format, op6_quality, op7_decontamination, op8_token_counts, op9_simhash_dedup, op10_html_text, op11_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": """
