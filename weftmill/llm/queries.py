@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, htmltext, langid, packing, periodic, pfor, quality, resample, simhash, tokencount
+from . import ann, chat, decontam, htmltext, langid, mtree, packing, periodic, pfor, quality, resample, simhash, tokencount
 from .common import id_crc32, table
 
 
@@ -70,11 +70,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.collapse_runs(periodic.with_planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_files, op3_nearest_neighbours, op4_best_fit_packing, op5_chat_format, op6_quality, op7_decontamination, op8_token_counts, op9_simhash_dedup, op10_html_text, op11_periodic_runs, op13_resampling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_files, op3_nearest_neighbours, op4_best_fit_packing, op5_chat_format, op6_quality, op7_decontamination, op8_token_counts, op9_simhash_dedup, op10_html_text, op11_periodic_runs, op12_exact_top_k, op13_resampling)}
 
 #: CTE `crc`, the table of crc32 by its rule, and the expression of the crc32 of a text with it.
 _CRC = """steps AS (
@@ -141,6 +145,17 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
         FROM planted LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
     """,
+    "op12_exact_top_k": """
+        WITH whole AS (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 5
+    """,
     "op13_resampling": f"""
         WITH RECURSIVE {_CRC}, docs AS (
             SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
