@@ -1,9 +1,11 @@
 """Main text of HTML pages by two-pass block rules.
 
-Pass one decides blocks from the words, the links and the elements around them: blocks in menus, headers, footers,
-sidebars, notices, adverts, forms or reader comments are out, as are blocks mostly of links that no article or main
-element holds; long blocks with enough stop words are in; the rest stays open. Pass two gives an open block the label of its nearest decided neighbour, where a
-neighbour under the same container (article, main or body) counts as nearer than any other.
+Blocks in menus, headers, footers, sidebars, notices, adverts, forms or reader comments are no part of the text by the
+elements around them, and decide nothing about others. Pass one decides the other blocks from their words and links:
+blocks of link text alone that no article or main element holds are out; long blocks of few links are in, where they have
+enough stop words, or where the page as a whole has too few for any of the known languages; the rest stays open. Pass two
+gives an open block the label of its nearest decided neighbour, under an article or main element of those that the same
+element holds; a heading takes that of the block it stands before. Where nothing is in, open blocks are.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +43,13 @@ CHROME_WORDS = frozenset(
 OWN_WORDS = frozenset("article body content entry main page post story text wrapper".split())
 STRONG_WORDS = CHROME_WORDS - frozenset("header page search notice related legal".split())
 
-LINK_DENSITY, LONG, STOP_DENSITY = 0.5, 60, 0.08
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+#: Share of links from which a block is mostly links; characters of a long block, where one of a script without spaces counts WIDE; share of stop words of a long block, and of a page in a known language.
+LINK_DENSITY, LONG, WIDE, STOP_DENSITY = 0.5, 60, 3, 0.08
 _WORDS = re.compile(r"[^\W\d_]+")
 _NAMES = re.compile(r"[a-z0-9]+")
+_WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 
 
 def _boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
@@ -58,8 +65,19 @@ def _boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> bo
     return bool(names & (STRONG_WORDS if names & OWN_WORDS or in_article else CHROME_WORDS))
 
 
+class Block(NamedTuple):
+    """text; characters within links; letters and digits outside of them; whether it is boilerplate; number of the article or main element around it, else 0; whether it is a heading."""
+
+    text: str
+    linked: int
+    plain: int
+    chrome: bool
+    container: int
+    heading: bool
+
+
 class Blocks(LenientParser):
-    """Collects (text, length within links, boilerplate, container) of each block, in page order.
+    """Collects the blocks in page order.
 
     A block ends where a block element begins or ends. An end tag closes up to its own start tag and is ignored without
     one; inline elements other than links leave no mark; the page's end closes everything.
@@ -67,10 +85,10 @@ class Blocks(LenientParser):
 
     def __init__(self):
         super().__init__()
-        self.blocks: list[tuple[str, int, bool, int]] = []
+        self.blocks: list[Block] = []
         self.open: list[tuple[str, bool, int, bool]] = []  # tag, boilerplate, container, within an article
         self.parts: list[str] = []
-        self.linked, self.links, self.silent, self.containers = 0, 0, [], 0
+        self.linked, self.plain, self.links, self.silent, self.containers = 0, 0, 0, [], 0
 
     def _state(self) -> tuple[str, bool, int, bool]:
         return self.open[-1] if self.open else ("", False, 0, False)
@@ -78,9 +96,9 @@ class Blocks(LenientParser):
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, chrome, container, _ = self._state()
-            self.blocks.append((text, self.linked, chrome, container))
-        self.parts, self.linked = [], 0
+            tag, chrome, container, _ = self._state()
+            self.blocks.append(Block(text, self.linked, self.plain, chrome, container, tag in HEADINGS))
+        self.parts, self.linked, self.plain = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "body":
@@ -129,52 +147,62 @@ class Blocks(LenientParser):
         self.parts.append(data)
         if self.links:
             self.linked += len("".join(data.split()))
+        else:
+            self.plain += sum(map(str.isalnum, data))
 
     def close(self) -> None:
         super().close()
         self._flush()
 
 
-def decide(text: str, linked: int, chrome: bool, container: int) -> bool | None:
-    """In, out or open, from one block alone; within an article or main element links alone do not put a block out."""
-    dense = linked > LINK_DENSITY * (len(text) - text.count(" "))
-    if chrome or dense and not container:
-        return False
-    if dense or len(text) < LONG:
-        return None
+def _stops(text: str) -> tuple[int, int]:
+    """(stop words, words)"""
     words = _WORDS.findall(text.lower())
-    if words and sum(map(STOP_WORDS.__contains__, words)) >= STOP_DENSITY * len(words):
-        return True
-    return None
+    return sum(map(STOP_WORDS.__contains__, words)), len(words)
 
 
-def main_text(html: str | None) -> str:
-    """The page's main text: kept blocks in page order, white space within each as single spaces, joined by line feeds."""
-    parser = Blocks()
-    parser.feed(html or "")
-    parser.close()
-    blocks = parser.blocks
-    labels = [decide(*b) for b in blocks]
+def decide(blocks: list[Block]) -> list[bool | None]:
+    """Pass one: in, out or open, from each block's own words and links. Boilerplate is not among the blocks."""
+    counts = [_stops(b.text) for b in blocks]
+    known = sum(c[0] for c in counts) >= STOP_DENSITY * sum(c[1] for c in counts)
+
+    def label(b: Block, stops: int, words: int) -> bool | None:
+        if b.linked > LINK_DENSITY * (len(b.text) - b.text.count(" ")):
+            return None if b.container or b.plain else False
+        long = len(b.text) >= LONG or len(b.text) + (WIDE - 1) * len(_WIDE.findall(b.text)) >= LONG
+        return True if long and (not known or stops >= STOP_DENSITY * max(words, 1)) else None
+
+    return [label(b, *c) for b, c in zip(blocks, counts)]
+
+
+def inherit(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
+    """Pass two: the labels with open blocks' own. Of two neighbours equally near one that is in suffices."""
     decided = [i for i, x in enumerate(labels) if x is not None]
+    if not any(labels[i] for i in decided):
+        return [x is not False for x in labels]
     by_container: dict[int, list[int]] = {}
     for i in decided:
-        by_container.setdefault(blocks[i][3], []).append(i)
-    kept = []
-    for i, (text, _, _, container) in enumerate(blocks):
-        label = labels[i]
+        by_container.setdefault(blocks[i].container, []).append(i)
+    out = []
+    for i, (block, label) in enumerate(zip(blocks, labels)):
         if label is None:
             # under an article its own blocks decide, and without any decided one its place there does
-            near = by_container.get(container, []) if container else decided
-            if not near:
-                label = container > 0 or not decided
-            else:
-                at = bisect_left(near, i)
-                sides = near[max(0, at - 1) : at + 1]
-                least = min(abs(j - i) for j in sides)
-                label = any(labels[j] for j in sides if abs(j - i) == least)
-        if label:
-            kept.append(text)
-    return "\n".join(kept)
+            near = by_container.get(block.container, []) if block.container else decided
+            at = bisect_left(near, i)
+            sides = near[at : at + 1] if block.heading and at < len(near) else near[max(0, at - 1) : at + 1]
+            least = min((abs(j - i) for j in sides), default=0)
+            label = not sides or any(labels[j] for j in sides if abs(j - i) == least)
+        out.append(label)
+    return out
+
+
+def main_text(html: str | None) -> str:
+    """The page's main text: kept blocks in page order, white space within each as single spaces, joined by line feeds."""
+    parser = Blocks()
+    parser.feed(html or "")
+    parser.close()
+    blocks = [b for b in parser.blocks if not b.chrome]
+    return "\n".join(b.text for b, kept in zip(blocks, inherit(blocks, decide(blocks))) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
