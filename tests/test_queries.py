@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftmill import plans
 from weftmill.functions import numerals
 from weftmill.functions import text as T
-from weftmill.operators import catalog
+from weftmill.operators import catalog, sites
 from weftmill.operators.dom import Nodes, Page, select
 from weftmill.operators.extract import extract_chapter
 
@@ -42,6 +42,27 @@ def test_chapter_number(spark, title, compat, intended):
         assert tuple(df.select(numerals.chapter_number(F.col("t"), mode).alias("x")).select("x.*").first()) == want
 
 
+LONG_NUMERALS = ["9" * 20 + ". x", "Chapter " + "9" * 400, "第" + "9" * 25 + "章", "第九" + "万" * 6 + "章", "第" + "九" * 22 + "章", "第" + "九" * 10_000 + "章", "9" * 10_000 + "、x", "第九千九百亿卷 第二章", "第99999999999卷 第2章", "第九" + "十" * 5000 + "章", "Chapter " + "M" * 10_000, "M" * 9000 + ": x", "第" + "百万" * 9 + "章"]
+
+
+@pytest.mark.parametrize("numerals_mode", ["intended", "compat"])
+def test_numerals_of_any_length(spark, numerals_mode):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(LONG_NUMERALS)], "i int, t string")
+    found = {r["i"]: tuple(r["x"]) for r in df.select("i", numerals.chapter_number(F.col("t"), numerals_mode).alias("x")).collect()}
+    assert len(found) == len(LONG_NUMERALS) and all(n >= 0 and v >= 0 for n, v in found.values())
+    assert found[0] == found[2] == found[6] == (0.0, 0) and found[8] == (2.0, 0) and found[10] == (10_000_000.0, 0)
+    if numerals_mode == "intended":
+        assert found[1] == found[3] == found[4] == found[5] == found[12] == (0.0, 0)
+
+
+def test_chapter_list_with_long_numerals(spark):
+    links = "".join(f"<li><a href='/c/{i}'>{t}</a></li>" for i, t in enumerate(LONG_NUMERALS + ["第3章 x", "2. y"]))
+    pages = spark.createDataFrame([(1, "https://x.example/", f"<ul>{links}</ul>")], "page_id long, url string, html string")
+    for mode in ("intended", "compat"):
+        rows = sites.chapter_list(pages, mode).orderBy("position").collect()
+        assert len(rows) == len(LONG_NUMERALS) + 2 and rows[0]["number"] > 0
+
+
 def test_compat_numbers_of_all_parts(spark, sf_dir):
     sizes = {r["p_partkey"]: r["p_size"] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").collect()}
 

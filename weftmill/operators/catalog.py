@@ -106,7 +106,7 @@ def tier_counts(fetches: DataFrame) -> DataFrame:
 
 
 def backoff_seconds(attempt: Column) -> Column:
-    """Wait before an attempt: none before the first, then 0.5 times powers of two."""
+    """Wait before an attempt: none before the second, then 0.5 times powers of two; endless beyond attempt 1,024."""
     return F.when(attempt < 2, 0.0).otherwise(F.pow(F.lit(2.0), attempt - 1) * 0.5)
 
 
