@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The scripts that count as content besides ASCII letters and digits, and the punctuation marks that count.
-CONTENT_CLASS = r"[^0-9A-Za-z\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]"
+# The scripts that count as content besides ASCII letters and digits, as ranges of code points, and the punctuation marks that count.
+CONTENT = ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF))
+CONTENT_CLASS = "[^0-9A-Za-z" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in CONTENT) + "]"
 PUNCTUATION = "[,，.。;；]"
 # Host parts that say nothing about a site, and page marks of an access check.
 GENERIC_HOST = "www m wap app blog html php asp aspx jsp cgi com org net edu gov io co us uk cc top xyz vip club site online store dev test localhost 127 0".split()

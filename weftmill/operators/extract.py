@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .batches import slices
 from .dom import Nodes, Page, scoring_length
 
@@ -45,12 +46,12 @@ TEXT_BLOCKS = frozenset("p div section article main blockquote pre li h1 h2 h3 h
 LINKED = frozenset("div section ul ol table td p li span dl nav aside".split())
 NAMES = ("id", "class", "role", "aria-label", "title", "itemprop", "data-type", "data-module", "data-component", "data-name")
 ROLES = frozenset("navigation banner complementary contentinfo".split())
-GENERIC_HOST = frozenset("www m wap app blog html php asp aspx jsp cgi com org net edu gov io co us uk cc top xyz vip club site online store dev test localhost 127 0".split())
+GENERIC_HOST = frozenset(T.GENERIC_HOST)
 #: Characters of a div's or span's own text that make it a leaf, and of a leaf that has a score; marks that speak for prose.
 LEAST_OWN, LEAST_LEAF, LEAF_MARKS = 20, 5, ",，.。;；"
 #: Characters of any candidate.
 LEAST_CHARS = 60
-CONTENT = re.compile(r"[0-9A-Za-z\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]")
+CONTENT = re.compile("[0-9A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in T.CONTENT) + "]")
 TAG_WEIGHT = {"article": 1.6, "main": 1.6, "section": 1.05, "div": 1.0, "td": 0.85, "body": 0.75}
 
 
@@ -156,7 +157,7 @@ class Extraction:
         dense = [self.measured(i) for i in n.elements() if n.chars(i) >= LEAST_CHARS and (p.tag[i] in DENSE or i == whole)]
         marked = [c for c in (self.measured(i) for i in n.elements() if p.tag[i] in ("article", "main") or p.attrs[i].get("role") == "main") if c.chars >= 120 and c.link_density <= 0.35 and not c.negative]
         order = sorted(marked, key=lambda c: -c.score) + sorted(dense, key=lambda c: -c.score)
-        handed = sorted(((s, i) for i, s in self.leaf_scores().items()), key=lambda x: -x[0])
+        handed = sorted(((s, i) for i, s in self.leaf_scores().items()), key=lambda x: (-x[0], x[1]))
         order += [self.measured(i, s) for s, i in handed if n.chars(i) >= LEAST_CHARS]
         first: dict[int, Candidate] = {}
         for c in order:

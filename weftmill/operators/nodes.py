@@ -12,6 +12,7 @@ of the cleaning are windows over one partitioning by page: the table is shuffled
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,7 @@ from ..functions import text as T
 from . import extract as E
 from .batches import slices
 from .dom import Page
+from .storage import saved
 
 #: Ancestors that a row names, nearest first: as many as a heading's surroundings are looked at.
 UPS = 6
@@ -120,7 +122,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                 yield table(key, page_id, url, html or "")
 
     rows = pages.select(F.monotonically_increasing_id().alias("page"), F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, RAW).repartition("page")
+    return rows.mapInArrow(run, RAW)
 
 
 def left(rows: DataFrame, dropped: Column) -> DataFrame:
@@ -285,14 +287,14 @@ def clean_title(raw: Column, url: Column) -> Column:
 
 
 def headings(featured: DataFrame) -> DataFrame:
-    """page, node, last, parent, tag, said, chars and score of the headings of the first three levels."""
-    rows = with_texts(featured.select("page", "node", "last", "parent", "tag", "text", "ups", "hint", "negative"), F.col("tag").isin("h1", "h2", "h3"))
+    """page, page_id, node, last, parent, tag, said, chars and score of the headings of the first three levels."""
+    rows = with_texts(featured.select("page", "page_id", "node", "last", "parent", "tag", "text", "ups", "hint", "negative"), F.col("tag").isin("h1", "h2", "h3"))
     rows = rows.where(F.col("tag").isin("h1", "h2", "h3")).withColumn("chars", T.scoring_length(F.col("said")))
     body = F.array_position(F.transform("ups", lambda u: u["tag"]), "body").cast("int")
     near = F.when(body > 0, F.slice("ups", F.lit(1), F.greatest(body - 1, F.lit(0)))).otherwise(F.col("ups"))
     poor = F.exists(near, lambda u: u["tag"].isin("nav", "footer", "aside") | u["names"].rlike(_java(E.NEGATIVE)) & ~u["names"].rlike(_java(E.HINT)))
     score = S.heading_score(F.col("chars"), F.col("tag"), F.col("hint"), F.col("negative"), F.col("said").rlike(_java(E.CHAPTER)), poor)
-    return rows.select("page", "node", "last", "parent", "tag", "said", "chars", score.alias("score"))
+    return rows.select("page", "page_id", "node", "last", "parent", "tag", "said", "chars", score.alias("score"))
 
 
 def titles(nodes: DataFrame, featured: DataFrame, choice: DataFrame) -> DataFrame:
@@ -415,14 +417,41 @@ def lines(cleaned: DataFrame, titles: DataFrame) -> DataFrame:
     return blocks.select("page", "page_id", "root", "position", "line")
 
 
+class Stages:
+    """The stages of the extraction of pages (page_id, url, html), each made once: what several of the later ones read is written to the shared folder."""
+
+    def __init__(self, pages: DataFrame, compat: bool = False):
+        self.pages, self.compat = pages, compat
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return saved(parsed(self.pages), "nodes")
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return saved(featured(pre_cleaned(self.nodes)), "features")
+
+    @cached_property
+    def choice(self) -> DataFrame:
+        return saved(chosen(candidates(self.found)), "choice")
+
+    @cached_property
+    def named(self) -> DataFrame:
+        return saved(titles(self.nodes, self.found, self.choice), "titles")
+
+    @cached_property
+    def cleaned(self) -> DataFrame:
+        return cleaned(rooted(self.found, self.choice), self.compat)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return lines(saved(self.cleaned, "cleaned"), self.named)
+
+
 def chapters(pages: DataFrame, compat: bool = False) -> DataFrame:
     """page_id, url, title, content, confidence, mode of each row of pages (page_id, url, html), as extract_chapters() gives them, by plans over the pages' nodes."""
-    c = F.col
-    nodes = parsed(pages)
-    found = featured(pre_cleaned(nodes))
-    choice = chosen(candidates(found))
-    named = titles(nodes, found, choice)
-    said = lines(cleaned(rooted(found, choice), compat), named)
+    c, made = F.col, Stages(pages, compat)
+    nodes, choice, named, said = made.nodes, made.choice, made.named, made.lines
     # merged roots stand in the order of their lines, not of their nodes
     place = choice.select("page", F.posexplode(F.transform("roots", lambda r: r["node"])).alias("at", "root"))
     content = said.join(place, ["page", "root"], "left").groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "position", "line"))), lambda x: x["line"]), "\n\n").alias("content"))

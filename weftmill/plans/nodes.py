@@ -42,17 +42,17 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", _decorated(F.col("html"), F.col("page_id")).alias("html"))
 
 
-def _nodes(spark, sf_dir) -> DataFrame:
-    return nodes.parsed(_pages(spark, sf_dir))
+def _stages(spark, sf_dir) -> nodes.Stages:
+    return nodes.Stages(_pages(spark, sf_dir))
 
 
 def _featured(spark, sf_dir) -> DataFrame:
-    return nodes.featured(nodes.pre_cleaned(_nodes(spark, sf_dir)))
+    return nodes.featured(nodes.pre_cleaned(nodes.parsed(_pages(spark, sf_dir))))
 
 
 def page_tree(spark, sf_dir):
     """Every element and text of a page: its place, subtree, parent, depth, names and, outside of scripts, the length of its own text."""
-    rows = _nodes(spark, sf_dir).where(~F.col("tag").isin("!", "#"))
+    rows = nodes.parsed(_pages(spark, sf_dir)).where(~F.col("tag").isin("!", "#"))
     own = F.when(~F.coalesce(F.get("ups", F.lit(0))["tag"].isin(*sorted(E.RAW)), F.lit(False)), T.scoring_length(F.col("text")))
     return rows.select("page_id", "node", "last", "parent", "depth", "tag", nodes.names(F.col("attrs")).alias("names"), own.alias("own"))
 
@@ -73,28 +73,24 @@ def page_candidates(spark, sf_dir):
 
 
 def page_choice(spark, sf_dir):
-    found = nodes.chosen(nodes.candidates(_featured(spark, sf_dir)))
+    found = _stages(spark, sf_dir).choice
     return found.select("page_id", F.array_join(F.transform("roots", lambda r: r["node"].cast("string")), " ").alias("roots"), scores._short("margin").alias("margin"))
 
 
 def page_headings(spark, sf_dir):
-    return nodes.headings(_featured(spark, sf_dir)).join(_nodes(spark, sf_dir).where("tag = '#'").select("page", "page_id"), "page").select("page_id", "node", "said", "score")
+    return nodes.headings(_featured(spark, sf_dir)).select("page_id", "node", "said", "score")
 
 
 def page_titles(spark, sf_dir):
-    found = _featured(spark, sf_dir)
-    return nodes.titles(_nodes(spark, sf_dir), found, nodes.chosen(nodes.candidates(found))).select("page_id", "title")
+    return _stages(spark, sf_dir).named.select("page_id", "title")
 
 
 def page_cleaned(spark, sf_dir):
-    found = _featured(spark, sf_dir)
-    return nodes.cleaned(nodes.rooted(found, nodes.chosen(nodes.candidates(found)))).select("page_id", "root", "node", "tag")
+    return _stages(spark, sf_dir).cleaned.select("page_id", "root", "node", "tag")
 
 
 def page_lines(spark, sf_dir):
-    found = _featured(spark, sf_dir)
-    choice = nodes.chosen(nodes.candidates(found))
-    return nodes.lines(nodes.cleaned(nodes.rooted(found, choice)), nodes.titles(_nodes(spark, sf_dir), found, choice)).select("page_id", "root", "position", "line")
+    return _stages(spark, sf_dir).lines.select("page_id", "root", "position", "line")
 
 
 def page_chapters(spark, sf_dir):
