@@ -66,3 +66,68 @@ def test_scores_are_calibrated(spark):
     bins = np.minimum((found.score * 10).astype(int), 9)
     error = sum(abs(g.score.mean() - g.quality.mean()) * len(g) for _, g in found.groupby(bins)) / len(found)
     assert len(found) > 500 and error < 0.02
+
+
+def test_a_language_of_few_texts_is_learned(spark):
+    """20,000 rows of three different texts of one language, beside others; no task holds more than the sample of different texts."""
+    rng = np.random.default_rng(5)
+    few = ["zażółć gęślą jaźń i jeszcze raz", "źdźbło trawy rośnie przy drodze", "chrząszcz brzmi w trzcinie"]
+    rows = [(i, few[i % 3], "pl") for i in range(20_000)]
+    for k, letters in enumerate(("abcdef", "ghijkl", "mnopqr")):
+        rows += [(100_000 * (k + 1) + i, " ".join("".join(rng.choice(list(letters), 4)) for _ in range(20)), f"l{k}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert model.languages == ["l0", "l1", "l2", "pl"]
+    assert langid.identify(docs, model).join(docs, "doc_id").where("lang <> lang_pred").count() == 0
+
+
+def test_a_repeated_text_is_held_once(spark, monkeypatch):
+    held, learned = [], langid._learned
+    texts = ["the same text again"] * 30_000 + [f"the text number {i} of the others" for i in range(2000)]
+    docs = spark.createDataFrame([(1 if i < 30_000 else i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert model.languages == ["en"]
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    assert keyed.select("lang", "key").distinct().count() == 2001
+    # what a language's task learns from: counted by a stand-in on the driver, with the same choice of texts
+    def counted(self, run, schema):
+        if "centroids" in str(schema):
+            held.append(self.count())
+        return was(self, run, schema)
+
+    kind = type(docs)
+    was = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    langid.fit(docs, F.lit(True))
+    assert learned is langid._learned and len(held) == 1 and held[0] <= 1.5 * langid.FIT_PER_LANGUAGE
+
+
+def test_rows_of_the_quality_fit_are_bounded(spark, monkeypatch):
+    """One labelled document repeated 30,000 times is one row of the fit."""
+    rows = [(1, "a good text of some words")] * 30_000 + [(i, f"text {i} with words") for i in range(2, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 300)] * 2, "doc_id long, quality int")
+    seen, train = [], quality.train_network
+    monkeypatch.setattr(quality, "train_network", lambda x, y: seen.append(len(x)) or train(x, y))
+    quality.fit(docs, labels, F.lit(True))
+    assert seen == [299 - 299 // quality.HOLD]
+
+
+def test_rows_are_picked_on_storage_that_only_spark_reaches(spark, monkeypatch):
+    from weftmill.llm import common
+
+    rows = common.saved(spark.range(1000).selectExpr("id", "id * 2 AS text").withColumn("row", F.monotonically_increasing_id()), "test")
+    kept = rows.where("id % 7 = 0").select("row")
+    want = set(range(0, 1000, 7))
+    assert {r["id"] for r in common.picked(rows, kept).collect()} == want
+    monkeypatch.setattr(common, "reachable", lambda spark, path: None)
+    found = common.picked(rows, kept)
+    assert found.columns == rows.columns and {r["id"] for r in found.collect()} == want
+
+
+def test_reachable_paths(spark, tmp_path):
+    from weftmill.llm import common
+
+    assert common.reachable(spark, str(tmp_path)) == common.reachable(spark, f"file:{tmp_path}") == f"file://{tmp_path}"
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.other.link./in", f"file://{tmp_path}")
+    assert common.reachable(spark, "viewfs://other/in/x") is None

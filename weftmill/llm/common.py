@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,74 +11,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.batches import slices as slices
-
-#: The folder of each application's intermediate data, within the shared folder.
-_folders: dict[tuple[str, str], str] = {}
-
+from ..operators.storage import _file, discard as discard, new_path as new_path, saved as saved, shared_dir as shared_dir
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests, local mode only)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:///tmp/checkpoints/weftmill"
-
-
-def _file(spark: SparkSession, path: str):
-    """(file system, path) of Hadoop."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the application's folder of the shared one; the JVM removes that folder when it ends, even long after spark.stop()."""
-    key = spark.sparkContext.applicationId, shared_dir(spark)
-    if key not in _folders:
-        _folders[key] = f"{key[1]}/weftmill-{key[0]}-{uuid.uuid4().hex}"
-        files, p = _file(spark, _folders[key])
-        files.mkdirs(p)
-        files.deleteOnExit(p)
-    return f"{_folders[key]}/{label}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, label: str, instead_of: DataFrame | None = None) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage in a way that outlives any executor.
-
-    instead_of: saved data that this one replaces, as in the rounds of an iteration; they are removed once df is written.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    if instead_of is not None:
-        discard(instead_of)
-    found = spark.read.schema(df.schema).parquet(path)
-    found._saved_at = path
-    return found
-
+def reachable(spark: SparkSession, path: str) -> str | None:
+    """path, whole, as the tasks' own file access takes it; None where only Spark's reaches it."""
+    from pyarrow import fs
 
-def discard(df: DataFrame) -> None:
-    """Removes what saved() wrote for df; nothing may read it any more. Other data frames are left alone."""
-    path = getattr(df, "_saved_at", None)
-    if path:
-        files, p = _file(df.sparkSession, path)
-        files.delete(p, True)
+    files, p = _file(spark, path)
+    uri = files.makeQualified(p).toUri()
+    scheme = {"s3a": "s3"}.get(uri.getScheme(), uri.getScheme())
+    whole = f"{scheme}://{uri.getRawAuthority() or ''}{uri.getPath()}"
+    try:
+        fs.FileSystem.from_uri(whole)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+    return whole
 
 
 def picked(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of saved data whose `row`, a number that grows within each file, is in kept (row). No row is shuffled.
 
     kept is written in order of row; a task reads the files of it that its own rows fall in, of which the driver knows the
-    first and last numbers.
+    first and last numbers. On storage that only Spark reaches the rows are joined instead, which shuffles them.
     """
     spark = rows.sparkSession
     path = new_path(spark, "kept")
+    whole = reachable(spark, path)
+    if whole is None:
+        return rows.join(saved(kept.select("row"), "kept"), "row", "left_semi").select(*rows.columns)
     kept.select("row").repartitionByRange("row").sortWithinPartitions("row").write.parquet(path)
     written = spark.read.schema("row long").parquet(path)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
@@ -90,7 +53,7 @@ def picked(rows: DataFrame, kept: DataFrame) -> DataFrame:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        where, root = fs.FileSystem.from_uri(path)
+        where, root = fs.FileSystem.from_uri(whole)
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, carried, discard, saved, slices
 
 DIM = 4096
-#: Centroids and limits come from about this many documents of each language; for the limits, those of each of FOLDS folds are held against centroids of the others.
+#: Centroids and limits come from about this many different texts of each language; for the limits, those of each of FOLDS folds are held against centroids of the others.
 FIT_PER_LANGUAGE, FOLDS = 500, 4
 CENTROIDS, LEAST_SHARE = 4, 0.05
 #: So many bytes of a text are counted at once.
@@ -192,20 +192,24 @@ def _learned(texts: pa.Array, fold: np.ndarray, idf: np.ndarray) -> tuple[np.nda
 def fit(docs: DataFrame, learn: Column) -> LanguageModel | None:
     """Learns from the rows of docs (doc_id, text, lang) where learn holds and lang is not null; None where there are none.
 
-    Document frequencies are those of all such rows, each language counting the same. Centroids and limits come from a fixed hashed share of each language's
-    documents, FIT_PER_LANGUAGE on average at most, each language in one task; the limits from texts, and starts of texts,
-    that the centroids they are held against have not seen. The driver gets the frequencies and each language's centroids and limits.
+    Document frequencies are those of all such rows, each language counting the same. Centroids and limits come from a
+    fixed hashed share of each language's different texts, FIT_PER_LANGUAGE on average at most and all of them where they
+    are fewer, each language in one task; the limits from texts, and starts of texts, that the centroids they are held
+    against have not seen. The driver gets the frequencies and each language's centroids and limits, 64 KB a language.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     share = frequencies(rows)
     if share is None:
         return None
     idf = np.round(1 - np.log(np.maximum(share, 1e-4)), 6).astype(np.float32)
-    # one row for each language, as in the model, which is broadcast too
-    sizes = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()], "lang string, n long"))
-    turn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30))
-    chosen = rows.join(sizes, "lang").where(turn < F.lit(float(FIT_PER_LANGUAGE << 30)) / F.col("n"))
-    chosen = chosen.select("lang", F.xxhash64("text", "doc_id").alias("turn"), "text")
+    # different texts of each language: one row for each language, as in the model, which is broadcast too
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    sizes = keyed.select("lang", "key").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()
+    sizes = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in sizes], "lang string, n long"))
+    turn = F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 30))
+    chosen = keyed.join(sizes, "lang").where(turn < F.lit(float(FIT_PER_LANGUAGE << 30)) / F.col("n"))
+    # copies meet in their tasks first, so one text may be any share of the rows
+    chosen = chosen.groupBy("lang", "key").agg(F.min("text").alias("text")).select("lang", F.xxhash64("key").alias("turn"), "text")
     chosen = chosen.repartition("lang").sortWithinPartitions("lang", "turn", "text")
     schema = "lang string, centroids binary, least binary"
     out = arrow_schema(schema)

@@ -165,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> QualityModel | Non
     """Learns labels.quality (0 or 1) from the texts of docs where learn (on docs) holds; None without labelled texts.
 
     Word vectors come from the texts of all of docs. Of several labels of a document the largest counts; null labels and
-    ids are left out. The labelled documents are a fixed hashed share, FIT_DOCS on average at most. The driver gets
-    bounded sums and one vector for each of them.
+    ids are left out. The labelled documents are a fixed hashed share of their ids, FIT_DOCS on average at most, each with
+    one text, the least where it has several. The driver gets bounded sums and one vector for each of them.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
@@ -175,7 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> QualityModel | Non
         return None
     # at most about FIT_DOCS rows of two numbers: small enough to broadcast at any size of the tables
     known = F.broadcast(known.where(hashed_share(F.col("doc_id"), FIT_DOCS / n)))
-    rows = docs.where(learn & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id").select("text", "quality")
+    rows = docs.where(learn & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
+    # one text of each document: copies meet in their tasks first, so one of them may be any share of the rows
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).select("text", "quality")
     index = index_vectors()
     sums = gathered(docs.select(F.col("text").cast("string").alias("text")), index)
     vectors = [np.concatenate([index, (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-6)).astype(np.float32)], axis=1) for c in sums]
