@@ -73,20 +73,31 @@ def host_tokens(url: Column) -> Column:
     return F.filter(F.split(host(url), "[^a-z0-9]+"), lambda t: (F.length(t) > 2) & ~F.array_contains(generic, t))
 
 
+def resolved_path(path: Column) -> Column:
+    """A path without dot segments: '..' takes the segment before it away, a last dot segment leaves a slash."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    held = F.aggregate(parts, none, lambda held, x: F.when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).when(x == ".", held).otherwise(F.concat(held, F.array(x))))
+    out = F.array_join(F.concat(held, F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)), "/")
+    return F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))
+
+
 def absolute_url(base: Column, href: Column) -> Column:
-    """href against a base page: whole, scheme-relative, host-relative, query or fragment alone, or relative to the base's folder (dot segments stay)."""
+    """href against a base page: whole, scheme-relative, host-relative, query or fragment alone, or relative to the base's folder; paths that are put together or start at the host lose their dot segments."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     page = F.regexp_replace(base, r"[?#].*$", "")
-    folder = F.when(F.length(page) == F.length(root), F.concat(page, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*$", ""))
+    folder = F.regexp_replace(F.substr(page, F.length(root) + 1), r"[^/]*$", "")
+    path = F.regexp_extract(href, r"^[^?#]*", 0)
+    rest = F.substr(href, F.length(path) + 1)
     return (
         F.when(F.trim(href) == "", base)
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), F.concat(root, resolved_path(path), rest))
         .when(href.startswith("?"), F.concat(page, href))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .otherwise(F.concat(folder, href))
+        .otherwise(F.concat(root, resolved_path(F.regexp_replace(F.concat(F.lit("/"), folder, path), "/{2,}", "/")), rest))
     )
 
 

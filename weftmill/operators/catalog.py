@@ -114,3 +114,31 @@ def request_gaps(log: DataFrame, domain: str, ts: str) -> DataFrame:
     """log with the seconds since the domain's request before it, null at its first."""
     last = F.lag(ts).over(Window.partitionBy(domain).orderBy(ts, *[c for c in log.columns if c not in (domain, ts)]))
     return log.withColumn("gap_s", _seconds(F.col(ts)) - _seconds(last))
+
+
+def request_delays(log: DataFrame, domain: str, ts: str, order: list[str], least: Column, most: Column, after: int = 10, factor: float = 1.5, bucket_s: int = 3600) -> DataFrame:
+    """log with before (the domain's earlier requests), gap_s (seconds since the last of them), the delay that was required,
+    from least_s to most_s, and short_s, what is missing of the least one.
+
+    Delays (least, most: columns of log) grow by `factor` once more than `after` requests came before; the first request
+    owes none. Requests of one time go by `order`. Each hour of a domain is numbered by itself, and what the hours before
+    it hold is added from one row an hour, so a domain may have any share of the log. Null times come first and have no gap.
+    """
+    keys = [domain, "__hour"]
+    rows = log.withColumn("__hour", F.coalesce(F.floor(_seconds(F.col(ts)) / bucket_s), F.lit(-(1 << 62))))
+    hours = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.max(ts).alias("__last"))
+    earlier = Window.partitionBy(domain).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select(F.col(domain).alias("__domain"), F.col("__hour").alias("__h"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"), F.max("__last").over(earlier).alias("__last"))
+    own = Window.partitionBy(*keys).orderBy(F.col(ts).asc_nulls_first(), *order)
+    rows = rows.withColumns({"__at": F.row_number().over(own) - 1, "__lag": F.lag(ts).over(own)})
+    rows = rows.join(hours, F.col(domain).eqNullSafe(F.col("__domain")) & (F.col("__hour") == F.col("__h")))
+    before = (F.col("__at") + F.col("__n")).cast("long")
+    gap = _seconds(F.col(ts)) - _seconds(F.coalesce("__lag", "__last"))
+    times = F.when(before > after, factor).otherwise(1.0)
+    return rows.select(*log.columns, before.alias("before"), gap.alias("gap_s"), (least * times).alias("least_s"), (most * times).alias("most_s"), F.when(before > 0, F.greatest(F.lit(0.0), least * times - gap)).otherwise(0.0).alias("short_s"))
+
+
+def fetched_html(first: Column, plain: Column, status: Column) -> Column:
+    """The page that a request ends with: the first way's if it has over 100 characters without the space around it, else the plain request's if its status is 200, else null."""
+    trimmed = F.regexp_replace(first, r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$", "")
+    return F.when(F.length(trimmed) > 100, first).when(status == 200, plain)

@@ -189,7 +189,7 @@ def select(nodes: Nodes, selector: str, root: int | None = None) -> list[int]:
             if now is None:
                 now = {i for i in nodes.elements(root) if match(nodes.page.tag[i], nodes.page.attrs[i])}
             elif direct:
-                now = {c for i in now for c in nodes.children(i) if match(nodes.page.tag[c], nodes.page.attrs[c])}
+                now = {c for i in now for c in nodes.children(i) if nodes.page.tag[c] not in ("", "!") and match(nodes.page.tag[c], nodes.page.attrs[c])}
             else:
                 now = {c for i in now for c in nodes.elements(i) if match(nodes.page.tag[c], nodes.page.attrs[c])}
             direct = False

@@ -150,6 +150,29 @@ def request_gaps(spark, sf_dir):
     return catalog.request_gaps(log, "user_id", "ts").select("event_id", F.round("gap_s", 3).alias("gap_s"))
 
 
+#: References by page_id modulo their number, with dot segments at every place.
+HREFS = ("../x.html", "./y", "../../../z?q=../w", "a/./b/../c#../d", "/p/../q/./r", "..", ".", "a//b/..", "/a//b/./", "../", "http://o.example/a/../b", "/../e", "g/../../h", "..a/...b")
+
+
+def resolved_links(spark, sf_dir):
+    href = F.element_at(F.array(*map(F.lit, HREFS)), (F.pmod("page_id", F.lit(len(HREFS))) + 1).cast("int"))
+    return _t(spark, sf_dir, "pages").select("page_id", T.absolute_url(F.col("url"), href).alias("url"))
+
+
+def request_waits(spark, sf_dir):
+    log = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    often = F.pmod("user_id", F.lit(7)) == 0  # such domains have a delay of their own
+    found = catalog.request_delays(log, "user_id", "ts", ["event_id"], F.when(often, 3600.0).otherwise(0.5), F.when(often, 7200.0).otherwise(2.0))
+    return found.select("event_id", "before", "least_s", "most_s", F.round("gap_s", 3).alias("gap_s"), F.round("short_s", 3).alias("short_s"))
+
+
+def fetched_pages(spark, sf_dir):
+    n = F.pmod("page_id", F.lit(5))
+    first = F.when(n == 0, F.col("html")).when(n == 1, F.concat(F.repeat(F.lit(" "), 200), F.lit("short"))).when(n == 2, F.substring("html", 1, 100)).when(n == 3, F.substring("html", 1, 101))
+    page = catalog.fetched_html(first, F.concat(F.lit("plain"), "html"), F.when(F.pmod("page_id", F.lit(3)) == 0, 503).otherwise(200))
+    return _t(spark, sf_dir, "pages").select("page_id", F.length(page).alias("n"), F.startswith(page, F.lit("plain")).alias("plain"))
+
+
 def script_challenge_flag(spark, sf_dir):
     html = F.when(F.pmod("page_id", F.lit(4)) == 0, F.concat("html", F.lit('<script>Let Token = "x"</script>'))).when(F.pmod("page_id", F.lit(4)) == 1, F.concat("html", F.lit("正在验证浏览器"))).otherwise(F.col("html"))
     return _t(spark, sf_dir, "pages").select("page_id", T.is_script_challenge(html).alias("challenge"))
@@ -237,7 +260,7 @@ def page_source(spark, sf_dir):
 _QUERIES = [
     scoring_len, content_chars, punct_count, norm_text, preview_text, safe_names, author_notes, dedup_keep_first, relevance_rank, source_counts, feed_union, page_host_tokens,
     challenge_flag, absolute_links, chapter_numbers, chapter_numbers_compat, natural_chapter_sort, natural_chapter_sort_reverse, tier_outcomes, accepted_tiers, live_sessions, request_gaps, script_challenge_flag, tier_statistics, backoff_schedule,
-    first_five_pages, ajax_chapter_list, extract_chapter, novel_info, chapter_list, page_links, search_listing, feed_listing, chapter_export, chapter_export_interactive, chapter_view, result_view,
+    first_five_pages, ajax_chapter_list, resolved_links, request_waits, fetched_pages, extract_chapter, novel_info, chapter_list, page_links, search_listing, feed_listing, chapter_export, chapter_export_interactive, chapter_view, result_view,
     fetch_windows, page_source, *map(_by_profile, ("density", "additive", "propagation", "threshold", "capped")),
 ]
 
@@ -288,7 +311,23 @@ _SQL = {
 }
 
 
+_REFERENCE = "[" + ", ".join(f"'{x}'" for x in HREFS) + f"][page_id % {len(HREFS)} + 1]"
 _SQL |= {
+    "resolved_links": rf"""
+        WITH refs AS (SELECT page_id, regexp_extract(url, '^(\w+://[^/?#]*)', 1) AS root, regexp_replace(regexp_extract(url, '^\w+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder, {_REFERENCE} AS href FROM pages),
+        cut AS (SELECT *, regexp_extract(href, '^[^?#]*') AS path, substr(href, length(regexp_extract(href, '^[^?#]*')) + 1) AS rest FROM refs),
+        whole AS (SELECT *, CASE WHEN starts_with(path, '/') THEN substr(path, 2) ELSE regexp_replace(regexp_replace(folder || path, '/+', '/', 'g'), '^/', '') END AS parts FROM cut)
+        SELECT page_id, CASE WHEN regexp_matches(href, '^\w+:') THEN href ELSE root || coalesce(nullif(
+            list_reduce(string_split(parts, '/'), lambda held, x: CASE WHEN x = '..' THEN regexp_replace(held, '/[^/]*$', '') WHEN x = '.' THEN held ELSE held || '/' || x END, '')
+            || CASE WHEN regexp_matches(parts, '(^|/)[.][.]?$') THEN '/' ELSE '' END, ''), '/') || rest END AS url FROM whole""",
+    "request_waits": """
+        WITH rows AS (SELECT event_id, row_number() OVER w - 1 AS before, epoch(ts) - epoch(lag(ts) OVER w) AS gap, CASE WHEN user_id % 7 = 0 THEN 3600 ELSE 0.5 END AS low, CASE WHEN user_id % 7 = 0 THEN 7200 ELSE 2 END AS high
+            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id)),
+        owed AS (SELECT *, low * CASE WHEN before > 10 THEN 1.5 ELSE 1 END AS least_s, high * CASE WHEN before > 10 THEN 1.5 ELSE 1 END AS most_s FROM rows)
+        SELECT event_id, before, least_s::DOUBLE AS least_s, most_s::DOUBLE AS most_s, round(gap, 3)::DOUBLE AS gap_s, round(CASE WHEN before > 0 THEN greatest(0, least_s - gap) ELSE 0 END, 3)::DOUBLE AS short_s FROM owed""",
+    "fetched_pages": """
+        SELECT page_id, length(page)::INT AS n, starts_with(page, 'plain') AS plain FROM (SELECT page_id, CASE WHEN length(trim(first)) > 100 THEN first WHEN page_id % 3 <> 0 THEN 'plain' || html END AS page
+            FROM (SELECT *, CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN repeat(' ', 200) || 'short' WHEN 2 THEN substr(html, 1, 100) WHEN 3 THEN substr(html, 1, 101) END AS first FROM pages))""",
     "chapter_export": r"""SELECT p_brand || '_' || lower(p_type) AS folder, printf('%04d_', p_partkey) || substr(replace(p_name || ' / ' || p_type, '/', '_'), 1, 100) || '.txt' AS file,
         'Title: ' || p_name || ' / ' || p_type || chr(10) || 'URL: /read/' || p_partkey || chr(10) || 'Source: ' || lower(p_type) || chr(10) || chr(10) || p_name AS body FROM part""",
     "chapter_export_interactive": "SELECT p_brand || '_chapters' AS folder, printf('%04d_', p_partkey) || replace(p_name || ' / ' || p_type, '/', '_') || '.txt' AS file, 'Title: ' || p_name || ' / ' || p_type || chr(10) || chr(10) || p_name AS body FROM part",

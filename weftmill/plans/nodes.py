@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dom, nodes
+from ..operators import dom, nodes, selectors
 from ..operators import extract as E
 from . import scores
 
@@ -28,18 +28,28 @@ CHANGES = (
 )
 
 
-def _decorated(html: Column, key: Column) -> Column:
+#: The same for what stands where plain selectors look for it.
+PLACES = (
+    (("<article>", '<div class="chapter-content">'), ("</article>", "</div>"), ("<h1>", '<h3 class="big chapter-title">'), ("</h1>", "</h3>")),
+    (("<article>", '<div id="content">'), ("</article>", '</div><div class="x content-y">after</div>')),
+    (("<article>", '<div class="page-content"><section>'), ("</article>", "</section></div>"), ("<nav>", '<section class="top">'), ("</nav>", "</section>")),
+    (("<article>", '<div id="my-chapter-7">'), ("</article>", '</div><p class="read-content last">Only this</p>')),
+    (),
+)
+
+
+def _decorated(html: Column, key: Column, all_changes: tuple) -> Column:
     out = html
-    for k, changes in enumerate(CHANGES):
+    for k, changes in enumerate(all_changes):
         new = html
         for was, becomes in changes:
             new = F.replace(new, F.lit(was), F.lit(becomes))
-        out = F.when(F.pmod(key, F.lit(len(CHANGES))) == k, new).otherwise(out)
+        out = F.when(F.pmod(key, F.lit(len(all_changes))) == k, new).otherwise(out)
     return out
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", _decorated(F.col("html"), F.col("page_id")).alias("html"))
+def _pages(spark: SparkSession, sf_dir: str, changes: tuple = CHANGES) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", _decorated(F.col("html"), F.col("page_id"), changes).alias("html"))
 
 
 def _stages(spark, sf_dir) -> nodes.Stages:
@@ -97,6 +107,27 @@ def page_chapters(spark, sf_dir):
     return nodes.chapters(_pages(spark, sf_dir))
 
 
+#: Selectors, each with what it names in SQL: of a node x, its parent u and the nodes o around it.
+SELECTORS = {
+    "lists": ("li a, nav > ul", "x.tag = 'a' AND o.tag = 'li' OR x.tag = 'ul' AND u.tag = 'nav'"),
+    "classes": (".content p, .comments", "list_contains(string_split(x.attrs['class'], ' '), 'comments') OR x.tag = 'p' AND list_contains(string_split(o.attrs['class'], ' '), 'content')"),
+    "children": ("article > p, section.x1 > p, body > div[class]", "x.tag = 'p' AND (u.tag = 'article' OR u.tag = 'section' AND u.attrs['class'] = 'x1') OR x.tag = 'div' AND u.tag = 'body' AND x.attrs['class'] IS NOT NULL"),
+    "parts": ("a[href^='/'][href$='a'], [class*='on'], #x br", "x.tag = 'a' AND starts_with(x.attrs['href'], '/') AND ends_with(x.attrs['href'], 'a') OR contains(x.attrs['class'], 'on') OR x.tag = 'br' AND o.attrs['id'] = 'x'"),
+    "deep": ("body article p b, html main span > p", "x.tag = 'b' AND o.tag = 'p' AND 'article' IN (SELECT tag FROM n z WHERE z.page_id = x.page_id AND list_contains(o.above, z.node)) OR x.tag = 'p' AND u.tag = 'span' AND 'main' IN (SELECT tag FROM n z WHERE z.page_id = x.page_id AND list_contains(u.above, z.node))"),
+}
+
+
+def selected_nodes(spark, sf_dir):
+    """What selector lists find in pages, all in one pass."""
+    rows = selectors.matched(nodes.parsed(_pages(spark, sf_dir)).select("page", "page_id", "node", "last", "parent", "tag", "attrs"), {k: v[0] for k, v in SELECTORS.items()})
+    found = F.filter(F.array(*[F.when(F.col(k), F.lit(k)) for k in SELECTORS]), lambda k: k.isNotNull())
+    return rows.select("page_id", "node", F.explode(found).alias("selector"))
+
+
+def plain_chapters(spark, sf_dir):
+    return selectors.plain_chapters(nodes.parsed(_pages(spark, sf_dir, PLACES))).select("page_id", "title", "content", "confidence")
+
+
 def title_parts(spark, sf_dir):
     """Titles put together from a page's host and number, and what is left of them without the site's name."""
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("head"))
@@ -109,7 +140,7 @@ def title_parts(spark, sf_dir):
     return rows.select("page_id", nodes.clean_title(title, F.col("url")).alias("title"))
 
 
-QUERIES = [page_tree, page_features, page_leaves, page_candidates, page_choice, page_headings, page_titles, page_cleaned, page_lines, page_chapters, title_parts]
+QUERIES = [page_tree, page_features, page_leaves, page_candidates, page_choice, page_headings, page_titles, page_cleaned, page_lines, page_chapters, title_parts, selected_nodes, plain_chapters]
 
 
 def _quoted(x: str) -> str:
@@ -130,14 +161,14 @@ def _matches(c: str, pattern) -> str:
     return f"regexp_matches({c}, {_quoted('(?i)' + text)})"
 
 
-def _html() -> str:
+def _html(all_changes: tuple) -> str:
     cases = []
-    for k, changes in enumerate(CHANGES):
+    for k, changes in enumerate(all_changes):
         new = "html"
         for was, becomes in changes:
             new = f"replace({new}, {_quoted(was)}, {_quoted(becomes)})"
         cases.append(f"WHEN {k} THEN {new}")
-    return f"CASE page_id % {len(CHANGES)} {' '.join(cases)} END"
+    return f"CASE page_id % {len(all_changes)} {' '.join(cases)} END"
 
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -163,8 +194,8 @@ _ATTRIBUTE = r'\s([A-Za-z][\w:-]*)="([^"]*)"'
 _CALLED = "trim(regexp_replace(lower(concat_ws(' ', " + ", ".join(f"attrs['{k}']" for k in E.NAMES) + ")), ' +', ' ', 'g'))"
 
 #: Tables: tokens (page_id, k, kind, name, body), open (the parser's steps), n (page_id, node, last, parent, depth, line, tag, attrs, names, text, ups).
-TREE = rf"""
-    source AS (SELECT page_id, url, regexp_replace({_html()}, '<script>[\s\S]*?</script>', '<script>x</script>', 'g') AS html FROM pages),
+_TREE = rf"""
+    source AS (SELECT page_id, url, regexp_replace(@html, '<script>[\s\S]*?</script>', '<script>x</script>', 'g') AS html FROM pages),
     cut AS (SELECT page_id, regexp_extract_all(html, '<!--[\s\S]*?-->|<[^>]*>|[^<]+') AS parts FROM source),
     each AS (SELECT page_id, unnest(range(1, len(parts) + 1)) AS k, unnest(parts) AS body FROM cut),
     lines AS (SELECT page_id, k, body, 1 + coalesce(sum(length(body) - length(replace(body, chr(10), ''))) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS line FROM each),
@@ -198,6 +229,7 @@ TREE = rf"""
         SELECT *, coalesce((SELECT min(x.node) FROM made x WHERE x.page_id = m.page_id AND x.node > m.node AND x.depth <= m.depth), (SELECT max(x.node) + 1 FROM made x WHERE x.page_id = m.page_id)) - 1 AS last,
             {_CALLED} AS names FROM made m
     )"""
+TREE = _TREE.replace("@html", _html(CHANGES))
 _ELEMENT = "tag NOT IN ('', '!')"
 _HIDDEN = f"(coalesce(attrs['hidden'] IS NOT NULL, false) OR coalesce(lower(attrs['aria-hidden']) = 'true', false) OR coalesce({_matches(chr(97) + 'ttrs[' + chr(39) + 'style' + chr(39) + ']', E.HIDDEN_STYLE)}, false) OR {_matches('names', E.HIDDEN_NAME)})"
 
@@ -378,6 +410,18 @@ SQL = {
     "page_cleaned": f"{_TO_FOUND}, {CHOICE}, {CLEANED} SELECT page_id, root, node, tag FROM c6",
     "page_lines": f"{_TO_FOUND}, {CHOICE}, {HEADINGS}, {TITLES}, {CLEANED}, {LINES} SELECT page_id, root, position, line FROM said_lines",
     "page_chapters": f"{_TO_FOUND}, {CHOICE}, {HEADINGS}, {TITLES}, {CLEANED}, {LINES}, {CHAPTERS}",
+    "selected_nodes": f"WITH RECURSIVE {TREE} "
+    + " UNION ALL ".join(f"SELECT DISTINCT x.page_id, x.node::INT AS node, '{k}' AS selector FROM n x LEFT JOIN n u ON u.page_id = x.page_id AND u.node = x.parent LEFT JOIN n o ON o.page_id = x.page_id AND list_contains(x.above, o.node) WHERE x.{_ELEMENT} AND ({v[1]})" for k, v in SELECTORS.items()),
+    "plain_chapters": f"""WITH RECURSIVE {_TREE.replace("@html", _html(PLACES))}, {_left("n", "v", "tag IN ('!', 'script', 'style', 'template')")},
+        ranked AS (SELECT *, CASE WHEN list_contains(string_split(attrs['class'], ' '), 'chapter-content') THEN 1 WHEN attrs['id'] = 'chapter-content' THEN 2 WHEN list_contains(string_split(attrs['class'], ' '), 'content') THEN 3 WHEN attrs['id'] = 'content' THEN 4
+            WHEN list_contains(string_split(attrs['class'], ' '), 'article-content') THEN 5 WHEN attrs['id'] = 'article-content' THEN 6 WHEN list_contains(string_split(attrs['class'], ' '), 'read-content') THEN 7
+            WHEN tag = 'section' AND EXISTS (SELECT 1 FROM v o WHERE o.page_id = v.page_id AND list_contains(v.above, o.node) AND list_contains(string_split(o.attrs['class'], ' '), 'page-content')) THEN 8
+            WHEN contains(attrs['class'], 'chapter') THEN 9 WHEN contains(attrs['id'], 'chapter') THEN 10 END AS k FROM v WHERE {_ELEMENT}),
+        roots AS (SELECT page_id, node, last FROM ranked WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY k, node) = 1),
+        tops AS (SELECT page_id, node, last FROM v WHERE {_ELEMENT} AND (tag IN ('h1', 'h2') OR len(list_intersect(string_split(attrs['class'], ' '), ['chapter-title', 'title', 'page-d-name'])) > 0) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY node) = 1),
+        texts AS (SELECT v.page_id, string_agg(trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(160)), chr(10) ORDER BY v.node) AS content FROM v LEFT JOIN roots r ON r.page_id = v.page_id WHERE v.tag = '' AND trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(160)) <> '' AND (r.node IS NULL OR v.node BETWEEN r.node AND r.last) GROUP BY v.page_id),
+        titles AS (SELECT t.page_id, {_norm("string_agg(d.text, ' ' ORDER BY d.node)")} AS title FROM tops t JOIN v d ON d.page_id = t.page_id AND d.node BETWEEN t.node AND t.last AND d.tag = '' GROUP BY t.page_id)
+        SELECT page_id, coalesce(title, '') AS title, substr(coalesce(content, ''), 1, 10000) AS content, 0.5::DOUBLE AS confidence FROM source LEFT JOIN titles USING (page_id) LEFT JOIN texts USING (page_id)""",
     "title_parts": f"""WITH heads AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS head, string_split(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '.')[-2] AS host FROM pages),
         raws AS (SELECT page_id, url, CASE page_id % 6 WHEN 0 THEN head || ' - ' || host WHEN 1 THEN host || ' | ' || head WHEN 2 THEN 'Free Novels: ' || head || '_小说网' WHEN 3 THEN host || ' - Best Books' WHEN 4 THEN head || '  –  Part ' || page_id ELSE head END AS raw FROM heads),
         {_clean("raws", "titles")} SELECT page_id, title FROM titles""",
