@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftmill import streaming
 from weftmill.operators import sites
+from weftmill.operators.dom import Nodes, Page, select
 from weftmill.operators.extract import extract_chapter, extract_chapters
 from weftmill.operators.profiles import PROFILES
 from weftmill.sources import files
@@ -109,3 +110,37 @@ def test_profiles(spark, profile):
         assert 0 <= extract_chapter(html, profile=profile)["confidence"] <= 1
     df = rows(spark, (1, None, None), (2, "u", PROSE))
     assert [x["page_id"] for x in extract_chapters(df, profile=profile).orderBy("page_id").collect()] == [1, 2]
+
+
+def test_old_layouts_and_last_children():
+    page = "<div class='bookbox'><h4 class='bookname'><a href='/old/1'>Old</a></h4><p class='author'>作者：A</p><p class='cat'>in <a>Ch 9</a></p></div><div class='grid'><table><tr><td><a href='/n/2'>New</a></td><td>B</td><td></td><td>Ch 3</td></tr></table></div><div class='grid'><table><tr><td>no</td></tr></table></div>"
+    xbiquge = next(s for s in SITES if s.source == "xbiquge")
+    rows = sites.Catalogue(page, "https://www.xbiquge.info/s", xbiquge).listing(xbiquge.search)
+    assert [(r["title"], r["url"], r["author"], r["latest_chapter"]) for r in rows] == [("Old", "https://www.xbiquge.info/old/1", "A", "Ch 9"), ("New", "https://www.xbiquge.info/n/2", "B", "Ch 3")]
+    nodes = Nodes(Page("<p><a>1</a><a>2</a> text</p><p><a>3</a><b>x</b></p><a>4</a>"))
+    assert [nodes.get_text(i) for i in select(nodes, "a:last-child")] == ["2", "4"] and select(nodes, "p a:last-child") == select(nodes, "p > a:last-child")
+
+
+def chapter_page(kind, numbers, box):
+    return f"<h1 class='book-title'>Book</h1><div class='{box}'>" + "".join(f"<li><a href='/c/{n}'>第{n}章 of {kind}</a></li>" for n in numbers) + "</div>"
+
+
+def test_novels(spark):
+    base = "https://m.shuhaige.net/"
+    rows = [
+        # a long list over pages: the sixth further page doesn't count, repeats keep their first title
+        ("long", "main", 0, 1, chapter_page("main", [3, 1, 2], "chapter-list")), *[("long", "list", k, 10 + k, chapter_page(f"list{k}", [2 * k + 2, 2 * k + 3, 1], "read")) for k in range(1, 7)],
+        # a directory that has more; one that has as many as the page itself; one beside a page that has enough
+        ("short", "main", 0, 2, chapter_page("main", [1, 2], "chapter-list")), ("short", "dir", 0, 3, chapter_page("dir", [3, 2, 1], "chapter-list")),
+        ("even", "main", 0, 4, chapter_page("main", [1, 2], "chapter-list")), ("even", "dir", 0, 5, chapter_page("dir", [1, 2], "chapter-list")),
+        ("enough", "main", 0, 6, chapter_page("main", range(1, 11), "chapter-list")), ("enough", "dir", 0, 7, chapter_page("dir", range(1, 40), "chapter-list")),
+        ("empty", "main", 0, 8, None), ("orphan", "dir", 0, 9, chapter_page("dir", [1], "chapter-list")), (None, "main", 0, 99, "x"), ("short", "other", 0, 98, "x"),
+    ]
+    pages = spark.createDataFrame([(n, k, p, i, base + f"{n}/{i}", h, 1) for n, k, p, i, h in rows] * 2, "novel string, kind string, position int, page_id long, url string, html string, title int")
+    got = {r["novel"]: r for r in sites.novels(pages).collect()}
+    assert set(got) == {"long", "short", "even", "enough", "empty"}
+    say = lambda n: [(int(c["number"]), c["title"].split()[-1]) for c in got[n]["chapters"]]
+    assert say("long") == [(1, "main"), (2, "main"), (3, "main")] + [(n, f"list{(n - 2) // 2}") for n in range(4, 14)] and got["long"]["total_chapters"] == 13
+    assert say("short") == [(1, "dir"), (2, "dir"), (3, "dir")] and say("even") == [(1, "main"), (2, "main")] and len(say("enough")) == 10
+    assert got["empty"]["chapters"] == [] and got["empty"]["total_chapters"] == 0 and got["empty"]["title"] == "Unknown Novel" and got["long"]["title"] == "Book" and got["long"]["source"] == "shuhaige"
+    assert sites.novels(pages.limit(0)).collect() == []

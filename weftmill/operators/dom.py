@@ -176,7 +176,7 @@ _SIMPLE = re.compile(r"(?P<tag>\*|[A-Za-z][\w-]*)?(?P<rest>(?:[#.][\w-]+|\[[^\]]
 
 
 def select(nodes: Nodes, selector: str, root: int | None = None) -> list[int]:
-    """Nodes that a selector list matches, in document order: tags, #id, .class, [a], [a=v], [a*=v], [a^=v], [a$=v], descendants and children."""
+    """Nodes that a selector list matches, in document order: tags, #id, .class, [a], [a=v], [a*=v], [a^=v], [a$=v], :last-child, descendants and children."""
     found: set[int] = set()
     for one in selector.split(","):
         steps = one.replace(">", " > ").split()
@@ -185,18 +185,27 @@ def select(nodes: Nodes, selector: str, root: int | None = None) -> list[int]:
             if step == ">":
                 direct = True
                 continue
-            match = _matcher(step)
+            last = step.endswith(":last-child")
+            match = _matcher(step.removesuffix(":last-child"))
             if now is None:
                 now = {i for i in nodes.elements(root) if match(nodes.page.tag[i], nodes.page.attrs[i])}
             elif direct:
                 now = {c for i in now for c in nodes.children(i) if nodes.page.tag[c] not in ("", "!") and match(nodes.page.tag[c], nodes.page.attrs[c])}
             else:
                 now = {c for i in now for c in nodes.elements(i) if match(nodes.page.tag[c], nodes.page.attrs[c])}
+            if last:
+                now = {i for i in now if not _followed(nodes, i)}
             direct = False
         found |= now or set()
     return sorted(found)
 
 
+def _followed(nodes: Nodes, i: int) -> bool:
+    """Whether an element with the same parent comes after i."""
+    up = nodes.page.parent[i]
+    return any(c > i and nodes.page.tag[c] not in ("", "!") for c in (nodes.children(up) if up >= 0 else nodes.elements()) if up >= 0 or nodes.page.parent[c] < 0)
+
+
 def _matcher(step: str):
     m = _SIMPLE.match(step)
     if not m:

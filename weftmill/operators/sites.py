@@ -9,14 +9,14 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerals as N
 from ..functions import text as T
 from ..sources import sites as S
 from .batches import slices
-from .catalog import natural_order
+from .catalog import keep_first, natural_order
 from .dom import Nodes, Page, select
 
 ITEM = "title string, url string, author string, description string, latest_chapter string, cover_url string, rating string"
@@ -26,6 +26,7 @@ KINDS = {
     "feed": f"array<struct<{ITEM.replace(' string', ':string')}>>",
     "info": "struct<" + INFO.replace(" string", ":string").replace(" array", ":array") + ">",
     "chapters": "array<struct<title:string,url:string,original_index:int>>",
+    "listed": "array<struct<title:string,url:string,original_index:int>>",
     "links": "struct<previous_url:string,next_url:string,directory_url:string,list_pages:array<string>>",
 }
 
@@ -83,24 +84,37 @@ class Catalogue:
         for item in select(n, rules.items):
             cells = select(n, "td", item) if rules.cells else []
             if rules.cells and len(cells) < 3:
+                if rules.other and rules.other.items.removeprefix(".") in self.attr(item, "class").split() and (row := self.row(rules.other, item)):
+                    out.append(row)
                 continue
-            link = self.first("a", cells[0]) if rules.cells else self.first(rules.title, item)
-            if link is None and not rules.cells and rules.least_title > 1:  # rows that name no title: the first link to a book
-                link = next((a for a in select(n, "a[href]", item) if any(p in self.attr(a, "href") for p in ("/novels/", "/novel/"))), None)
-            if link is None or len(title := n.get_text(link)) < (rules.least_title if rules.least_title > 1 else 0):
-                continue
-            cell = lambda k: n.get_text(cells[k]) if k < len(cells) else ""
-            out.append(
-                dict(
-                    title=title, url=joined(self.base, self.attr(link, "href")), author=(cell(rules.cells[0]) if rules.cells else self.text(rules.author, item)).replace(S.LABELS["author"], ""),
-                    description=self.text(rules.description, item), latest_chapter=cell(rules.cells[1]) if rules.cells else self.text(rules.latest, item), cover_url=self.image(rules.cover, item), rating=self.text(rules.rating, item),
-                )
-            )
+            if row := self.row(rules, item, cells):
+                out.append(row)
         return out
 
+    def row(self, rules: S.Listing, item: int, cells: list[int] | None = None) -> dict | None:
+        """One row of a listing; None where it names no book."""
+        n, cells = self.n, cells or []
+        link = self.first("a", cells[0]) if rules.cells else self.first(rules.title, item)
+        if link is None and not rules.cells and rules.least_title > 1:  # rows that name no title: the first link to a book
+            link = next((a for a in select(n, "a[href]", item) if any(p in self.attr(a, "href") for p in ("/novels/", "/novel/"))), None)
+        if link is None or len(title := n.get_text(link)) < (rules.least_title if rules.least_title > 1 else 0):
+            return None
+        cell = lambda k: n.get_text(cells[k]) if k < len(cells) else ""
+        return dict(
+            title=title, url=joined(self.base, self.attr(link, "href")), author=(cell(rules.cells[0]) if rules.cells else self.text(rules.author, item)).replace(S.LABELS["author"], ""),
+            description=self.text(rules.description, item), latest_chapter=cell(rules.cells[1]) if rules.cells else self.text(rules.latest, item), cover_url=self.image(rules.cover, item), rating=self.text(rules.rating, item),
+        )
+
     def chapters(self) -> list[dict]:
         """Links of the chapter list, each URL once: its first link counts even where that link's title is too short to be kept."""
-        rules, seen, out = self.site.chapters if self.site else S.GENERIC_CHAPTERS, set(), []
+        return self.linked(self.site.chapters if self.site else S.GENERIC_CHAPTERS)
+
+    def listed(self) -> list[dict]:
+        """The same of a further page of a chapter list."""
+        return self.linked(S.LISTED)
+
+    def linked(self, rules: S.Chapters) -> list[dict]:
+        seen, out = set(), []
         for k, i in enumerate(select(self.n, rules.links)):
             href = self.attr(i, "href")
             if not href or any(x in href.lower() for x in rules.refused) or (url := joined(self.base, href)) in seen:
@@ -153,13 +167,13 @@ class Catalogue:
         return {**out, "list_pages": [p for p in pages if p != self.url]}
 
 
-def harvest(pages: DataFrame, kinds: list[str], known: tuple[S.Site, ...] = S.SITES) -> DataFrame:
-    """page_id, url, source and one column for each of `kinds` (of KINDS) of pages (page_id, url, html), from one parse of each page.
+def harvest(pages: DataFrame, kinds: list[str], known: tuple[S.Site, ...] = S.SITES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, url, source, the columns `keep` and one column for each of `kinds` (of KINDS) of pages (page_id, url, html), from one parse of each page.
 
     Null html counts as empty, a null url as an empty one; repeated rows give repeated results; other columns are not looked at.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), source_of(F.col("url").cast("string"), known).alias("source"), F.col("html").cast("string").alias("html"))
-    schema = "page_id long, url string, source string, " + ", ".join(f"{k} {KINDS[k]}" for k in kinds)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), source_of(F.col("url").cast("string"), known).alias("source"), *keep, F.col("html").cast("string").alias("html"))
+    schema = "page_id long, url string, source string, " + ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep] + [f"{k} {KINDS[k]}" for k in kinds])
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -176,8 +190,9 @@ def harvest(pages: DataFrame, kinds: list[str], known: tuple[S.Site, ...] = S.SI
             for html, url, source in zip(*(batch.column(c).to_pylist() for c in ("html", "url", "source"))):
                 page = Catalogue(html or "", url or "", by_name.get(source))
                 found.append([of(page, k) for k in kinds])
-            columns = [pa.array([f[j] for f in found], out.field(3 + j).type) for j in range(len(kinds))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], schema=out)
+            first = 3 + len(keep)
+            columns = [pa.array([f[j] for f in found], out.field(first + j).type) for j in range(len(kinds))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:first], *columns], schema=out)
 
     return rows.mapInArrow(run, schema)
 
@@ -195,6 +210,40 @@ def novel_info(pages: DataFrame, known: tuple[S.Site, ...] = S.SITES) -> DataFra
     return harvest(pages, ["info", "chapters"], known).select("page_id", "url", "source", "info.*", F.size("chapters").alias("total_chapters"))
 
 
+RECORD = "title url source author description cover_url status rating word_count categories recommendations".split()
+
+
+def novels(pages: DataFrame, numerals: str = "intended", known: tuple[S.Site, ...] = S.SITES) -> DataFrame:
+    """novel, RECORD, chapters (title, url, number, volume, in natural order) and total_chapters of each novel of pages
+    (novel, kind, position, page_id, url, html).
+
+    kind 'main' is the novel's own page (the first by position), 'list' a further page of its chapter list, of which the
+    first LISTED_MOST count, and 'dir' its directory page. Links of the main page and then of the list pages count once
+    each by URL. Where they are fewer than ENOUGH_CHAPTERS and the directory has more, its links take their place. Rows
+    of other kinds or without a novel are left out, as are novels without a main page. Repeated pages change nothing.
+    """
+    c = F.col
+    rows = pages.where("novel IS NOT NULL AND kind IN ('main', 'list', 'dir')")
+    # ranks of pages, not their html, are shuffled
+    turn = F.row_number().over(Window.partitionBy("novel", "kind").orderBy("position", "page_id"))
+    ranks = rows.select("novel", "kind", "position", "page_id").distinct().withColumn("turn", turn).where((c("kind") != "list") & (c("turn") == 1) | (c("kind") == "list") & (c("turn") <= S.LISTED_MOST))
+    found = harvest(rows, ["info", "chapters", "listed"], known, ("novel", "kind", "position"))
+    found = found.join(ranks, ["novel", "kind", "position", "page_id"])
+    links = found.select("novel", (c("kind") == "dir").alias("dir"), F.when(c("kind") == "list", c("turn")).otherwise(0).alias("part"), F.posexplode(F.when(c("kind") == "list", c("listed")).otherwise(c("chapters"))).alias("at", "c"))
+    links = links.select("novel", "dir", "part", "at", "c.title", "c.url", c("c.original_index").alias("index"))
+    once = keep_first(links, ["novel", "dir", "url"], [c("part"), c("at")])
+    sizes = once.groupBy("novel").agg(F.count_if(~c("dir")).alias("own"), F.count_if("dir").alias("other"))
+    once = once.join(sizes, "novel").where(c("dir") == ((c("own") < S.ENOUGH_CHAPTERS) & (c("other") > c("own"))))
+    n = N.chapter_number(c("title"), numerals)
+    # what list pages add comes after the main page's links
+    placed = F.row_number().over(Window.partitionBy("novel").orderBy("part", "index", "at"))
+    ordered = natural_order(once.withColumns({"number": n["number"], "volume": n["volume"], "original_index": placed}), "novel")
+    main = found.where("kind = 'main'").groupBy("novel").agg(F.first(F.struct(c("info.title"), "url", "source", *[c(f"info.{x}") for x in RECORD[3:]])).alias("record"))
+    lists = ordered.groupBy("novel").agg(F.array_sort(F.collect_list(F.struct("position", "title", "url", "number", "volume"))).alias("chapters"))
+    chapters = F.coalesce(F.transform("chapters", lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"), x["number"].alias("number"), x["volume"].alias("volume"))), F.array().cast("array<struct<title:string,url:string,number:double,volume:int>>"))
+    return main.join(lists, "novel", "left").select("novel", *[c(f"record.{x}") for x in RECORD], chapters.alias("chapters")).withColumn("total_chapters", F.size("chapters"))
+
+
 def larger_list(chapters: DataFrame, others: DataFrame, book: str, least: int = 10) -> DataFrame:
     """One list (column chapters) for each book: that of others where the book's own has fewer than `least` and the other has more."""
     other = others.select(F.col(book), F.col("chapters").alias("__other"))

@@ -15,7 +15,7 @@ from ..functions import text as T
 from .. import streaming
 from ..operators import catalog, extract, sites
 from ..sources import files
-from . import nodes, scores
+from . import books, nodes, scores
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -340,8 +340,8 @@ _SQL |= {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in [*_QUERIES, *scores.QUERIES, *nodes.QUERIES]}
+    return {f.__name__: f for f in [*_QUERIES, *scores.QUERIES, *nodes.QUERIES, *books.QUERIES]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | scores.SQL | nodes.SQL
+    return _SQL | scores.SQL | nodes.SQL | books.SQL

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Listing:
-    """Rows of a search or feed page. A field is a selector inside the row; with `cells`, author and latest are numbers of table cells."""
+    """Rows of a search or feed page. A field is a selector inside the row; with `cells`, author and latest are numbers of table cells, and rows without three cells go by `other`, if there is one."""
 
     items: str
     title: str
@@ -18,6 +18,7 @@ class Listing:
     rating: str = ""
     cells: tuple[int, int] | None = None
     least_title: int = 1
+    other: Listing | None = None
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,7 @@ SITES = (
     ),
     Site(
         "xbiquge", "https://www.xbiquge.info",
-        Listing("#maincontent tr, .grid tr", "td a", cells=(1, 3)), Listing("#maincontent tr, .grid tr", "td a", cells=(1, 9)),
+        Listing("#maincontent tr, .grid tr, .bookbox", "td a", cells=(1, 3), other=Listing(".bookbox", ".bookname a", ".author", "", ".cat a")), Listing("#maincontent tr, .grid tr", "td a", cells=(1, 9)),
         Chapters("#list dd a, .chapter-list a", least_title=1), Info("#info h1", author="", status="", description="#intro", cover="#fmimg img", word_count="", categories=".category a, .tag a", labelled="#info p"),
     ),
     Site(
@@ -80,7 +81,7 @@ SITES = (
     ),
     Site(
         "shuhaige", "https://m.shuhaige.net",
-        Listing(".list li, .book-item, .search-result", ".bookname a, h3 a, .book-title a", ".data a, .author", "", ".data a", "img.book-cover, img.cover, .cover img"), Listing(".list li, .book-item", "h3 a, .title a", ".author"),
+        Listing(".list li, .book-item, .search-result", ".bookname a, h3 a, .book-title a", ".data a, .author", "", ".data a:last-child", "img.book-cover, img.cover, .cover img"), Listing(".list li, .book-item", "h3 a, .title a", ".author"),
         Chapters(".booklist dd a, .chapter-list a, ul li a", ("login", "register", "search")), Info("h1.book-title, h1.title"),
     ),
 )
@@ -89,6 +90,9 @@ RELATED = ".recommendations, .similar-books, .related-novels"
 RELATED_HEADINGS = ("推荐", "在看", "相关", "similar", "recommend")
 RELATED_ITEMS, RELATED_TITLE, RELATED_MOST = "li, .book-item, .novel-item", "a[title], h3 a, .title a", 10
 LIST_PAGES = ".pagelist select option"
-DIRECTORY, DIRECTORY_LABEL = "a[href*='/dir'], a[href*='/chapters']", "目录"
+DIRECTORY_LABEL = "目录"
+#: The links of the further pages of a chapter list, how many such pages count, and from how many chapters a book needs no directory page.
+LISTED = Chapters(".read li a", ("login", "register", "search"))
+LISTED_MOST, ENOUGH_CHAPTERS = 5, 10
 BOOK_PATHS = ("/book/", "/novel/", "/read/")
 NEXT, PREVIOUS = ("next", "下一"), ("prev", "上一")
