@@ -70,3 +70,40 @@ def test_exact_pass_in_blocks(spark, monkeypatch):
         s = x @ flat[i]
         s[i] = -9
         assert set(got[got.node == i].nbr) == set(np.argsort(-s)[:3].tolist())
+
+
+def recall(spark, x, every, told=None, k=20):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = ann.search(df, k, every, told).toPandas()
+    assert len(found) == k * -(-len(x) // every)
+    hit = 0
+    for q, g in found.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s, kind="stable")[:k].tolist()) & set(g.vec_id))
+        assert g.sort_values("rank").score.is_monotonic_decreasing and np.allclose(g.score, s[g.vec_id])
+    return hit / len(found)
+
+
+def test_norms_may_differ(spark, monkeypatch):
+    """One far outlier, and norms from 1 to 10^9, where bands are large enough for graphs of their own."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 16))
+    x[77] *= 1e6
+    told = []
+    assert recall(spark, x, 100, told.append) >= 0.97
+    assert [t["nodes"] for t in told] == [3999]
+    monkeypatch.setattr(ann, "SMALL", 100)
+    x = rng.normal(size=(3000, 16)) * 10 ** rng.uniform(0, 9, size=(3000, 1))
+    x[:5] *= 1e100
+    assert recall(spark, x, 150) >= 0.97
+
+
+def test_bands():
+    assert ann.bands({}) == [] and ann.bands({3: 7}) == [(3, 3, 7)]
+    assert ann.bands({80: 1, 0: 5, -31: 6, -32: 7, -70: 1}) == [(80, 80, 1), (-31, 0, 11), (-32, -32, 7), (-70, -70, 1)]
+
+
+def test_searches_that_are_cut_off_are_finished(spark, monkeypatch):
+    monkeypatch.setattr(ann, "STEPS", 1)
+    assert recall(spark, np.random.default_rng(9).normal(size=(1500, 12)), 50) == 1.0

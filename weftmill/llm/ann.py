@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by largest inner product: an NN-descent graph and greedy graph search, both by Spark joins.
 
-Equal vectors are one node, with the smallest ids of its rows. Vectors get one more component that makes all norms equal,
-so that the graph's nearness is that of the inner product. First lists come from small groups around shared pivots. In a
+Equal vectors are one node, with the smallest ids of its rows. Nodes of one band of norms, the largest at most 16 times
+the least, make a graph; bands are searched from the largest norms down, each by the queries that may still gain there, as
+no inner product exceeds the product of the norms. In a band vectors get one more component that makes all norms equal, so
+that the graph's nearness is that of the inner product. A band of few nodes beside a larger one needs no graph. First lists come from small groups around shared pivots. In a
 round of NN-descent each node brings its neighbours together, those in its list and some of those that list it, and each
 pair of them of which one is new there is compared: they are neighbours of a neighbour to each other. What enters a list
 is new in the next round; rounds end when little does. A search starts at the query's own node and keeps a pool of the
-best nodes that it has met; in a step the best ones not yet visited bring in their neighbours, until all are visited.
+best nodes that it has met; in a step the best ones not yet visited bring in their neighbours, until all are visited. A
+query whose node is in another band starts at the pivots of highest inner product. What STEPS cut off is compared with all.
 
-A row of the graph is a node with its packed list, so that Spark handles rows of nodes and numpy the entries. Nodes are worked on in blocks of bounded size near one pivot: a vector that
-several nodes of a block need is sent there once, but only the pairs named above are compared, at most
-(DEGREE + REVERSE)² / 2 for each node and round, however many nodes there are. Nothing is broadcast but the pivots.
+A row of the graph is a node with its packed list, so that Spark handles rows of nodes and numpy the entries. Nodes are
+worked on in blocks of bounded size near one pivot: a vector that several nodes of a block need is sent there once, but
+only the pairs named above are compared, at most (DEGREE + REVERSE)² / 2 for each node and round, however many nodes there
+are. Nothing is broadcast but the pivots and the nodes of a small band.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ DEGREE, REVERSE, ROUNDS, POOL, VISITS, STEPS = 40, 24, 16, 128, 96, 16
 PER_PIVOT, PIVOTS, NEAR_PIVOTS, START, BLOCK = 100, 4096, 3, 200, 512
 #: Nodes of a part that searches ask, about.
 ASKED = 4096
+#: Bands of norms: at most so many octaves, told apart by so many bins an octave; a band of at most SMALL nodes, and SMALL_BYTES, beside a larger one is compared with all its queries. Pivots that a query of another band starts from.
+OCTAVES, BINS, SMALL, SMALL_BYTES, ENTRIES = 4, 8, 2048, 16 << 20, 8
 #: Rounds end when at most this share of the lists is new.
 SETTLED = 0.07
 #: Rows that a task gathers before it keeps the best of each node alone, queries compared with all rows at once.
@@ -165,8 +171,8 @@ def best_of(rows: DataFrame, size: int) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, GRAPH)
 
 
-def assign(nodes: DataFrame, count: int, dim: int) -> DataFrame:
-    """nodes (node, vec) with home, its block, starts, the groups in which its first list is found, and part, that which searches ask for it."""
+def assign(nodes: DataFrame, count: int, dim: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """(nodes (node, vec) with home, its block, starts, the groups in which its first list is found, and part, that which searches ask for it; the pivots' nodes and vectors)."""
     spark = nodes.sparkSession
     want = max(1, min(PIVOTS, count // PER_PIVOT))
     picked = nodes.where(hashed_share(F.col("node"), 1.2 * want / count)).orderBy("node").limit(2 * want).collect() if want > 1 else []
@@ -197,7 +203,8 @@ def assign(nodes: DataFrame, count: int, dim: int) -> DataFrame:
 
     start = block(found.select(F.explode("near").alias("p")), START)
     home = block(found.select(F.col("mid").alias("p")), BLOCK)
-    return found.select("node", "vec", home(F.col("mid")).alias("home"), F.transform("near", start).alias("starts"), "part")
+    entries = np.array([r["node"] for r in picked], dtype=np.int64), pivots[: len(picked)]
+    return found.select("node", "vec", home(F.col("mid")).alias("home"), F.transform("near", start).alias("starts"), "part"), entries
 
 
 def asked_parts(count: int) -> int:
@@ -379,22 +386,30 @@ def link_lists(graph: DataFrame) -> DataFrame:
     return best_of(graph.union(listed_by(graph, DEGREE, -1)), 2 * DEGREE).mapInArrow(run, "node long, nbrs binary")
 
 
-def pools_of(nodes: DataFrame) -> DataFrame:
-    """A pool for each of nodes (node, vec) that holds the node itself, with an infinite sim and to be visited first.
+def pools_of(asked: DataFrame, entries: tuple[np.ndarray, np.ndarray], dim: int) -> DataFrame:
+    """A pool for each of asked (node, vec, inside): that holds the node itself, where it is one of the graph's, with an infinite sim, else the ENTRIES pivots of highest sims; they are visited first.
 
     The query has no completing component, so a pool is ordered by the inner product alone.
     """
-    out = arrow_schema(POOLS)
+    out, shared = arrow_schema(POOLS), asked.sparkSession.sparkContext.broadcast(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = _column(batch, "node")
-            entries = np.empty(len(node), dtype=ENTRY)
-            entries["nbr"], entries["home"], entries["sim"], entries["fresh"] = node, 0, np.inf, NEXT
-            flat = [v[:-4] + bytes(4) for v in batch.column("vec").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _blobs(entries, np.arange(len(node))), pa.array(flat, pa.binary())], schema=out)
-
-    return nodes.select("node", "vec").mapInArrow(run, POOLS)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                node, inside = _column(batch, "node"), np.asarray(batch.column("inside"))
+                pivots, vectors = shared.value
+                sims = _vectors(batch.column("vec"), dim) @ vectors.T
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :ENTRIES]
+                pools = []
+                for i, own in enumerate(inside.tolist()):
+                    first = np.empty(1 if own else best.shape[1], dtype=ENTRY)
+                    first["nbr"], first["sim"] = (node[i], np.inf) if own else (pivots[best[i]], sims[i, best[i]])
+                    first["home"], first["fresh"] = 0, NEXT
+                    pools.append(first.tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(pools, pa.binary()), batch.column("vec")], schema=out)
+
+    return asked.select("node", "vec", "inside").mapInArrow(run, POOLS)
 
 
 def visit(pools: DataFrame, links: DataFrame, nodes: DataFrame, dim: int, parts: int) -> DataFrame:
@@ -510,10 +525,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, told: Callable[[dic
     """query_id, rank (from 1), vec_id, score: the k nearest rows that the search finds for each row whose vec_id is divisible by `every`.
 
     score is the inner product in double precision; equal scores go by smaller vec_id. Rows without an id or with a null,
-    empty, zero or non-finite vector take no part. Vectors of different lengths have no inner product: those of one length
+    empty, zero or non-finite vector take no part. Norms may differ as they like. Vectors of different lengths have no inner product: those of one length
     are searched among themselves. Repeated rows count once; other columns are not looked at; an empty table gives an
-    empty result. A query short of k found candidates is compared with all rows. told, if given, is called for each
-    length with the numbers of its nodes, compared pairs of the graph, and steps of the search.
+    empty result. A query short of k found candidates, or whose search STEPS cut off, is compared with all nodes of the
+    band. told, if given, is called for each band that is searched with the numbers of its nodes, compared pairs of the
+    graph, steps of the search, and queries that asked.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -524,40 +540,110 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, told: Callable[[dic
     return result
 
 
-def _search(rows: DataFrame, dim: int, k: int, every: int, told) -> DataFrame:
-    rows = saved(rows.distinct(), "vectors")
-    # equal vectors: the k + 1 smallest ids, first within salted parts
-    least = lambda c: F.slice(F.array_sort(c), 1, k + 1)
-    parts = rows.groupBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(least(F.collect_list("vec_id")).alias("ids"))
-    classes = parts.groupBy("embedding").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
-    classes = saved(classes.select(F.col("ids")[0].alias("node"), "embedding", "ids"), "classes")
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    about = classes.agg(F.count("*").alias("n"), F.max(squares).alias("top")).first()
-    count, top = about["n"], about["top"]
-    # x / M and the component that completes it to norm 1
-    level = lambda: F.transform("embedding", lambda x: (x / F.lit(top**0.5)).cast("float"))
-    nodes = classes.select("node", F.concat(level(), F.array(F.sqrt(F.greatest(F.lit(0.0), 1 - squares / top)).cast("float"))).alias("vec"))
-    nodes = saved(assign(nodes, count, dim + 1), "nodes")
-    graph, compared = build_graph(nodes, count, dim + 1)
+def bands(bins: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(lowest bin, highest bin, nodes) of each band, from the largest norms down, of the nodes in each bin: each reaches down OCTAVES from the largest norm that is left."""
+    out = []
+    for at in sorted(bins, reverse=True):
+        if out and out[-1][1] - at < OCTAVES * BINS:
+            out[-1] = at, out[-1][1], out[-1][2] + bins[at]
+        else:
+            out.append((at, at, bins[at]))
+    return out
+
+
+def compared_with_few(asked: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(node, nbr): the best k of a small band's classes (node, embedding) for each of asked (node, embedding), itself left out."""
+    rows = classes.select("node", "embedding").orderBy("node").collect()
+    shared = asked.sparkSession.sparkContext.broadcast((np.array([r["node"] for r in rows]), np.array([r["embedding"] for r in rows])))
+    out = arrow_schema("node long, nbr long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                node, q = _column(part, "node"), np.asarray(part.column("embedding").flatten()).reshape(-1, x.shape[1])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    sims = np.nan_to_num(q @ x.T)
+                sims[node[:, None] == ids[None, :]] = -np.inf
+                best = np.argsort(-sims, axis=1, kind="stable")[:, : k + 1]  # of equal sims the smaller node; itself is last
+                own = np.repeat(node, best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[best.ravel()])], schema=out)
+
+    return asked.select("node", "embedding").distinct().mapInArrow(run, "node long, nbr long")
+
+
+def _by_graph(classes: DataFrame, asked: DataFrame, count: int, dim: int, top: float, k: int, tell) -> DataFrame:
+    """(node, nbr) that the search of a band's graph finds for asked (node, embedding, norm); top: the log2 of a norm that none of classes exceeds."""
+    # x / 2^top and the component that completes it to norm 1
+    level = F.transform("embedding", lambda x: x / F.lit(2.0**top))
+    rest = F.greatest(F.lit(0.0), 1 - F.aggregate(level, F.lit(0.0), lambda s, x: s + x * x))
+    floats = lambda x: F.transform(x, lambda v: v.cast("float"))
+    nodes, entries = assign(classes.select("node", floats(F.concat(level, F.array(F.sqrt(rest)))).alias("vec")), count, dim)
+    nodes = saved(nodes, "nodes")
+    graph, compared = build_graph(nodes, count, dim)
     links = saved(link_lists(graph), "links")
     discard(graph)
-    asked = saved(rows.where(F.col("vec_id") % every == 0).join(classes.select("node", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "node", "embedding"), "asked")
-    pools = saved(pools_of(nodes.join(asked.select("node").distinct(), "node", "left_semi")), "pools")
-    steps = 0
+    own = asked.select("node", floats(F.concat(F.transform("embedding", lambda x: x / F.exp(F.col("norm") * F.log(F.lit(2.0)))), F.array(F.lit(0.0)))).alias("lists")).dropDuplicates(["node"])
+    out = arrow_schema("node long, vec binary")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([v.tobytes() for v in _matrix(batch.column("lists"), dim)], pa.binary())], schema=out)
+
+    own = own.mapInArrow(pack, "node long, vec binary").join(nodes.select("node", F.lit(True).alias("inside")), "node", "left").select("node", "vec", F.coalesce("inside", F.lit(False)).alias("inside"))
+    own = saved(own, "own")
+    pools, steps = saved(pools_of(own, entries, dim), "pools"), 0
     while steps < STEPS:
-        before, pools = pools, visit(pools, links, nodes, dim + 1, asked_parts(count))
+        before, pools = pools, visit(pools, links, nodes, dim, asked_parts(count))
         discard(before)
         steps += 1
         if _marked(pools, NEXT).isEmpty():
             break
-    if told:
-        told({"nodes": count, "compared": compared, "steps": steps})
+    tell({"nodes": count, "compared": compared, "steps": steps, "queries": own})
     found = _marked(pools, None).select("node", F.col("member").alias("nbr"))
-    short = found.groupBy("node").count().where(F.col("count") <= min(k, count - 1)).join(nodes.select("node", "vec"), "node").select("node", "vec")
+    short = found.groupBy("node").count().where(F.col("count") <= min(k, count - 1)).select("node").union(_marked(pools, NEXT).select("node")).distinct().join(own, "node").select("node", "vec")
     if not short.isEmpty():
-        found = found.union(exact_pass(short, nodes, dim + 1, k)).distinct()
-    pairs = found.join(asked, "node").join(classes.select(F.col("node").alias("nbr"), F.col("embedding").alias("other"), "ids"), "nbr")
-    score = F.aggregate(F.zip_with("embedding", "other", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    each = pairs.select("query_id", "node", score.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "vec_id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = found.union(exact_pass(short, nodes, dim, k)).distinct()
+    return found
+
+
+def _search(rows: DataFrame, dim: int, k: int, every: int, told) -> DataFrame:
+    rows = saved(rows.distinct(), "vectors")
+    # equal vectors: the k + 1 smallest ids, first within salted parts
+    least = lambda c: F.slice(F.array_sort(c), 1, k + 1)
+    parts = rows.groupBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(least(F.collect_list("vec_id")).alias("ids"))
+    classes = parts.groupBy("embedding").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
+    # the log2 of the norm; its largest component comes first, so that no square leaves the doubles
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    norm = F.log2(largest) + F.log2(F.aggregate(F.transform("embedding", lambda x: x / largest), F.lit(0.0), lambda s, x: s + x * x)) / 2
+    classes = saved(classes.select(F.col("ids")[0].alias("node"), "embedding", "ids", norm.alias("norm")), "classes")
+    at = F.floor(F.col("norm") * BINS).cast("int")
+    found_bands = bands({r["bin"]: r["count"] for r in classes.groupBy(at.alias("bin")).count().collect()})
+    asked = saved(rows.where(F.col("vec_id") % every == 0).join(classes.select("node", "embedding", "norm"), "embedding").select(F.col("vec_id").alias("query_id"), "node", "embedding", "norm"), "asked")
+    most = max(n for *_, n in found_bands)
+
+    def tell(figures: dict) -> None:
+        if told:
+            told(figures | {"queries": figures["queries"].count()})
+
+    best, waiting = None, asked
+    for low, high, count in found_bands:
+        own, top = classes.where(at.between(low, high)), (high + 1) / BINS
+        if best is not None:  # no product of this band exceeds that of the norms; a query with k better ones needs it not
+            kth = best.groupBy("query_id", "node").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+            waiting = asked.join(kth, ["query_id", "node"], "left").where(F.coalesce(F.col("n") < k, F.lit(True)) | (F.log2(F.when(F.col("kth") > 0, F.col("kth"))) <= F.col("norm") + top + 1e-9) | (F.col("kth") <= 0)).select(asked.columns)
+            if waiting.isEmpty():
+                break
+        if count <= min(SMALL, SMALL_BYTES // (8 * dim)) and count < most:
+            pairs = compared_with_few(waiting, own, k)
+        else:
+            pairs = _by_graph(own, waiting, count, dim + 1, top, k, tell)
+        pairs = pairs.join(waiting.select("query_id", "node", "embedding"), "node").join(own.select(F.col("node").alias("nbr"), F.col("embedding").alias("other"), "ids"), "nbr")
+        score = F.aggregate(F.zip_with("embedding", "other", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        each = pairs.select("query_id", "node", score.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        rank = F.row_number().over(Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "vec_id"))
+        each = each if best is None else each.union(best.select(each.columns))
+        each = each.withColumn("rank", rank).where(F.col("rank") <= k)
+        best = each if len(found_bands) == 1 else saved(each, "best", best)
+    return best.select("query_id", "rank", "vec_id", "score")
