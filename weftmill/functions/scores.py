@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Weights of element names and of the parts of a score.
@@ -66,24 +66,29 @@ def handed_up(leaves: DataFrame, nodes: DataFrame, page: str = "page_id", carry:
 
 
 def density_candidates(nodes: DataFrame) -> DataFrame:
-    """The containers among nodes (tag, chars, score) that have enough text and a score."""
-    return nodes.where(F.col("tag").isin(*DENSE) & (F.col("chars") >= LEAST_CHARS) & (F.col("score") > 0))
+    """The containers among nodes (tag, chars) that have enough text, and so a density score above 0: no filter has to work it out again."""
+    return nodes.where(F.col("tag").isin(*DENSE) & (F.col("chars") >= LEAST_CHARS))
 
 
 def marked_candidates(nodes: DataFrame) -> DataFrame:
-    """The articles and main parts among nodes (tag, main, chars, link_density, negative, score) that look like content."""
+    """The articles and main parts among nodes (tag, main, chars, link_density, negative) that look like content; their density score is above 0."""
     marked = F.col("tag").isin("article", "main") | F.col("main")
-    return nodes.where(marked & (F.col("chars") >= LEAST_MARKED) & (F.col("link_density") <= MOST_LINKED) & ~F.col("negative") & (F.col("score") > 0))
+    return nodes.where(marked & (F.col("chars") >= LEAST_MARKED) & (F.col("link_density") <= MOST_LINKED) & ~F.col("negative"))
 
 
-def first_of_each(*found: DataFrame, page: str = "page_id") -> DataFrame:
-    """The union of candidates (page, node, chars, score) in order of their kinds, one of each node: that of the first kind, then of the best score."""
-    rows = None
-    for k, x in enumerate(found):
-        x = x.select(page, "node", "chars", "score", F.lit(k).alias("kind"))
-        rows = x if rows is None else rows.unionByName(x)
-    turn = F.row_number().over(Window.partitionBy(page, "node").orderBy("kind", F.desc("score")))
-    return rows.withColumn("__turn", turn).where("__turn = 1").drop("__turn")
+def first_of_each(nodes: DataFrame, up: DataFrame, page: str = "page_id") -> DataFrame:
+    """page, node, chars, score and kind of the candidates among nodes (page, node, tag, main, chars, link_density, negative,
+    score: the density score), one of each node: marked (0), else dense (1), else as up (page, node, chars, score) has it from its leaves (2).
+
+    A row has one kind, so nodes are read once; what is first of each node is found before the shuffle as far as it can be.
+    """
+    c = F.col
+    marked = (c("tag").isin("article", "main") | c("main")) & (c("chars") >= LEAST_MARKED) & (c("link_density") <= MOST_LINKED) & ~c("negative")
+    kind = F.when(marked, 0).when(c("tag").isin(*DENSE), 1)
+    own = nodes.where(c("chars") >= LEAST_CHARS).select(page, "node", "chars", "score", kind.alias("kind")).where("kind IS NOT NULL")
+    rows = own.unionByName(up.where(c("chars") >= LEAST_CHARS).select(page, "node", "chars", "score", F.lit(2).alias("kind")))
+    first = F.min_by(F.struct("chars", "score", "kind"), F.struct("kind", F.negative("score"))).alias("first")
+    return rows.groupBy(page, "node").agg(first).select(page, "node", "first.*")
 
 
 def chosen(candidates: DataFrame, page: str = "page_id") -> DataFrame:

@@ -83,9 +83,8 @@ def marked_candidates(spark, sf_dir):
 
 
 def candidate_union(spark, sf_dir):
-    scored = _scored(_nodes(spark, sf_dir))
-    up = S.handed_up(_leaves(scored), scored, carry=("chars",)).where(F.col("chars") >= S.LEAST_CHARS)
-    found = S.first_of_each(S.marked_candidates(scored), S.density_candidates(scored), up)
+    nodes = _nodes(spark, sf_dir)
+    found = S.first_of_each(_scored(nodes), S.handed_up(_leaves(nodes), nodes, carry=("chars",)))
     return found.select("page_id", "node", "kind", _short("score").alias("score"))
 
 
