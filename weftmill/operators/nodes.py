@@ -411,9 +411,7 @@ def lines(cleaned: DataFrame, titles: DataFrame) -> DataFrame:
     blocks = blocks.where((c("line") != "") & ~c("line").rlike(_java(E.LABEL)))
     order = Window.partitionBy("page", "root").orderBy("island")
     blocks = blocks.withColumn("__last", F.lag("line").over(order)).where(c("__last").isNull() | (c("__last") != c("line"))).withColumn("position", F.row_number().over(order))
-    fronted = (c("position") == 1) & (c("title") != "") & F.startswith("line", "title")
-    cut = F.regexp_replace(F.substr("line", F.length("title") + 1), r"^[ :：\-–—|.、]+", "")
-    blocks = blocks.withColumn("line", F.when(fronted, cut).otherwise(c("line"))).where((c("line") != "") & (c("line") != c("title")))
+    blocks = blocks.withColumn("line", F.when(c("position") == 1, T.strip_leading_title(c("line"), c("title"))).otherwise(c("line"))).where((c("line") != "") & (c("line") != c("title")))
     return blocks.select("page", "page_id", "root", "position", "line")
 
 

@@ -173,6 +173,18 @@ def fetched_pages(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.length(page).alias("n"), F.startswith(page, F.lit("plain")).alias("plain"))
 
 
+def listed_urls(spark, sf_dir):
+    n = F.pmod("page_id", F.lit(6))
+    line = F.when(n == 0, "").when(n == 1, "   ").when(n == 2, F.concat(F.lit("# "), "url")).when(n == 3, F.concat(F.lit(" # "), "url")).when(n == 4, F.concat("url", F.lit("#x"))).otherwise(F.col("url"))
+    return catalog.url_list(_t(spark, sf_dir, "pages").select("page_id", line.alias("value")))
+
+
+def stripped_labels(spark, sf_dir):
+    n = F.pmod("p_partkey", F.lit(4))
+    said = F.when(n == 0, F.concat(F.lit("作者："), "p_brand")).when(n == 1, F.concat(F.lit("  状态： "), "p_name", F.lit(" "))).when(n == 2, F.concat("p_brand", F.lit("作者：状态："), "p_type")).otherwise(F.col("p_name"))
+    return _t(spark, sf_dir, "part").select("p_partkey", T.strip_label(said, "作者：", "状态：").alias("text"))
+
+
 def script_challenge_flag(spark, sf_dir):
     html = F.when(F.pmod("page_id", F.lit(4)) == 0, F.concat("html", F.lit('<script>Let Token = "x"</script>'))).when(F.pmod("page_id", F.lit(4)) == 1, F.concat("html", F.lit("正在验证浏览器"))).otherwise(F.col("html"))
     return _t(spark, sf_dir, "pages").select("page_id", T.is_script_challenge(html).alias("challenge"))
@@ -260,7 +272,7 @@ def page_source(spark, sf_dir):
 _QUERIES = [
     scoring_len, content_chars, punct_count, norm_text, preview_text, safe_names, author_notes, dedup_keep_first, relevance_rank, source_counts, feed_union, page_host_tokens,
     challenge_flag, absolute_links, chapter_numbers, chapter_numbers_compat, natural_chapter_sort, natural_chapter_sort_reverse, tier_outcomes, accepted_tiers, live_sessions, request_gaps, script_challenge_flag, tier_statistics, backoff_schedule,
-    first_five_pages, ajax_chapter_list, resolved_links, request_waits, fetched_pages, extract_chapter, novel_info, chapter_list, page_links, search_listing, feed_listing, chapter_export, chapter_export_interactive, chapter_view, result_view,
+    first_five_pages, ajax_chapter_list, resolved_links, request_waits, fetched_pages, listed_urls, stripped_labels, extract_chapter, novel_info, chapter_list, page_links, search_listing, feed_listing, chapter_export, chapter_export_interactive, chapter_view, result_view,
     fetch_windows, page_source, *map(_by_profile, ("density", "additive", "propagation", "threshold", "capped")),
 ]
 
@@ -325,6 +337,8 @@ _SQL |= {
             FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id)),
         owed AS (SELECT *, low * CASE WHEN before > 10 THEN 1.5 ELSE 1 END AS least_s, high * CASE WHEN before > 10 THEN 1.5 ELSE 1 END AS most_s FROM rows)
         SELECT event_id, before, least_s::DOUBLE AS least_s, most_s::DOUBLE AS most_s, round(gap, 3)::DOUBLE AS gap_s, round(CASE WHEN before > 0 THEN greatest(0, least_s - gap) ELSE 0 END, 3)::DOUBLE AS short_s FROM owed""",
+    "listed_urls": """SELECT * FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN '   ' WHEN 2 THEN '# ' || url WHEN 3 THEN ' # ' || url WHEN 4 THEN url || '#x' ELSE url END AS value FROM pages) WHERE trim(value) <> '' AND NOT starts_with(value, '#')""",
+    "stripped_labels": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 2 THEN p_brand || p_type ELSE trim(p_name) END AS text FROM part""",
     "fetched_pages": """
         SELECT page_id, length(page)::INT AS n, starts_with(page, 'plain') AS plain FROM (SELECT page_id, CASE WHEN length(trim(first)) > 100 THEN first WHEN page_id % 3 <> 0 THEN 'plain' || html END AS page
             FROM (SELECT *, CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN repeat(' ', 200) || 'short' WHEN 2 THEN substr(html, 1, 100) WHEN 3 THEN substr(html, 1, 101) END AS first FROM pages))""",
