@@ -397,6 +397,7 @@ CHAPTERS = f"""
             + 0.15 * CASE WHEN page = 0 THEN 0.8 WHEN total / page > 0.95 THEN 0.3 ELSE least(1, greatest(0.3, 1 - abs(total / page - 0.35) / 0.65)) END)
             * greatest(0, 1 - 1.5 * density) * CASE WHEN n > 1 THEN 0.75 ELSE 1 END * CASE WHEN negative THEN 0.7 ELSE 1 END * CASE WHEN hint THEN 1.05 ELSE 1 END)) * least(1, final / 150) END, 3)::DOUBLE AS confidence FROM told"""
 
+PLAIN = _TREE.replace("@html", "html")
 _TO_FOUND = f"WITH RECURSIVE {TREE}, {ALIVE}, {FEATURED}, {LEAVES}, {CANDIDATES}"
 SQL = {
     "page_tree": f"""WITH RECURSIVE {TREE} SELECT x.page_id, x.node::INT AS node, x.last::INT AS last, x.parent::INT AS parent, x.depth::INT AS depth, x.tag, x.names, CASE WHEN u.tag IN {_in(E.RAW)} THEN NULL ELSE {_length('x.text')} END AS own
@@ -410,6 +411,9 @@ SQL = {
     "page_cleaned": f"{_TO_FOUND}, {CHOICE}, {CLEANED} SELECT page_id, root, node, tag FROM c6",
     "page_lines": f"{_TO_FOUND}, {CHOICE}, {HEADINGS}, {TITLES}, {CLEANED}, {LINES} SELECT page_id, root, position, line FROM said_lines",
     "page_chapters": f"{_TO_FOUND}, {CHOICE}, {HEADINGS}, {TITLES}, {CLEANED}, {LINES}, {CHAPTERS}",
+    # the same over the pages as they are, for the pass over one page
+    "extract_chapter": f"WITH RECURSIVE {PLAIN}, {ALIVE}, {FEATURED}, {LEAVES}, {CANDIDATES}, {CHOICE}, {HEADINGS}, {TITLES}, {CLEANED}, {LINES}, {CHAPTERS}",
+    "page_node_scores": f"WITH RECURSIVE {PLAIN}, {ALIVE}, {FEATURED} SELECT page_id, node, ({_DENSITY})::FLOAT::DOUBLE AS score FROM f",
     "selected_nodes": f"WITH RECURSIVE {TREE} "
     + " UNION ALL ".join(f"SELECT DISTINCT x.page_id, x.node::INT AS node, '{k}' AS selector FROM n x LEFT JOIN n u ON u.page_id = x.page_id AND u.node = x.parent LEFT JOIN n o ON o.page_id = x.page_id AND list_contains(x.above, o.node) WHERE x.{_ELEMENT} AND ({v[1]})" for k, v in SELECTORS.items()),
     "plain_chapters": f"""WITH RECURSIVE {_TREE.replace("@html", _html(PLACES))}, {_left("n", "v", "tag IN ('!', 'script', 'style', 'template')")},
