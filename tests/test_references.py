@@ -13,7 +13,7 @@ from weftmill.functions import text as T
 from weftmill.operators import extract as E
 
 CUT = ["Rain &amp;&amp", "Rain &quot;&quot", "Rain &am", "Rain &a", "Rain &", "Rain &amp; on &copy"]
-QUERIES = ["extract_chapter", "page_node_scores", "page_tree", "page_chapters", "page_features", "page_headings", "page_titles", "page_lines", "page_candidates", "page_choice"]
+QUERIES = ["extract_chapter", "page_node_scores", "page_tree", "page_chapters", "page_features", "page_headings", "page_titles", "page_lines", "page_candidates", "page_choice", "plain_chapters"]
 
 
 def page(title: str, letters: int = 90, key: int = 0) -> str:
