@@ -107,3 +107,14 @@ def test_bands():
 def test_searches_that_are_cut_off_are_finished(spark, monkeypatch):
     monkeypatch.setattr(ann, "STEPS", 1)
     assert recall(spark, np.random.default_rng(9).normal(size=(1500, 12)), 50) == 1.0
+
+
+def test_nodes_meet_their_lists_once(spark):
+    """The round's left join is one of nodes with lists, not of all (block, node) that are sent."""
+    nodes = spark.createDataFrame([(i, i % 2, bytes(4)) for i in range(6)], "node long, home long, vec binary")
+    graph = spark.createDataFrame([(i, i % 2, i / 2, b"") for i in range(5)], ann.GRAPH)
+    needed = spark.createDataFrame([(b, i) for b in range(9) for i in range(6)], "block long, node long")
+    sent = ann._sent(needed, nodes, graph)
+    assert sorted(map(tuple, sent.drop("vec").collect())) == [(b, i, i % 2, i / 2 if i < 5 else float("-inf")) for b in range(9) for i in range(6)]
+    plan = sent._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and plan.index("Join Inner") < plan.index("Join LeftOuter")

@@ -298,13 +298,19 @@ def _wanted(rows: DataFrame, unpack: Callable[[pa.RecordBatch], np.ndarray]) ->
     return rows.mapInArrow(run, "block long, node long").distinct()
 
 
+def _sent(needed: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
+    """block, node, home, least, vec of needed (block, node). A node meets its list once, before it is sent to its blocks, up to DEGREE + REVERSE + 1 of them."""
+    least = F.coalesce("least", F.lit(float("-inf"))).cast("float").alias("least")
+    known = nodes.select("node", "home", "vec").join(graph.select("node", "least"), "node", "left").select("node", "home", "vec", least)
+    return needed.join(known, "node").select("block", "node", "home", "least", "vec")
+
+
 def descend(graph: DataFrame, nodes: DataFrame, dim: int, seed: int, compared) -> DataFrame:
     """The graph after a round: each node's neighbours are compared with each other where one of the two is new there."""
     both = saved(graph.union(listed_by(graph, REVERSE, seed)), "lists")
     needed = _wanted(both, lambda batch: _unpacked(batch)[1:3])
-    sent = needed.join(nodes.select("node", "home", "vec"), "node").join(graph.select("node", "least"), "node", "left")
     empty = F.lit(None).cast("binary")
-    rows = sent.select("block", F.lit(0).alias("kind"), "node", "home", F.coalesce("least", F.lit(float("-inf"))).cast("float").alias("least"), "vec", empty.alias("packed"))
+    rows = _sent(needed, nodes, graph).select("block", F.lit(0).alias("kind"), "node", "home", "least", "vec", empty.alias("packed"))
     rows = rows.union(both.select("home", F.lit(1), "node", "home", "least", empty, "packed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
