@@ -299,7 +299,7 @@ def _wanted(rows: DataFrame, unpack: Callable[[pa.RecordBatch], np.ndarray]) ->
 
 
 def _sent(needed: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
-    """block, node, home, least, vec of needed (block, node). A node meets its list once, before it is sent to its blocks, up to DEGREE + REVERSE + 1 of them."""
+    """block, node, home, least, vec of needed (block, node). A node meets its list once, before it is sent to its blocks."""
     least = F.coalesce("least", F.lit(float("-inf"))).cast("float").alias("least")
     known = nodes.select("node", "home", "vec").join(graph.select("node", "least"), "node", "left").select("node", "home", "vec", least)
     return needed.join(known, "node").select("block", "node", "home", "least", "vec")
